@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, decontaminate, token_counts, url_filter
+from glyphlake.llm import bpe, decontaminate, pii, secret_scan, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(token_counts.count_tokens(table(spark, sf_dir, "documents")))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"))))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,7 +35,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_byte_bpe, op9_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_byte_bpe, op6_pii, op9_decontamination, op10_url_filter)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SHINGLES = """list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
