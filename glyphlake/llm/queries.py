@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, decontaminate, pii, secret_scan, token_counts, toxicity, url_filter
+from glyphlake.llm import bpe, decontaminate, near_dedup, pii, secret_scan, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.judged(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
@@ -40,7 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_byte_bpe, op6_pii, op8_toxicity, op9_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_byte_bpe, op6_pii, op7_near_dedup, op8_toxicity, op9_decontamination, op10_url_filter)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SHINGLES = """list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
