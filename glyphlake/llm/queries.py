@@ -71,4 +71,12 @@ m AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, l
  FROM (SELECT DISTINCT host, path FROM v) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM v LEFT JOIN m USING (host, path)"""
 
-ORACLES = {"op9_decontamination": LEAKS_SQL, "op10_url_filter": URL_SQL}
+DUPLICATES_SQL = f"""WITH RECURSIVE s AS {shingle_rows('documents', 'doc_id')},
+n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 75 * (p.n_shingles + q.n_shingles - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
+
+ORACLES = {"op7_near_dedup": DUPLICATES_SQL, "op9_decontamination": LEAKS_SQL, "op10_url_filter": URL_SQL}
