@@ -54,7 +54,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     candidates = save(hits.select("doc_id", F.explode("items.item_id").alias("item_id")).distinct(), "leak-candidates")
     ids = candidates.select(F.col("doc_id").alias("id")).distinct()
     suspects = docs.join(_small(ids, candidates.count(), broadcast_rows), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    exact = suspects.select("doc_id", F.explode(shingles.spelled(shingles.words(F.col("text")))).alias("s"))
+    exact = suspects.select("doc_id", shingles.words(F.col("text")).alias("ws")).select("doc_id", F.explode(shingles.spelled(F.col("ws"))).alias("s"))
     wanted = candidates.alias("c").join(_small(spelled.withColumnRenamed("item_id", "item"), spelled.count(), 5_000), F.col("c.item_id").eqNullSafe(F.col("item")))
     wanted = wanted.select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_item"), F.explode("item_shingles").alias("s"))
     found = wanted.join(exact.distinct(), wanted["doc_id"].eqNullSafe(exact["doc_id"]) & (wanted["s"] == exact["s"]))
