@@ -38,8 +38,22 @@ def drop_saved(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session has Spark's own default.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "8m", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts make Arrow batches of fixed row counts large; 8 MB hold a few thousand usual texts, or one long one.
+
+    Both sides keep buffers of the largest batch they have met, off the heap. A size the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (f"{DEFAULT_BATCH_BYTES}b", str(DEFAULT_BATCH_BYTES), "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, so that other columns never clash; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 

@@ -60,3 +60,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     found = wanted.join(exact.distinct(), wanted["doc_id"].eqNullSafe(exact["doc_id"]) & (wanted["s"] == exact["s"]))
     counted = found.groupBy(wanted["doc_id"], "item_id", "n_item").agg(F.count("*").alias("n_common"))
     return counted.where(F.col("n_common") * 100 >= F.col("n_item") * percent).withColumn("containment", F.col("n_common") / F.col("n_item"))
+
+
+def keep_clean(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, all columns, of the documents that hold no item."""
+    ids = leaks.select(F.col("doc_id").alias("leaking")).distinct()
+    return docs.join(_small(ids, ids.count(), broadcast_rows), F.col(id_col).eqNullSafe(F.col("leaking")), "left_anti")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.llm.common import small_batches
+
 #: Fixed lists of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -298,6 +300,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A null or empty page, or one without content, gives an empty text; unclosed and misnested elements are closed as
     browsers do; null ids and URLs, ties and repeated rows keep their rows; empty tables give an empty result; other
     columns are ignored. Nothing is cut off, however long a page is."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), F.coalesce(F.col(html_col), F.lit("")).alias(html_col))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

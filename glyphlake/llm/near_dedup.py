@@ -234,8 +234,15 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return result
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all their columns, whose id a component is named by; rows without words or without an id stay.
-    Of several rows under one kept id all stay."""
-    dropped = found.where("not kept").select(F.col(id_col).alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("dropped_id"), "left_anti")
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """One row of each component, all columns: of the rows under the component's id the one with the least text. Rows
+    with an empty set or without an id are in no component and stay."""
+    named = found.where(F.col(id_col).isNotNull())
+    gone = named.where("not kept").select(F.col(id_col).alias("gone")).distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, F.col(id_col) == F.col("gone"), "left_anti")
+    repeated = named.where("kept and n_shingles > 0").groupBy(F.col(id_col).alias("again")).count().where("count > 1").select("again")
+    if repeated.isEmpty():
+        return out
+    several = out.join(repeated, F.col(id_col) == F.col("again"), "left_semi")
+    least = several.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col(text_col))).alias("row")).select("row.*")
+    return out.join(repeated, F.col(id_col) == F.col("again"), "left_anti").union(least)

@@ -241,25 +241,30 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return annotate(rows, id_col, text_col, {}, True) if first else rows
 
 
-def redact_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+def redact_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, **options) -> DataFrame:
     """The same columns and rows with every span of personal data replaced by its kind in brackets; null texts become
-    empty. Patterns are learnt from all rows first; beyond one block of patterns only base kinds and the first
-    block's are replaced in one pass, so call it again until nothing changes."""
-    block = options.get("block", BLOCK)
-    patterns = next(_blocks(learn_patterns(docs, id_col, text_col, **options), block), {})
-    seconds, at = _seconds(patterns), docs.columns.index(text_col)
-
-    def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text in batch.column(at).to_pylist():
-                spans = base_spans(text or "")
-                texts.append(redact(text or "", spans + context_spans(text or "", spans, patterns, seconds)))
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(redacted, docs.schema)
+    empty. Patterns are learnt from all rows first, and beyond one block of them are applied block after block."""
+    at, out, first = docs.columns.index(text_col), docs, True
+
+    def step(patterns: dict[str, float]):
+        seconds = _seconds(patterns)
+
+        def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = []
+                for text in batch.column(at).to_pylist():
+                    spans = base_spans(text or "")
+                    texts.append(redact(text or "", spans + context_spans(text or "", spans, patterns, seconds)))
+                columns = list(batch.columns)
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        return redacted
+
+    for patterns in _blocks(learn_patterns(docs, id_col, text_col, block=block, **options), block):
+        out = (out if first else save(out, "pii-redacted")).mapInArrow(step(patterns), docs.schema)
+        first = False
+    return out.mapInArrow(step({}), docs.schema) if first else out
 
 
 def redact(text: str, spans: Iterable[Span]) -> str:
