@@ -26,10 +26,13 @@ from glyphlake.llm.common import drop_saved, id_and_text, save
 from glyphlake.llm.components import components
 
 PERCENT = 75
-BANDS = sk.REGISTERS // sk.ROWS
-#: Pairs are confirmed from this estimate on: four standard deviations of the estimate below the threshold.
-LIKELY = 0.61
-PARTNERS = 6
+#: Bands of sk.ROWS registers. A pair at the threshold misses all of them once in ten thousand times.
+BANDS = 32
+#: The first round, which only has to join most of what belongs together, looks at so many bands and partners.
+FIRST_BANDS, PARTNERS = 12, 2
+#: Pairs are confirmed from this estimate on: four standard deviations of the estimate below the threshold. The share
+#: of equal registers in the bands alone, which is looked at first, deviates more.
+LIKELY, LIKELY_BANDS = 0.673, 0.61
 BLOCK = 4096
 BROADCAST_IDS = 1_000_000
 
@@ -55,7 +58,7 @@ def digest(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def _sets_by_size(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _sets_by_size(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Ids and shingle sets of an Arrow batch of (id, text), about `limit` bytes of text at a time."""
     texts, start, size = [], 0, 0
     for i in range(batch.num_rows):
@@ -107,16 +110,18 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Tabl
 
 
 def likely_pairs(registers: np.ndarray, n: np.ndarray, apart: np.ndarray, likely: float, chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, equal registers) with i < j, different values of `apart` and an estimate of at least `likely`."""
+    """(i, j, estimate) with i < j, different values of `apart` and an estimate of at least `likely`."""
     found = []
+    banded = np.ascontiguousarray(registers[:, : BANDS * sk.ROWS])
+    least = LIKELY_BANDS * banded.shape[1]
     for start in range(0, len(registers), chunk):
-        rows = registers[start : start + chunk]
-        equal = np.stack([(registers[start:] == r).sum(1) for r in rows])
-        i, j = np.nonzero((equal >= (likely - 0.1) * sk.REGISTERS) & (apart[start : start + chunk, None] != apart[None, start:]))
-        i, j, e = i[j > i] + start, j[j > i] + start, equal[i[j > i], j[j > i]]
+        equal = np.stack([(banded[start:] == r).sum(1) for r in banded[start : start + chunk]])
+        i, j = np.nonzero((equal >= least) & (apart[start : start + chunk, None] != apart[None, start:]))
+        i, j = i[j > i] + start, j[j > i] + start
         if len(i):
-            ok = sk.likeness(registers[i], registers[j], n[i], n[j]) >= likely
-            found.append((i[ok], j[ok], e[ok]))
+            estimate = sk.likeness(registers[i], registers[j], n[i], n[j])
+            ok = estimate >= likely
+            found.append((i[ok], j[ok], estimate[ok]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
 
 
@@ -132,16 +137,16 @@ def candidate_pairs(rows: DataFrame, likely: float, partners: int | None) -> Dat
             registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(len(rep), -1)
             n, own, band = (table.column(c).to_numpy() for c in ("n", "own", "band"))
             codes = {x: k for k, x in enumerate(dict.fromkeys(label))}
-            i, j, equal = likely_pairs(registers, n, np.array([codes[x] for x in label]), likely)
+            i, j, estimate = likely_pairs(registers, n, np.array([codes[x] for x in label]), likely)
             if low != high:
                 cross = own[i] != own[j]
-                i, j, equal = i[cross], j[cross], equal[cross]
+                i, j, estimate = i[cross], j[cross], estimate[cross]
             if partners is None:
-                shared = (registers[i] == registers[j]).reshape(len(i), BANDS, sk.ROWS).all(2)
+                shared = (registers[i, : BANDS * sk.ROWS] == registers[j, : BANDS * sk.ROWS]).reshape(len(i), BANDS, sk.ROWS).all(2)
                 first = shared.argmax(1) == band[i]
                 i, j = i[first], j[first]
             else:
-                order = np.argsort(-equal, kind="stable")
+                order = np.argsort(-estimate, kind="stable")
                 i, j, taken, keep = i[order], j[order], np.zeros(len(rep), int), []
                 for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
                     if taken[x] < partners or taken[y] < partners:
@@ -217,7 +222,7 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = save(single.join(members.select("rep").distinct(), "rep", "left_semi"), "dup-met")
     sets = save(full_sets(docs, met.select("rep", "digest"), id_col, text_col, broadcast_ids), "dup-sets")
     alone = met.select("rep", "n", F.col("rep").alias("label"), "registers")
-    first = save(candidate_pairs(dealt(members, alone, False, block), likely, PARTNERS).distinct(), "dup-pairs")
+    first = save(candidate_pairs(dealt(members.where(F.col("band") < FIRST_BANDS), alone, False, block), likely, PARTNERS).distinct(), "dup-pairs")
     links = save(confirmed(first, sets, percent), "dup-links")
     label = components(links)
     labelled = alone.drop("label").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 
 WIDTH = 5
-REGISTERS, BASE, RATE, Q = 160, 1.1, 20.0, 254
+#: More registers make estimates sharper; bands take the first few of them.
+REGISTERS, BASE, RATE, Q = 512, 1.1, 20.0, 254
 ROWS = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
 _STEP = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
