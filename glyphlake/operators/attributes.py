@@ -123,10 +123,12 @@ def map_parts(parts: DataFrame, model: Model, settings: Settings) -> DataFrame:
 def merge_parts(mapped: DataFrame, fields: Sequence[Attribute]) -> DataFrame:
     """(book_id, values, open): per field the tags of all parts, spelled once each, or the one text all parts agree on.
     `open` has the fields whose parts differ, with their distinct texts in order."""
-    ordered = mapped.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("part", "values"))).alias("p"))
+    entries = F.struct("part", F.map_entries(F.coalesce("values", F.create_map().cast(VALUES))).alias("entries"))  # maps have no order
+    ordered = mapped.groupBy("book_id").agg(F.array_sort(F.collect_list(entries)).alias("p"))
+    ordered = ordered.select("book_id", F.transform("p", lambda x: F.map_from_entries(x["entries"])).alias("p"))
     names, closed, unsettled = [F.lit(f.name) for f in fields], [], []
     for f in fields:
-        every = F.flatten(F.transform("p", lambda x: F.coalesce(x["values"][F.lit(f.name)], F.array().cast("array<string>"))))  # noqa: B023
+        every = F.flatten(F.transform("p", lambda x: F.coalesce(x[F.lit(f.name)], F.array().cast("array<string>"))))  # noqa: B023
         if f.type == "tags":
             closed.append(values.normalize_tags(F.array_distinct(every)))
             unsettled.append(F.array().cast("array<string>"))

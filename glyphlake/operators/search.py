@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from glyphlake.functions import vectors
@@ -55,7 +56,7 @@ def _scored_wide(rows: DataFrame, q: list[float], exact_cosine: bool) -> DataFra
                 s = np.where(n > 0, s / np.where(n > 0, n, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
 
-    return rows.mapInArrow(made, rows.schema.add("score", "double"))
+    return rows.mapInArrow(made, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def best_per_book(scores: DataFrame, also: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from glyphlake.settings import BAD_RESPONSE_RETRIES, HTTP_ATTEMPTS, EmbedSettings
 from glyphlake.sources.readers import base_url
@@ -117,4 +118,4 @@ def embedded(chunks: DataFrame, embed: Embed, settings: EmbedSettings, text_col:
             found = embed_all(embed, batch.column(at).to_pylist(), settings.batch_size, settings.concurrency)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], names=[*batch.schema.names, "vector"])
 
-    return chunks.mapInArrow(made, chunks.schema.add("vector", "array<float>"))
+    return chunks.mapInArrow(made, T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
