@@ -1,0 +1,132 @@
+import base64
+import hashlib
+import json
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import edges
+from glyphlake.llm import pii, queries, secret_scan
+
+PLAIN = {
+    "assign": (r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32),
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15),
+}
+SECRETS, PERSONAL = ("assign", "access", "hex"), ("email", "ip", "card", "phone")
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(digits[::-1])) % 10 == 0
+
+
+def brute(text, kinds):
+    return [(k, *m.span()) for k in kinds for m in re.finditer(PLAIN[k][0], text) if PLAIN[k][1](m)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abf09 AKI-+.@:='\"_token", max_size=120) | st.lists(st.sampled_from(["token", "=", ": ", "secret", "AKIA", "ABCDEF123456", "0af1" * 8, "abcdefgh", "PassWord", "ſecret", "\"", " ", "x@y.z.com", "a.b@c-d.e", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "+1 (389) 555-5010", "-", ".", "@", "1"]), max_size=9).map("".join))
+def test_base_spans(text):
+    assert sorted(secret_scan.base_spans(text)) == sorted(brute(text, SECRETS))
+    assert pii.base_spans(text) == brute(text, PERSONAL)
+
+
+def number(value):
+    raw = value.to_bytes(value.bit_length() // 8 + 1, "big")
+    return element(2, raw)
+
+
+def element(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else (lambda b: bytes([128 + len(b)]) + b)(n.to_bytes((n.bit_length() + 7) // 8, "big"))
+    return bytes([tag]) + size + body
+
+
+R = random.Random(5)
+RSA = element(0x30, b"".join(number(x) for x in (0, R.getrandbits(1023) | 1, 65537, *(R.getrandbits(500) | 1 for _ in range(6)))))
+PKCS8 = element(0x30, number(0) + element(0x30, element(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + element(5, b"")) + element(4, RSA))
+EC = element(0x30, number(1) + element(4, bytes(R.getrandbits(8) for _ in range(32))) + element(0xA0, element(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+string = lambda b: len(b).to_bytes(4, "big") + b
+SSH = secret_scan.OPENSSH + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(b"p" * 51) + string(b"q" * 136)
+packed = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+JWT = f"{packed({'alg': 'HS256', 'typ': 'JWT'})}.{packed({'sub': '1'})}.{base64.urlsafe_b64encode(b'k' * 32).decode().rstrip('=')}"
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, EC, SSH])
+def test_keys_are_confirmed(data):
+    text = base64.b64encode(data).decode()
+    assert secret_scan.find_spans(f"see {text} ok") == [("key", 4, 4 + len(text))]
+    wrapped = "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
+    pem = f"-----BEGIN PRIVATE KEY-----\n{wrapped}\n-----END PRIVATE KEY-----"
+    assert secret_scan.find_spans(f"x {pem} y")[0] == ("pem", 2, 2 + len(pem)) and len(secret_scan.find_spans(f"x {pem} y")) == 1
+    assert [s for s in secret_scan.find_spans(data.hex().upper()) if s[0] == "key"] == [("key", 0, 2 * len(data))]
+    broken = base64.b64encode(data[:-3]).decode()
+    assert secret_scan.confirmed_spans(broken) == []
+
+
+def test_tokens_are_confirmed():
+    assert secret_scan.find_spans(f"a {JWT} b") == [("jwt", 2, 2 + len(JWT))]
+    for other in (JWT.replace(".", "-"), f"{packed({'typ': 'JWT'})}.{packed({})}.{'A' * 43}", f"{packed([1])}.{packed({})}.{'A' * 43}", "www.example.com.some.long.host.name.of.more.than.forty", base64.b64encode(bytes(range(60))).decode()):
+        assert secret_scan.confirmed_spans(other) == []
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "a1" * 90_000, "@" * 90_000, "+1" + " " * 90_000, "1 " * 90_000, "token=" * 20_000, "eyJh." * 30_000, "-----BEGIN PRIVATE KEY-----" * 2000, "x@" * 50_000])
+def test_hard_texts_take_linear_time(text):
+    secret_scan.find_spans(text)
+    pii.base_spans(text)
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def test_secret_query(spark, sf_dir):
+    got = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, sf_dir).collect()}
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        base = sorted(brute(d["text"], SECRETS), key=lambda s: (s[1], SECRETS.index(s[0])))
+        r = got[d["doc_id"]]
+        assert [r[f"n_{k}"] for k in SECRETS] == [sum(s[0] == k for s in base) for k in SECRETS]
+        assert r["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest() and set(joined(base).split(",")) <= set(r["spans"].split(","))
+
+
+def test_pii_query(spark, sf_dir):
+    got = {r["doc_id"]: r for r in queries.op6_pii(spark, sf_dir).collect()}
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        base = brute(d["text"], PERSONAL)
+        r = got[d["doc_id"]]
+        assert [r[f"n_{k}"] for k in PERSONAL] == [sum(s[0] == k for s in base) for k in PERSONAL]
+        assert r["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest() and r["spans"].startswith(joined(base))
+
+
+def learned_corpus(spark):
+    texts = [f"please charge card number: {4111_1111_1111_1111} today" for _ in range(2)]
+    texts += [f"mail me at home, my address is: u{i}@mail{i}.example.com thanks" for i in range(9)]
+    texts += ["my address is: QX-77120-3 thanks", "my address is: unknown thanks", "the value of 12345 apples", "of the 10.0.0.1 of the 10.0.0.2 of the 10.0.0.3"] + ["of the cat of the 9999 " * 20]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts
+
+
+@pytest.mark.parametrize("block", [1, 100_000])
+def test_contexts_discover_identifiers(spark, block):
+    docs, texts = learned_corpus(spark)
+    assert {r["pattern"] for r in pii.learn_patterns(docs, block=block).collect()} == {"address is:"}
+    found = {(r["doc_id"], s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for r in pii.find_pii(docs, block=block).collect() for s in r["spans"]}
+    assert {x for x in found if x[1] == "context"} == {(11, "context", "QX-77120-3")} and (2, "email", "u0@mail0.example.com") in found
+    clean = {r["doc_id"]: r["text"] for r in pii.redact_documents(docs, block=block).collect()}
+    assert clean[11] == "my address is: [CONTEXT] thanks" and clean[3] == "mail me at home, my address is: [EMAIL] thanks" and clean[13] == texts[13]
+
+
+def test_edges(spark):
+    for made in (secret_scan.scan, pii.find_pii):
+        got = made(edges.rows(spark)).collect()
+        assert sorted(r["doc_id"] or 0 for r in got) == sorted(i or 0 for i, _ in edges.ROWS)
+        assert made(edges.empty(spark)).count() == 0
+    redacted = pii.redact_documents(edges.rows(spark))
+    assert redacted.columns == edges.rows(spark).columns and redacted.count() == len(edges.ROWS)
+    assert pii.redact("ab cd ef", [("email", 3, 5), ("card", 4, 7)]) == "ab [EMAIL] ef"
