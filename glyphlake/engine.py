@@ -18,7 +18,7 @@ from glyphlake import schemas
 from glyphlake.functions import values, vectors
 from glyphlake.operators import packing, registry, search
 from glyphlake.operators.migrate import FinalizeCancelled
-from glyphlake.settings import MIN_EXTRACTED_CHARS, PRIORITY_DEFAULT, PRIORITY_PER_BOOK, SCHEMA_VERSION, Settings
+from glyphlake.settings import MAX_RESULTS, MIN_EXTRACTED_CHARS, PRIORITY_DEFAULT, PRIORITY_PER_BOOK, SCHEMA_VERSION, Settings
 from glyphlake.sources.codec import Codec, resolve
 from glyphlake.sources.embedding import Embed, embedded
 
@@ -351,6 +351,56 @@ class VectorStore:
         return actions
 
 
+    def extract_books(self, model, settings: Settings) -> DataFrame:
+        """Extracts attributes of forced and pending books, keeps what was found and what failed, and returns both. Runs once
+        the indexing queue is empty, so that embedding work is done before any question to a language model."""
+        from glyphlake.operators import attributes
+
+        if not self.table("queue_index").isEmpty():
+            return schemas.empty(self.spark, "attrs").withColumn("error", F.lit(None).cast("string"))
+        names = [a.name for a in settings.enabled()]
+        pending = registry.pending_attributes(self.table("books"), self.table("attrs"), names, self.table("failed"))
+        todo = pending.union(self.table("queue_attrs").select("book_id")).distinct()
+        folder = f"attrs-{uuid.uuid4().hex}.new"
+        chunks = self.table("chunks").join(todo, "book_id", "left_semi").select("book_id", "chunk_no", "text")
+        attributes.extract_attributes(chunks, model, settings).write.parquet(f"{self.path}/{folder}")
+        found = self.spark.read.parquet(f"{self.path}/{folder}")
+        failed = found.where("error is not null").select("book_id", F.lit("attr").alias("kind"), "error")
+        healed = self.table("failed").join(found.select("book_id", F.lit("attr").alias("kind")), ["book_id", "kind"], "left_anti")
+        self.replace(
+            attrs=registry.upsert(self.table("attrs"), found.where("error is null"), ["book_id"]),
+            failed=registry.upsert(healed, failed, ["book_id", "kind"]),
+            queue_attrs=registry.remove(self.table("queue_attrs"), todo),
+        )
+        return found
+
+    # what users ask for
+
+    def ask(self, text: str, embed: Embed, limit: int = MAX_RESULTS, min_score: float = 0.2) -> tuple[DataFrame, list[float]]:
+        """(results, query vector): embeds the question and searches; the vector serves further drill-downs."""
+        if not text.strip():
+            raise ValueError("nothing to search for")
+        vector = embed([text.strip()])[0]
+        return self.search(vector, min(limit, MAX_RESULTS), search.clamp_min_score(min_score)), vector
+
+    def reindex(self, book_id: int) -> None:
+        self.enqueue_indexing(book_id, PRIORITY_PER_BOOK)
+
+    def reindex_all(self, library: DataFrame) -> None:
+        self._queue_books(library.where("fmt is not null"))
+
+    def reindex_new_and_failed(self, library: DataFrame) -> None:
+        self._queue_books(registry.new_and_failed(library, self.table("books"), self.table("failed")))
+
+    def _queue_books(self, ids: DataFrame) -> None:
+        rows = ids.select("book_id", F.lit(PRIORITY_DEFAULT).alias("priority"))
+        self.replace(queue_index=registry.enqueue(self.table("queue_index"), rows))
+
+    def status(self, library: DataFrame, settings: Settings) -> list[str]:
+        pending = registry.pending_attributes(self.table("books"), self.table("attrs"), [a.name for a in settings.enabled()])
+        return registry.status_lines(registry.status(library, self.table("books"), pending, self.table("failed")).first())
+
+
 def values_model(model: str) -> str:
     """`functions.values.normalize_model` for one name, on the driver."""
     import re

@@ -103,6 +103,38 @@ def test_whole_job_and_reconcile(spark, store, tmp_path):
     assert not store.book_is_indexed(2)
 
 
+def test_attributes_and_requests(spark, store):
+    fill(store)
+    settings = Settings(attributes=Settings().attributes[5:6])
+
+    def model(prompt, fields, options):
+        if "903-" in prompt:
+            raise RuntimeError("down")
+        return {"pov": "first person"}
+
+    store.enqueue_indexing(1)
+    assert store.extract_books(model, settings).isEmpty()
+    store.dequeue_indexing(1)
+    store.enqueue_attrs(902)
+    store.extract_books(model, settings)
+    assert store.get_attrs(901) == store.get_attrs(902) == {"pov": ["first person"]} and store.failed_book_ids("attr") == [903] and store.queued_attrs_book_ids() == []
+    store.enqueue_attrs_all()
+    assert store.queued_attrs_book_ids() == [903, 902, 901]
+    store.extract_books(lambda *a: {"pov": "third"}, settings)
+    assert store.failed_book_ids() == [] and store.get_attrs(903) == {"pov": ["third"]}
+    library = spark.createDataFrame([(901, "EPUB"), (904, "PDF"), (905, None)], "book_id long, fmt string")
+    store.reindex_new_and_failed(library)
+    assert store.queued_indexing_book_ids() == [904]
+    store.reindex_all(library)
+    store.reindex(901)
+    assert store.queued_indexing_book_ids() == [901, 904]
+    assert store.status(library, settings) == ["Books indexed: 3/3", "Total chunks: 9", "Attributes stored: 3/3 books"]
+    found, vector_ = store.ask(" question ", lambda texts: [[1.0] * 8], min_score=-1)
+    assert found.first()["book_id"] == 901 and store.search_book(vector_, 901, -1.0).count() == 3
+    with pytest.raises(ValueError):
+        store.ask("  ", None)
+
+
 def test_finalize(spark, store):
     codec = Codec("zlib")
     assert not store.needs_finalize and store.pending_stages(codec) == []
