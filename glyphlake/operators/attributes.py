@@ -24,6 +24,11 @@ Model = Callable[[str, Sequence[tuple[str, str]], dict[str, Any]], dict[str, Any
 VALUES = "map<string,array<string>>"
 
 
+def answer_schema(fields: Sequence[Attribute]) -> T.StructType:
+    """What an answer looks like: tags as lists, everything else as one text, all optional."""
+    return T.StructType([T.StructField(f.name, T.ArrayType(T.StringType()) if f.type == "tags" else T.StringType(), True, {"description": f.description}) for f in fields])
+
+
 def language_note(field: Attribute) -> str:
     if not field.language:
         return ""

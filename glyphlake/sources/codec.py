@@ -75,6 +75,16 @@ def decompress_column(c: Column, codec: Codec) -> Column:
     return unpacked(c)
 
 
+def recompress_column(c: Column, old: Codec, new: Codec) -> Column:
+    """Blobs of one codec as those of another; one that can't be read fails the job, so that nothing is half converted."""
+
+    @F.pandas_udf("binary")
+    def moved(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else new.compress(old.decompress(b)))
+
+    return c if old == new else moved(c)
+
+
 def train_dictionary(samples: Iterable[str], size: int = 16_384) -> bytes:
     """A zstandard dictionary from a bounded sample of texts that the caller chooses."""
     import zstandard

@@ -72,6 +72,10 @@ def test_prompts():
     assert len(cut) < len(full) and "v0" in cut and "v8" in cut
 
 
+def test_answer_schema():
+    assert A.answer_schema(FIELDS).simpleString() == "struct<gender:string,tropes:array<string>>"
+
+
 def test_mirror_and_counts(spark):
     attrs = spark.createDataFrame([(1, {"gender": ["f"], "tropes": ["A b", "c"]}), (2, {"gender": [], "tropes": ["a  B"]})], "book_id long, values map<string,array<string>>")
     rows = collected(A.mirror(attrs, FIELDS))

@@ -92,6 +92,9 @@ def test_codecs(spark, made):
     df = spark.createDataFrame([("a",), (None,)], "t string")
     back = df.select(codec.decompress_column(codec.compress_column(F.col("t"), made), made).alias("t"))
     assert [r["t"] for r in back.collect()] == ["a", None]
+    other = codec.Codec("zlib")
+    moved = df.select(codec.decompress_column(codec.recompress_column(codec.compress_column(F.col("t"), made), made, other), other).alias("t"))
+    assert [r["t"] for r in moved.collect()] == ["a", None]
 
 
 def test_readers(spark, tmp_path):
