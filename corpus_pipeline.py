@@ -36,7 +36,7 @@ def without_names(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left."""
-    return bpe.digests(bpe.decode_documents(bpe.encode_documents(docs)))
+    return bpe.digests(bpe.encode_documents(docs, decode=True))
 
 
 STAGES = [("toxicity", clean_speech), ("near_dedup", one_of_each), ("decontamination", without_leaks), ("pii", without_names), ("byte_bpe", tokens)]

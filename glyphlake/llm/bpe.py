@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import id_and_text
+from glyphlake.llm.common import freeing, id_and_text
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of each of the two generations of the cache of encoded pieces in a worker; a bound on memory only.
-CACHE = 250_000
+CACHE = 120_000
 
 
 def ranks_file(path: str | None) -> str:
@@ -71,7 +71,7 @@ class PieceEncoder:
         known = self.neighbours.get(key)
         if known is None:
             pair = [right] if left < 0 else [left, right]
-            if len(self.neighbours) > 2_000_000:
+            if len(self.neighbours) > 400_000:
                 self.neighbours.clear()
             known = self.neighbours[key] = merge_by_rank("".join(self.names[t] for t in pair).encode("latin-1"), self.ranks) == pair
         return known
@@ -160,43 +160,55 @@ def encode_text(text: str, encoder: PieceEncoder, splitter) -> bytes:
     return b"".join([young.get(p) or miss(p) for p in splitter(text)])
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids) of every row's whole text; ids are little-endian unsigned 32-bit integers in one binary.
+def _ids(batch: pa.RecordBatch, ranks_path: str | None, pattern: str | None) -> list[bytes]:
+    import public_tokenizers
+    import regex
+
+    encoder = _encoder(ranks_file(ranks_path))
+    splitter = regex.compile(pattern or public_tokenizers.PATTERN).findall
+    return [encode_text(t, encoder, splitter) for t in batch.column(1).to_pylist()]
+
+
+def _bytes(ids: list[bytes | None], ranks_path: str | None) -> list[bytes]:
+    import numpy as np
+
+    tokens = _tokens(ranks_file(ranks_path))
+    return [b"".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in ids]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decode: bool = False) -> DataFrame:
+    """(id, n_tokens, ids) of every row's whole text; ids are little-endian unsigned 32-bit integers in one binary. With
+    decode also what these ids stand for, as `decode_documents` gives it, from the same worker.
 
     Each match of the pattern is encoded by itself, without special tokens. A null or empty text has no ids; null ids,
     ties and repeated rows keep their rows; an empty table gives an empty result; other columns are ignored."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        import regex
-
-        encoder = _encoder(ranks_file(ranks_path))
-        splitter = regex.compile(pattern or public_tokenizers.PATTERN).findall
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = [encode_text(t, encoder, splitter) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+        for batch in _slices(batches):
+            ids = _ids(batch, ranks_path, pattern)
+            more = [pa.array(_bytes(ids, ranks_path), pa.binary())] if decode else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *more], names=[id_col, "n_tokens", "ids", *["decoded"] * decode])
 
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(encoded, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary")
+    return rows.mapInArrow(freeing(encoded), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary{', decoded binary' * decode}")
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ranks_path: str | None = None) -> DataFrame:
     """(id, n_tokens, ids, decoded) with the bytes that `ids` stand for; unknown ids raise, null ids give no bytes."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        tokens = _tokens(ranks_file(ranks_path))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [b"".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
+        for batch in _slices(batches):
+            texts = _bytes(batch.column(2).to_pylist(), ranks_path)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col), "n_tokens", "ids")
-    return rows.mapInArrow(decoded, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
+    return rows.mapInArrow(freeing(decoded), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

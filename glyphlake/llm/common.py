@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +55,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def freeing(work):
+    """A function over Arrow batches that hands what it no longer uses back to the system when its task ends.
+
+    Workers live on for later tasks and other operators; without this each keeps the largest amount it ever used."""
+
+    @functools.wraps(work)
+    def done(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                gc.collect()
+                trim(0)
+
+    return done
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, so that other columns never clash; a null text counts as empty."""
     small_batches(docs.sparkSession)

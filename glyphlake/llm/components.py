@@ -33,6 +33,8 @@ def components(links: DataFrame, passes: int = 60) -> DataFrame:
         edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            found._scratch_path = edges._scratch_path
+            return found
         mark = now
     raise RuntimeError(f"components did not settle in {passes} passes")

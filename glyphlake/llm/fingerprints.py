@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import small_batches
+from glyphlake.llm.common import freeing, small_batches
 
 W = 64
 VOTES = 16
@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in batch.column(1).to_pylist()])], names=[id_col, "fingerprint"])
 
-    return rows.mapInArrow(made, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fingerprint string")
+    return rows.mapInArrow(freeing(made), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fingerprint string")
 
 
 def bounds(docs: DataFrame, id_col: str, parts: int) -> list:
@@ -237,4 +237,4 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=names)
 
-    return rows.select("range", "id", "text", "own").mapInArrow(made, f"`{id_col}` {kind}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.select("range", "id", "text", "own").mapInArrow(freeing(made), f"`{id_col}` {kind}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import small_batches
+from glyphlake.llm.common import freeing, small_batches
 
 #: Fixed lists of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -311,4 +311,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     kinds = [f.dataType.simpleString() for f in rows.schema]
-    return rows.mapInArrow(extracted, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string")
+    return rows.mapInArrow(freeing(extracted), f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm import setsketch as sk
-from glyphlake.llm.common import drop_saved, id_and_text, save
+from glyphlake.llm.common import drop_saved, freeing, id_and_text, save
 from glyphlake.llm.components import components
 
 PERCENT = 75
@@ -49,7 +49,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 registers = sk.sketches(sets)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets, strict=True)], pa.binary())], names=["id", "n", "digest", "registers"])
 
-    return rows.mapInArrow(made, f"id {rows.schema[0].dataType.simpleString()}, n long, digest binary, registers binary")
+    return rows.mapInArrow(freeing(made), f"id {rows.schema[0].dataType.simpleString()}, n long, digest binary, registers binary")
 
 
 def digest(shingles: np.ndarray) -> bytes | None:
@@ -161,7 +161,7 @@ def candidate_pairs(rows: DataFrame, likely: float, partners: int | None) -> Dat
     spark_type = rows.schema["rep"].dataType
     kind = pa.int64() if spark_type.typeName() == "long" else pa.int32() if spark_type.typeName() == "integer" else pa.string()
     name = spark_type.simpleString()
-    return rows.mapInArrow(made, f"a {name}, b {name}")
+    return rows.mapInArrow(freeing(made), f"a {name}, b {name}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +185,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     name = pairs.schema["a"].dataType.simpleString()
     first = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
     both = first.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(tested, f"a {name}, b {name}")
+    return both.select("a", "b", "x", "y").mapInArrow(freeing(tested), f"a {name}, b {name}")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
@@ -203,7 +203,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, br
                 keep = [digest(s) == w for s, w in zip(sets, wants, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], names=["rep", "set"])
 
-    return rows.mapInArrow(made, f"rep {rows.schema[0].dataType.simpleString()}, set binary").dropDuplicates(["rep"])
+    return rows.mapInArrow(freeing(made), f"rep {rows.schema[0].dataType.simpleString()}, set binary").dropDuplicates(["rep"])
 
 
 def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, likely: float = LIKELY, block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -229,13 +229,14 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.join(labelled.select("rep", "label"), "rep")
     open_buckets = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
     rest = candidate_pairs(dealt(members.join(open_buckets, "bucket", "left_semi"), labelled, True, block), likely, None)
-    more = confirmed(save(rest.distinct().join(first, ["a", "b"], "left_anti"), "dup-rest"), sets, percent)
+    rest = save(rest.distinct().join(first, ["a", "b"], "left_anti"), "dup-rest")
+    more = confirmed(rest, sets, percent)
     whole = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     named = nodes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = seen.select("id", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     result = save(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept")), "dup-result")
-    drop_saved(seen, nodes, members, met, sets, first, links)
+    drop_saved(seen, nodes, members, met, sets, first, links, label, rest, whole)
     return result
 
 

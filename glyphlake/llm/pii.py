@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import drop_saved, id_and_text, save
+from glyphlake.llm.common import drop_saved, freeing, id_and_text, save
 from glyphlake.llm.secret_scan import SPANS
 
 KINDS = ("email", "ip", "card", "phone")
@@ -152,7 +152,7 @@ def _counted(rows: DataFrame, pairs, flush: int = 50_000) -> DataFrame:
                     yield out()
         yield out()
 
-    return rows.mapInArrow(count, "pattern string, instance string, n long").groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(freeing(count), "pattern string, instance string, n long").groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
 
 
 def score_graph(edges: DataFrame, seed_rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -220,7 +220,7 @@ def annotate(rows: DataFrame, id_col: str, text_col: str, patterns: dict[str, fl
                 out.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, kind)], names=[id_col, text_col, "spans"])
 
-    return rows.mapInArrow(found, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, `{text_col}` string, spans {SPANS}")
+    return rows.mapInArrow(freeing(found), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, `{text_col}` string, spans {SPANS}")
 
 
 def in_order(spans: Iterable[Span]) -> list[Span]:
@@ -262,9 +262,9 @@ def redact_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         return redacted
 
     for patterns in _blocks(learn_patterns(docs, id_col, text_col, block=block, **options), block):
-        out = (out if first else save(out, "pii-redacted")).mapInArrow(step(patterns), docs.schema)
+        out = (out if first else save(out, "pii-redacted")).mapInArrow(freeing(step(patterns)), docs.schema)
         first = False
-    return out.mapInArrow(step({}), docs.schema) if first else out
+    return out.mapInArrow(freeing(step({})), docs.schema) if first else out
 
 
 def redact(text: str, spans: Iterable[Span]) -> str:

@@ -21,7 +21,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), decode=True))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import by_bytes, id_and_text
+from glyphlake.llm.common import by_bytes, freeing, id_and_text
 
 MODEL = "piece_bpe_32k.model"
 BATCH_CHARS = 1 << 20
@@ -83,7 +83,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(totals, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     rows = id_and_text(docs, id_col, text_col).withColumn("n_bytes", F.octet_length(text_col).cast("long"))
-    return rows.mapInArrow(lengths, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(freeing(lengths), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
 
 
 def over_limit(counts: DataFrame, limit: int = OVER) -> DataFrame:

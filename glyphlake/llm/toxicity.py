@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm.boosting import Boosted, Isotonic, fit, isotonic
-from glyphlake.llm.common import drop_saved, id_and_text, save
+from glyphlake.llm.common import drop_saved, freeing, id_and_text, save
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their ids.
 TRAIN_ROWS = 20_000
@@ -151,7 +151,7 @@ def induce(train: DataFrame, limit: int = LEXICON) -> dict[str, float]:
                 zeros = [0] * len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n if toxic else zeros, pa.int64()), pa.array(zeros if toxic else n, pa.int64())], names=["term", "toxic", "clean"])
 
-    counted = train.select("toxic", "text").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = train.select("toxic", "text").mapInArrow(freeing(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = save(counted.where(f"toxic >= {TEXTS} or term = ''"), "toxic-terms")
     total = counted.where("term = ''").agg(F.sum("toxic"), F.sum("clean")).first()
     if not total[0] or not total[1]:
@@ -172,7 +172,7 @@ def _featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> Da
             x = [features(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return rows.select(*keep, "text").mapInArrow(made, f"{schema}, x array<double>")
+    return rows.select(*keep, "text").mapInArrow(freeing(made), f"{schema}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             x = np.array([features(t, words) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=[id_col, "score"])
 
-    return rows.mapInArrow(scored, schema)
+    return rows.mapInArrow(freeing(scored), schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -221,7 +221,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             x = np.array([features(t or "", words) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) < threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(freeing(kept), docs.schema)
 
 
 def judged(scores: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
