@@ -1,8 +1,9 @@
 """A store of books, chunks, queues and attributes over Parquet, with the calls an application makes.
 
-Every table is a folder of numbered versions; a manifest names the current ones and is replaced in one rename, so a reader
-sees either all of a change or nothing, and an interrupted one leaves the old state. Chunks are partitioned by model. The
-store has one writer; operators on DataFrames (`operators`) do the work, and bulk work should use them directly."""
+Every registry is a folder of its current version, chunks are a list of segments (rows added, rows dropped), partitioned by
+model. A manifest names them and is replaced in one rename, so a reader sees either all of a change or nothing, and an
+interrupted one leaves the old state. A change to chunks writes what it adds and which are dropped; the rest of
+the table isn't touched until `compact`. The store has one writer; operators on DataFrames (`operators`) do the work, and bulk work should use them directly."""
 
 from __future__ import annotations
 
@@ -23,6 +24,11 @@ from glyphlake.sources.codec import Codec, resolve
 from glyphlake.sources.embedding import Embed, embedded
 
 
+#: Chunk segments that a store keeps before it joins them; what a segment of dropped chunks holds.
+SEGMENTS = 32
+DROPS = "book_id long, chunk_no int"
+
+
 class IndexerError(Exception):
     pass
 
@@ -64,35 +70,76 @@ class VectorStore:
         context.rename(context.makeQualified(new), context.makeQualified(self._at("manifest.json")), kinds)
 
     def table(self, name: str) -> DataFrame:
-        folder = self._read("manifest.json")["tables"].get(name)
-        kind = self.spark.createDataFrame([], schemas.TABLES[name])
-        return kind if folder is None else self.spark.read.schema(kind.schema).parquet(f"{self.path}/{folder}").select(kind.columns)
-
-    def replace(self, **tables: DataFrame) -> None:
-        """New versions of these tables, published together; the old folders go afterwards."""
+        entry = self._read("manifest.json")["tables"].get(name)
+        if name == "chunks":
+            return self._chunks(entry or [])
+        kind = schemas.empty(self.spark, name)
+        return kind if entry is None else self.spark.read.schema(kind.schema).parquet(f"{self.path}/{entry}").select(kind.columns)
+
+    def _chunks(self, segments: list) -> DataFrame:
+        """Chunks are segments in order: rows that were added, and what was dropped from those before."""
+        kind = schemas.empty(self.spark, "chunks")
+        out = None
+        for what, folder in segments:
+            if what == "rows":
+                part = self.spark.read.schema(kind.schema).parquet(f"{self.path}/{folder}").select(kind.columns)
+                out = part if out is None else out.unionByName(part)
+            elif out is not None:
+                gone = self.spark.read.schema(DROPS).parquet(f"{self.path}/{folder}")
+                out = out.join(gone.where("chunk_no is null").select("book_id"), "book_id", "left_anti").join(gone.where("chunk_no is not null"), ["book_id", "chunk_no"], "left_anti").select(kind.columns)
+        return kind if out is None else out
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        folder = f"{name}-{uuid.uuid4().hex}"
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy("model") if name == "chunks" else writer).parquet(f"{self.path}/{folder}")
+        return folder
+
+    def publish(self, added: DataFrame | None = None, dropped: DataFrame | None = None, **tables: DataFrame) -> None:
+        """New versions of these tables, chunks dropped (book_id, chunk_no; a null number means the whole book) and then
+        added, published together. Chunks are never rewritten for a change: it costs what it adds. Folders that are no
+        longer named go afterwards."""
         manifest = self._read("manifest.json")
+        segments = list(manifest["tables"].get("chunks") or [])
         old = []
+        if dropped is not None and segments:
+            segments.append(["drop", self._write("dropped", dropped.select("book_id", F.col("chunk_no").cast("int").alias("chunk_no")))])
+        if added is not None:
+            segments.append(["rows", self._write("chunks", added.select(schemas.empty(self.spark, "chunks").columns))])
+        manifest["tables"]["chunks"] = segments
         for name, df in tables.items():
-            folder = f"{name}-{uuid.uuid4().hex}"
-            writer = df.select(schemas.empty(self.spark, name).columns).write.option("compression", "zstd")
-            (writer.partitionBy("model") if name == "chunks" else writer).parquet(f"{self.path}/{folder}")
             old.append(manifest["tables"].get(name))
-            manifest["tables"][name] = folder
+            manifest["tables"][name] = self._write(name, df.select(schemas.empty(self.spark, name).columns))
         self._publish(manifest)
         for folder in filter(None, old):
             self._fs.delete(self._at(folder), True)
+        if len(segments) > SEGMENTS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes the chunks that are left as one segment."""
+        manifest = self._read("manifest.json")
+        old = manifest["tables"].get("chunks") or []
+        if len(old) > 1:
+            manifest["tables"]["chunks"] = [["rows", self._write("chunks", self._chunks(old))]]
+            self._publish(manifest)
+            for _, folder in old:
+                self._fs.delete(self._at(folder), True)
 
     def _rows(self, name: str, rows: Iterable[tuple]) -> DataFrame:
         return self.spark.createDataFrame(list(rows), schemas.TABLES[name])
 
+    def _rows_of(self, kind: str, rows: Iterable[tuple]) -> DataFrame:
+        return self.spark.createDataFrame(list(rows), kind)
+
     def _upsert(self, name: str, rows: Iterable[tuple]) -> None:
-        self.replace(**{name: registry.upsert(self.table(name), self._rows(name, rows), schemas.KEYS[name])})
+        self.publish(**{name: registry.upsert(self.table(name), self._rows(name, rows), schemas.KEYS[name])})
 
     def _drop(self, name: str, **keys) -> None:
         held = F.lit(True)
         for k, v in keys.items():
             held = held & (F.col(k) == v)
-        self.replace(**{name: self.table(name).where(~F.coalesce(held, F.lit(False)))})
+        self.publish(**{name: self.table(name).where(~F.coalesce(held, F.lit(False)))})
 
     def close(self) -> None:
         self.commit()
@@ -126,7 +173,7 @@ class VectorStore:
     # queues
 
     def _enqueue(self, queue: str, ids: Iterable[int], priority: int) -> None:
-        self.replace(**{queue: registry.enqueue(self.table(queue), self._rows(queue, [(i, priority) for i in ids]))})
+        self.publish(**{queue: registry.enqueue(self.table(queue), self._rows(queue, [(i, priority) for i in ids]))})
 
     def enqueue_indexing(self, book_id: int, priority: int = PRIORITY_DEFAULT) -> None:
         self._enqueue("queue_index", [book_id], priority)
@@ -145,7 +192,7 @@ class VectorStore:
 
     def enqueue_attrs_all(self, priority: int = PRIORITY_DEFAULT) -> None:
         books = self.table("books").where("n_chunks > 0").select("book_id", F.lit(priority).alias("priority"))
-        self.replace(queue_attrs=registry.enqueue(self.table("queue_attrs"), books))
+        self.publish(queue_attrs=registry.enqueue(self.table("queue_attrs"), books))
 
     def queued_attrs_book_ids(self) -> list[int]:
         return [r["book_id"] for r in registry.queue_order(self.table("queue_attrs")).collect()]
@@ -166,7 +213,7 @@ class VectorStore:
 
     def clear_book(self, book_id: int) -> None:
         one = self._rows("queue_index", [(book_id, 0)])
-        self.replace(books=registry.remove(self.table("books"), one), chunks=registry.remove(self.table("chunks"), one))
+        self.publish(dropped=self._rows_of("book_id long, chunk_no int", [(book_id, None)]), books=registry.remove(self.table("books"), one))
 
     def get_file_info(self, book_id: int) -> dict | None:
         row = self.table("file_info").where(F.col("book_id") == book_id).first()
@@ -237,13 +284,13 @@ class VectorStore:
         """Adds chunks; vectors are brought to length 1 and to half precision."""
         vector = vectors.normalized(F.col("vector"))
         rows = chunks.withColumn("vector", vectors.half_precision(vector) if halved else vector)
-        self.replace(chunks=self.table("chunks").unionByName(rows.select(schemas.empty(self.spark, "chunks").columns)))
+        self.publish(added=rows)
 
     def delete_chunk(self, book_id: int, chunk_no: int) -> None:
         """A book that loses its last chunk stays registered, with 0."""
-        rest = search.delete_chunk(self.table("chunks"), book_id, chunk_no)
+        rest = search.delete_chunk(self.table("chunks").where(F.col("book_id") == book_id), book_id, chunk_no)
         one = registry.recount(self.table("books").where(F.col("book_id") == book_id), rest)
-        self.replace(chunks=rest, books=registry.upsert(self.table("books"), one, ["book_id"]))
+        self.publish(dropped=self._rows_of(DROPS, [(book_id, chunk_no)]), books=registry.upsert(self.table("books"), one, ["book_id"]))
 
     def count_book_chunks(self, book_id: int) -> int:
         return self.table("chunks").where(F.col("book_id") == book_id).count()
@@ -254,7 +301,10 @@ class VectorStore:
 
     def cleanup_stale_models(self, current: str | None = None) -> None:
         stale = registry.stale_models(self.table("chunks"), self.table("books"), values_model(current) if current else None)
-        self.replace(chunks=self.table("chunks").join(F.broadcast(stale), "model", "left_anti"))
+        gone = self.table("chunks").join(stale, "model", "left_semi").select("book_id", "chunk_no").distinct()
+        if not stale.isEmpty():
+            kept = self.table("chunks").join(stale, "model", "left_anti").join(gone, ["book_id", "chunk_no"], "left_semi")
+            self.publish(dropped=gone, added=kept)  # a number that another model shares comes again
 
     # search
 
@@ -328,8 +378,9 @@ class VectorStore:
         cleared = done.select("book_id").union(thin)
         info = values.file_info(F.col("size"), F.col("mtime"))
         books = done.join(extracted.select("book_id", "fmt"), "book_id").withColumn("indexed_at", F.lit(int(time.time()))).withColumn("model", F.lit(model))
-        self.replace(
-            chunks=registry.remove(self.table("chunks"), cleared).unionByName(staged.select(schemas.empty(self.spark, "chunks").columns)),
+        self.publish(
+            added=staged,
+            dropped=cleared.withColumn("chunk_no", F.lit(None)),
             books=registry.upsert(registry.remove(self.table("books"), cleared), books, ["book_id"]),
             failed=registry.upsert(self.table("failed").join(done.select("book_id", F.lit("index").alias("kind")), ["book_id", "kind"], "left_anti"), failed, ["book_id", "kind"]),
             file_info=registry.upsert(self.table("file_info"), extracted.select("book_id", "fmt", info.alias("i")).where("i is not null").select("book_id", "fmt", "i.*"), ["book_id"]),
@@ -339,13 +390,13 @@ class VectorStore:
 
     def reconcile(self, library: DataFrame, current_model: str | None = None) -> DataFrame:
         """Compares (book_id, fmt, size, mtime) with the registries, applies what follows and returns the actions."""
-        names = [n for n in schemas.TABLES if n != "meta"]
-        tables = {n: self.table(n) for n in names}
+        tables = {n: self.table(n) for n in schemas.TABLES if n not in ("meta", "chunks")}
         found = registry.reconcile(library, tables)
         folder = f"actions-{uuid.uuid4().hex}"  # the tables it was worked out from are replaced below
         found.write.parquet(f"{self.path}/{folder}")
         actions = self.spark.read.parquet(f"{self.path}/{folder}")
-        self.replace(**registry.apply_reconcile(actions, tables))
+        gone = actions.where("action = 'remove'").select("book_id", F.lit(None).cast("int").alias("chunk_no"))
+        self.publish(dropped=None if gone.isEmpty() else gone, **registry.apply_reconcile(actions, tables))
         if current_model:
             self.cleanup_stale_models(current_model)
         return actions
@@ -367,7 +418,7 @@ class VectorStore:
         found = self.spark.read.parquet(f"{self.path}/{folder}")
         failed = found.where("error is not null").select("book_id", F.lit("attr").alias("kind"), "error")
         healed = self.table("failed").join(found.select("book_id", F.lit("attr").alias("kind")), ["book_id", "kind"], "left_anti")
-        self.replace(
+        self.publish(
             attrs=registry.upsert(self.table("attrs"), found.where("error is null"), ["book_id"]),
             failed=registry.upsert(healed, failed, ["book_id", "kind"]),
             queue_attrs=registry.remove(self.table("queue_attrs"), todo),
@@ -394,7 +445,7 @@ class VectorStore:
 
     def _queue_books(self, ids: DataFrame) -> None:
         rows = ids.select("book_id", F.lit(PRIORITY_DEFAULT).alias("priority"))
-        self.replace(queue_index=registry.enqueue(self.table("queue_index"), rows))
+        self.publish(queue_index=registry.enqueue(self.table("queue_index"), rows))
 
     def status(self, library: DataFrame, settings: Settings) -> list[str]:
         pending = registry.pending_attributes(self.table("books"), self.table("attrs"), [a.name for a in settings.enabled()])

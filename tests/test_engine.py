@@ -42,7 +42,13 @@ def test_lifecycle_and_reopen(spark, store):
     again.clear_book(901)
     assert not again.book_is_indexed(901) and again.count_book_chunks(901) == 0
     again.cleanup_stale_models("other")
+    assert again.count_book_chunks(903) == 4 and again.table("chunks").count() == 4
+    again.add_chunks(again.table("chunks").withColumn("model", F.lit("old")))
+    assert again.count_book_chunks(903) == 8
+    again.cleanup_stale_models("model")
     assert again.count_book_chunks(903) == 4
+    again.compact()
+    assert again.book_chunks_text(903) == [f"903-{i}" for i in range(4)]
 
 
 def test_registries(store):
