@@ -277,14 +277,12 @@ class VectorStore:
         """Writes what is held, of all books or of one, in one job."""
         out = [r for r in self._buffer if book_id is None or r[0] == book_id]
         if out:
-            self.add_chunks(self._rows("chunks", out))
+            self.add_chunks(self._rows_of(schemas.TABLES["chunks"].replace("binary", "array<float>"), out))
             self._buffer = [r for r in self._buffer if book_id is not None and r[0] != book_id]
 
-    def add_chunks(self, chunks: DataFrame, halved: bool = True) -> None:
-        """Adds chunks; vectors are brought to length 1 and to half precision."""
-        vector = vectors.normalized(F.col("vector"))
-        rows = chunks.withColumn("vector", vectors.half_precision(vector) if halved else vector)
-        self.publish(added=rows)
+    def add_chunks(self, chunks: DataFrame) -> None:
+        """Adds chunks. Vectors given as arrays are brought to length 1 and kept as half-precision bytes; bytes stay."""
+        self.publish(added=stored(chunks))
 
     def delete_chunk(self, book_id: int, chunk_no: int) -> None:
         """A book that loses its last chunk stays registered, with 0."""
@@ -368,7 +366,7 @@ class VectorStore:
         rows = packing.chunk_rows(texts.unionByName(pages), "book_id", settings.max_chunks_per_book)
         folder = f"staged-{uuid.uuid4().hex}"
         model = values_model(settings.embed.model)
-        ready = embedded(rows, embed, settings.embed).withColumn("model", F.lit(model)).withColumn("vector", vectors.half_precision(vectors.normalized(F.col("vector"))))
+        ready = stored(embedded(rows, embed, settings.embed).withColumn("model", F.lit(model)))
         ready.write.parquet(f"{self.path}/{folder}")
         staged = self.spark.read.parquet(f"{self.path}/{folder}")
         done = staged.groupBy("book_id").agg(F.count("*").cast("int").alias("n_chunks"))
@@ -452,6 +450,13 @@ class VectorStore:
         return registry.status_lines(registry.status(library, self.table("books"), pending, self.table("failed")).first())
 
 
+def stored(chunks: DataFrame) -> DataFrame:
+    """Chunks with their vectors as the store keeps them: length 1, two bytes a number."""
+    if dict(chunks.dtypes)["vector"] == "binary":
+        return chunks
+    return chunks.withColumn("vector", vectors.half_bytes(vectors.normalized(F.col("vector"))))
+
+
 def values_model(model: str) -> str:
     """`functions.values.normalize_model` for one name, on the driver."""
     import re

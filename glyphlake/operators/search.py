@@ -32,9 +32,12 @@ def unit(query: Sequence[float]) -> list[float]:
 def scored(chunks: DataFrame, query: Sequence[float], model: str | None = None, exact_cosine: bool = False) -> DataFrame:
     """chunks (book_id, chunk_no, vector[, model]) with a score; vectors of another width are left out.
 
-    The score is the product of the query, brought to length 1, with the stored vector, or the true cosine."""
+    A vector is an array of numbers or, as the store keeps it, its half-precision bytes. The score is the product of the
+    query, brought to length 1, with the stored vector, or the true cosine."""
     q = unit(query)
     rows = chunks if model is None else chunks.where(F.col("model") == model)
+    if isinstance(chunks.schema["vector"].dataType, T.BinaryType):
+        return _scored_wide(rows.where(F.octet_length("vector") == 2 * len(q)), q, exact_cosine, halves=True)
     rows = rows.where(vectors.same_width(F.col("vector"), len(q)))
     if len(q) >= WIDE:
         return _scored_wide(rows, q, exact_cosine)
@@ -43,20 +46,32 @@ def scored(chunks: DataFrame, query: Sequence[float], model: str | None = None,
     return rows.withColumn("score", score)
 
 
-def _scored_wide(rows: DataFrame, q: list[float], exact_cosine: bool) -> DataFrame:
+def _matrix(column: pa.Array, width: int, halves: bool) -> np.ndarray:
+    """Vectors of one width as rows; half-precision bytes are taken straight from the batch's buffer."""
+    if not halves:
+        return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, width)
+    offsets = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset) if pa.types.is_binary(column.type) else None
+    if offsets is None or offsets[-1] - offsets[0] != 2 * width * len(column):
+        return np.stack([np.frombuffer(v, "<f2") for v in column.to_pylist()]).astype(np.float32)
+    return np.frombuffer(column.buffers()[2], "<f2", width * len(column), int(offsets[0])).reshape(-1, width).astype(np.float32)
+
+
+def _scored_wide(rows: DataFrame, q: list[float], exact_cosine: bool, halves: bool = False) -> DataFrame:
     query = np.asarray(q, np.float32)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column(batch.schema.get_field_index("vector"))
-            m = np.asarray(held.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, len(query))
+            if not batch.num_rows:
+                continue
+            m = _matrix(batch.column(batch.schema.get_field_index("vector")), len(query), halves)
             s = (m @ query).astype(np.float64)
             if exact_cosine:
                 n = np.linalg.norm(m, axis=1)
                 s = np.where(n > 0, s / np.where(n > 0, n, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
+            kept = [n for n in batch.schema.names if n != "vector"]  # nothing behind needs vectors: they don't go back
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(s)], names=[*kept, "score"])
 
-    return rows.mapInArrow(made, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(made, T.StructType([*(f for f in rows.schema.fields if f.name != "vector"), T.StructField("score", T.DoubleType())]))
 
 
 def best_per_book(scores: DataFrame, also: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +85,7 @@ def search(chunks: DataFrame, query: Sequence[float], limit: int = 20, min_score
     """(book_id, chunk_no, score[, fmt]) of the best books, scores falling, then ids rising. A limit of 0 or less, an
     unknown model or only vectors of another width give no row; min_score is inclusive."""
     keep = [c for c in ("book_id", "chunk_no", "model") if c in chunks.columns]
-    best = best_per_book(scored(chunks, query, model, exact_cosine).select(*keep, "score")).where(F.col("score") >= min_score)
+    best = best_per_book(scored(chunks.select(*keep, "vector"), query, model, exact_cosine).select(*keep, "score")).where(F.col("score") >= min_score)
     top = best.orderBy(F.desc("score"), F.asc("book_id")).limit(max(0, min(limit, MAX_RESULTS)))
     if books is None:
         return top

@@ -12,7 +12,7 @@ TABLES = {
     "failed": "book_id long, kind string, error string",
     "file_info": "book_id long, fmt string, size long, mtime_s long",
     "meta": "key string, value string",
-    "chunks": "book_id long, chunk_no int, text string, chapter_path array<string>, vector array<float>, model string",
+    "chunks": "book_id long, chunk_no int, text string, chapter_path array<string>, vector binary, model string",
 }
 KEYS = {"books": ["book_id"], "queue_index": ["book_id"], "queue_attrs": ["book_id"], "attrs": ["book_id"], "failed": ["book_id", "kind"], "file_info": ["book_id"], "meta": ["key"], "chunks": ["model", "book_id", "chunk_no"]}
 

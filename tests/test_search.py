@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glyphlake.functions import vectors
 from glyphlake.operators import search
 
 SCHEMA = "book_id long, chunk_no int, vector array<float>, model string"
@@ -55,6 +56,8 @@ def test_brute_force_and_twins(spark, dim):
     want = sorted(((max(scores[i] for i in range(400) if i % 37 == b), b) for b in range(37)), key=lambda x: (-x[0], x[1]))[:7]
     got = search.search(rows, q.tolist(), 7).collect()
     assert [x["book_id"] for x in got] == [b for _, b in want] and [x["score"] for x in got] == pytest.approx([s for s, _ in want], abs=1e-5)
+    halves = search.search(rows.withColumn("vector", vectors.half_bytes("vector")), q.tolist(), 7).collect()
+    assert [x["score"] for x in halves] == pytest.approx([s for s, _ in want], rel=2e-3)
     many = search.search_many(rows, spark.createDataFrame([(0, q.tolist()), (1, (-q).tolist())], "query_id long, vector array<double>"), 7)
     assert [x["book_id"] for x in many.where("query_id = 0").orderBy(F.desc("score"), "book_id").collect()] == [b for _, b in want]
 
