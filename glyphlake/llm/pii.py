@@ -34,7 +34,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 MIN_SEEDS, CONFIDENCE, ROUNDS, BLOCK = 3, 0.6, 3, 100_000
 #: An instance found by a pattern is worth this much of the pattern's share.
 DECAY = 0.9
-TOKEN = re.compile(r"\S+")
+TOKEN, DIGIT = re.compile(r"\S+"), re.compile("[0-9]")
 #: An identifier-like token: digits among letters, digits and inner joints; at least MIN_DIGITS digits.
 IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._/-]*[A-Za-z0-9])?")
 MIN_DIGITS = 4
@@ -85,7 +85,7 @@ def pattern_before(text: str, start: int) -> str:
 
 
 def plain(word: str) -> str:
-    return re.sub("[0-9]", "0", word.lower())
+    return DIGIT.sub("0", word.lower())
 
 
 def seeds(text: str) -> Iterator[tuple[str, str]]:
@@ -98,11 +98,13 @@ def seeds(text: str) -> Iterator[tuple[str, str]]:
 
 def matches(text: str, patterns: dict[str, float] | frozenset[str], seconds: frozenset[str]) -> Iterator[tuple[str, int, int]]:
     """(pattern, start, end) wherever one of these patterns stands; the place is that of the word behind it, or empty
-    at the end of the text."""
-    words = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
-    for i in range(1, len(words)):
-        if (second := plain(words[i][0])) in seconds and (pattern := f"{plain(words[i - 1][0])} {second}") in patterns:
-            yield (pattern, *(words[i + 1][1:] if i + 1 < len(words) else (words[i][2], words[i][2])))
+    at the end of the text. Places are worked out only where there is a hit."""
+    words = DIGIT.sub("0", text.lower()).split()
+    hits = [i for i in range(1, len(words)) if words[i] in seconds and f"{words[i - 1]} {words[i]}" in patterns]
+    if hits:
+        at = [m.span() for m in TOKEN.finditer(text)]
+        for i in hits:
+            yield (f"{words[i - 1]} {words[i]}", *(at[i + 1] if i + 1 < len(at) else (at[i][1], at[i][1])))
 
 
 def identifier(text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -254,7 +256,9 @@ def redact_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc
                 texts = []
                 for text in batch.column(at).to_pylist():
                     spans = base_spans(text or "")
-                    texts.append(redact(text or "", spans + context_spans(text or "", spans, patterns, seconds)))
+                    if patterns:
+                        spans = spans + context_spans(text or "", spans, patterns, seconds)
+                    texts.append(redact(text or "", spans) if spans else text or "")
                 columns = list(batch.columns)
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
