@@ -80,14 +80,19 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 
+def utf8_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def by_bytes(items: Iterable[tuple[int, str]], limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Batches of (key, text) of about `limit` characters each; a longer text is a batch of its own."""
+    """Batches of (key, text) of about `limit` UTF-8 bytes each; a longer text is a batch of its own."""
     batch, size = [], 0
     for key, text in items:
-        if batch and size + len(text) > limit:
+        own = utf8_size(text)
+        if batch and size + own > limit:
             yield batch
             batch, size = [], 0
         batch.append((key, text))
-        size += len(text)
+        size += own
     if batch:
         yield batch

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glyphlake.llm.common import by_bytes, freeing, id_and_text
 
 MODEL = "piece_bpe_32k.model"
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
 SEGMENT_CHARS = 1 << 15
 OVER = 4096
 
@@ -63,11 +63,11 @@ def segments(text: str, limit: int) -> Iterator[str]:
     yield text[start:]
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, batch_chars: int = BATCH_CHARS, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, batch_bytes: int = BATCH_BYTES, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row's whole text under a SentencePiece model.
 
     No begin or end tokens; special strings in a text are ordinary text, as is the library's default. Long texts are
-    cut where counts add up (see `splits_at_spaces`), so a batch holds about batch_chars characters
+    cut where counts add up (see `splits_at_spaces`), so a batch holds about batch_bytes bytes
     whatever the lengths of texts. A null or empty text has 0 bytes and 0 tokens; null ids, repeated rows and ties
     each keep their row; an empty table gives an empty result; other columns are ignored."""
 
@@ -77,7 +77,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(1).to_pylist()
             totals = [0] * len(texts)
             cut = ((i, s) for i, t in enumerate(texts) if t for s in (segments(t, segment_chars) if additive else (t,)))
-            for group in by_bytes(cut, batch_chars):
+            for group in by_bytes(cut, batch_bytes):
                 for (i, _), ids in zip(group, model.encode([s for _, s in group], num_threads=1), strict=True):
                     totals[i] += len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(totals, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])

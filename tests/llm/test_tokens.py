@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 import edges
 from glyphlake.llm import bpe, queries, token_counts
+from glyphlake.llm.common import by_bytes
 
 sentencepiece = pytest.importorskip("sentencepiece")
 tiktoken = pytest.importorskip("tiktoken")
@@ -65,6 +66,13 @@ def test_counts_add_up_over_segments(text, limit):
     assert sum(len(MODEL.encode(s)) for s in token_counts.segments(text, limit)) == len(MODEL.encode(text))
 
 
+@given(st.lists(st.text(alphabet="aé字", max_size=30), max_size=30), st.integers(1, 50))
+def test_batches_are_balanced_by_bytes(texts, limit):
+    batches = list(by_bytes(enumerate(texts), limit))
+    assert [t for b in batches for _, t in b] == texts
+    assert all(len(b) == 1 or sum(len(t.encode()) for _, t in b) <= limit for b in batches)
+
+
 def test_model_can_be_cut():
     assert token_counts.splits_at_spaces(MODEL)
 
@@ -76,6 +84,6 @@ def test_token_count_query(spark, sf_dir):
 
 
 def test_token_count_edges(spark):
-    got = token_counts.count_tokens(edges.rows(spark), batch_chars=1000, segment_chars=500).collect()
+    got = token_counts.count_tokens(edges.rows(spark), batch_bytes=1000, segment_chars=500).collect()
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in got) == sorted((i or 0, len((t or "").encode()), len(MODEL.encode(t or ""))) for i, t in edges.ROWS)
     assert token_counts.count_tokens(edges.empty(spark)).count() == 0
