@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm import bpe, decontaminate, near_dedup, pii, toxicity
-from glyphlake.llm.common import save
+from glyphlake.llm.common import drop_saved, save
 
 
 def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each over everything its predecessor kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_saved(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
