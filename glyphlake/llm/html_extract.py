@@ -33,7 +33,7 @@ HIDDEN = frozenset("script style noscript template head title svg math iframe ob
 OUTSIDE = frozenset("nav footer aside form menu dialog search".split())
 CLOSES_P = BLOCK - frozenset("body html option optgroup caption td th tr tbody thead tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|foot|sidebar|side|aside|widget|related|recommend(?:ed|ations)?|share|sharing|social|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|form|search|comments?|commentlist|replies|reply|respond|disqus|discussion|pagination|pager|tags?|byline|copyright|legal|disclaimer|skip|toolbar|outbrain|taboola)(?:$|[\s_-])", re.I)
+BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|complementary|contentinfo|header|masthead|topbar|footer|foot|sidebar|side|aside|widget|related|recommend(?:ed|ations)?|share|sharing|social|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|form|search|comments?|commentlist|replies|reply|respond|disqus|discussion|pagination|pager|tags?|byline|copyright|legal|disclaimer|skip|toolbar|outbrain|taboola)(?:$|[\s_-])", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|post|entry|story|text|prose|page)(?:$|[\s_-])", re.I)
 LEGAL = re.compile(r"©|\bcookies?\b|all rights reserved|\bcopyright\b|privacy policy|terms of (?:use|service)|subscribe|newsletter|sign (?:in|up)|log in|advertis|sponsored|accept all|javascript", re.I)
 SPACE = re.compile(r"[\s\x1c-\x1f]+")
@@ -129,7 +129,7 @@ def blocks_of(html: str) -> list[Block]:
     return parser.found
 
 
-FEATURES = ("bias", "main", "outside", "bad_name", "good_name", "link_share", "log_length", "short", "sentences", "heading", "item", "legal", "first", "last")  # the last two outside <article> and <main> only
+FEATURES = ("bias", "main", "outside", "bad_name", "good_name", "link_share", "log_length", "short", "sentences", "heading", "item", "legal", "first", "last")  # the last two outside <article>, <main> and containers of good name only
 
 
 MAIN, OUT, BAD = (FEATURES.index(x) for x in ("main", "outside", "bad_name"))
@@ -159,7 +159,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         n = len(b.text)
         main = "article" in b.path or "main" in b.path
         ends = b.text.count(". ") + b.text.count("! ") + b.text.count("? ") + b.text.count("。") + b.text.endswith((".", "!", "?", "…"))
-        out[i] = (1, main, outside(b), bad, good and not bad, b.linked / n, math.log(n) / 5, n < 25, min(ends, 5) / 5, b.tag in HEADINGS, b.tag in ("li", "option", "td", "th", "dt"), bool(LEGAL.search(b.text)) and n < 400, i == 0 and not main, i == len(blocks) - 1 and not main)
+        out[i] = (1, main, outside(b), bad, good and not bad, b.linked / n, math.log(n) / 5, n < 25, min(ends, 5) / 5, b.tag in HEADINGS, b.tag in ("li", "option", "td", "th", "dt"), bool(LEGAL.search(b.text)) and n < 400, i == 0 and not (main or good), i == len(blocks) - 1 and not (main or good))
     return out
 
 
