@@ -89,23 +89,24 @@ class PieceEncoder:
         if (whole := self.by_name.get(data)) is not None:
             return [whole]
         out, left, known = [], -1, self.neighbours
-        for _, (_, token) in self.found.iter_long(data):
+        for end, (size, token) in self.found.iter_long(data):
             if not (known.get((left << 32) + token) or self.compatible(left, token)):
-                return self.backtrack(data)
+                return self.backtrack(data, out, end + 1 - size, token)
             out.append(token)
             left = token
         return out
 
-    def backtrack(self, data: str) -> list[int]:
-        longest = [0] * len(data)
-        token_at = [-1] * len(data)
-        for end, (length, rank) in self.found.iter(data):
-            start = end + 1 - length
-            if length > longest[start]:
-                longest[start], token_at[start] = length, rank
-        names, out, at, size = self.names, [], 0, len(data)
+    def longest(self, data: str, at: int) -> int:
+        """The longest token that begins here."""
+        found = next(self.found.iter_long(data, at), None)
+        if found is None or found[0] + 1 - found[1][0] != at:
+            raise ValueError("these ranks don't cover every byte")
+        return found[1][1]
+
+    def backtrack(self, data: str, out: list[int], at: int, token: int) -> list[int]:
+        """Goes on from the tokens so far, with `token` the longest match at the place they reach."""
+        names, size = self.names, len(data)
         open_end = bytearray(b"\1") * (size + 1)
-        token = token_at[0]
         while at < size:
             left = out[-1] if out else -1
             while token >= 0:
@@ -116,7 +117,7 @@ class PieceEncoder:
             if token >= 0:
                 out.append(token)
                 at = end
-                token = token_at[at] if at < size else -1
+                token = self.longest(data, at) if at < size else -1
             else:
                 if not out:
                     raise ValueError("these ranks don't cover every byte")
