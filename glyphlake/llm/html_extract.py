@@ -30,6 +30,9 @@ from glyphlake.llm.common import freeing, small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object audio video canvas button select textarea input datalist".split())
+#: What may begin in an open <head>; RAW elements, while open, hold whatever comes.
+RAW = frozenset("noframes noscript script style template title".split())
+HEAD = RAW | frozenset("base basefont bgsound head html link meta".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog search".split())
 CLOSES_P = BLOCK - frozenset("body html option optgroup caption td th tr tbody thead tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -77,7 +80,17 @@ class Blocks(HTMLParser):
             self.hidden -= name in HIDDEN
         del self.open[at:]
 
+    def end_head(self) -> None:
+        """Closes a <head> left open, as browsers do where something begins that can't stand in it."""
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] in RAW:
+                return
+            if self.open[at][0] == "head":
+                return self.close_to(at)
+
     def handle_starttag(self, tag, attrs):
+        if self.hidden and tag not in HEAD:
+            self.end_head()
         if tag == "br" or tag == "wbr":
             self.parts.append(" " if tag == "br" else "")
             return
@@ -112,6 +125,8 @@ class Blocks(HTMLParser):
             self.close_to(at)
 
     def handle_data(self, data):
+        if self.hidden and data.strip(" \t\n\f\r"):
+            self.end_head()
         if not self.hidden:
             self.parts.append(data)
             if self.links:

@@ -113,6 +113,15 @@ def test_pages():
         assert html_extract.main_text(html) == want, html
 
 
+BODY = "<article><h1>Title of it</h1><p>Text of the article, with a sentence.</p></article>"
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><body>", "<head><meta charset=utf-8><style>p{}</style><script>var a='<p>';</script>", "<html><head><noscript><img src=x></noscript><template><p>Not shown.</p></template><title>T</title>\n", "<head><bgsound src=x><title>T</title><br>", "<head></head><body>", "<body><head>"])
+def test_head_left_open(head):
+    assert html_extract.main_text(head + BODY) == "Title of it\nText of the article, with a sentence."
+    assert [b.text for b in html_extract.blocks_of("<head><title>T</title>\n Bare text<p>More")] == ["Bare text", "More"]
+
+
 def test_training_pages_are_told_apart():
     wrong = total = 0
     for blocks, labels in html_extract.training_pages(150, seed=123):
