@@ -169,21 +169,23 @@ def build_index(chunks: DataFrame, width: int, tables: int = 16, bits: int = 6)
     return coded.select("book_id", "chunk_no", F.posexplode("codes").alias("table", "code"))
 
 
-def search_index(index: DataFrame, chunks: DataFrame, query: Sequence[float], limit: int = 20, min_score: float = 0.0, probes: int = 1, tables: int = 16, bits: int = 6) -> DataFrame:
-    """As `search`, over the chunks that share a code with the query in some table, or one within `probes` flipped
-    bits nearest to its planes; scores are exact."""
-    q = np.asarray(unit(query), np.float32)
-    projected = (planes(len(q), tables, bits) @ q).reshape(tables, bits)
-    wanted = set()
-    for t, row in enumerate(projected):
-        code = int(((row > 0) * (1 << np.arange(bits))).sum())
-        wanted.add((t, code))
-        wanted |= {(t, code ^ (1 << int(b))) for b in np.argsort(np.abs(row))[:probes]}
-    keys = index.sparkSession.createDataFrame(sorted(wanted), "table int, code int")
-    near = index.join(F.broadcast(keys), ["table", "code"]).select("book_id", "chunk_no").distinct()
+def search_index(index: DataFrame, chunks: DataFrame, query: Sequence[float], limit: int = 20, min_score: float = 0.0, probes: int = 1, tables: int = 16, bits: int = 6, agree: int = 2) -> DataFrame:
+    """As `search`, over the chunks whose code is within `probes` flipped bits of the query's in at least `agree` tables;
+    scores are exact."""
+    near = index_candidates(index, query, probes, tables, bits, agree)
     return search(chunks.join(near, ["book_id", "chunk_no"], "left_semi"), query, limit, min_score)
 
 
+def index_candidates(index: DataFrame, query: Sequence[float], probes: int = 1, tables: int = 16, bits: int = 6, agree: int = 2) -> DataFrame:
+    """(book_id, chunk_no) of the chunks that `search_index` scores."""
+    q = np.asarray(unit(query), np.float32)
+    signs = (planes(len(q), tables, bits) @ q).reshape(tables, bits) > 0
+    own = (signs * (1 << np.arange(bits))).sum(1).tolist()
+    wanted = [(t, code) for t in range(tables) for code in range(1 << bits) if (code ^ own[t]).bit_count() <= probes]
+    keys = index.sparkSession.createDataFrame(wanted, "table int, code int")
+    return index.join(F.broadcast(keys), ["table", "code"]).groupBy("book_id", "chunk_no").agg(F.count("*").alias("_n")).where(F.col("_n") >= agree).drop("_n")
+
+
 def delete_chunk(chunks: DataFrame, book_id, chunk_no) -> DataFrame:
     """Without this chunk; the rest keep their numbers."""
     return chunks.where(~((F.col("book_id") == book_id) & (F.col("chunk_no") == chunk_no)))
