@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from glyphlake.functions import vectors
-from glyphlake.settings import MAX_RESULTS
 
 #: Widths from which scores are worked out by matrix products over Arrow batches instead of JVM expressions.
 WIDE = 256
@@ -82,11 +81,11 @@ def best_per_book(scores: DataFrame, also: Sequence[str] = ()) -> DataFrame:
 
 
 def search(chunks: DataFrame, query: Sequence[float], limit: int = 20, min_score: float = 0.0, model: str | None = None, books: DataFrame | None = None, exact_cosine: bool = False) -> DataFrame:
-    """(book_id, chunk_no, score[, fmt]) of the best books, scores falling, then ids rising. A limit of 0 or less, an
-    unknown model or only vectors of another width give no row; min_score is inclusive."""
+    """(book_id, chunk_no, score[, fmt]) of the best books, scores falling, then ids rising. As many as `limit` says,
+    without a cap of its own (`engine.ask` has the dialog's). A limit of 0 or less, an unknown model or only vectors of another width give no row; min_score is inclusive."""
     keep = [c for c in ("book_id", "chunk_no", "model") if c in chunks.columns]
     best = best_per_book(scored(chunks.select(*keep, "vector"), query, model, exact_cosine).select(*keep, "score")).where(F.col("score") >= min_score)
-    top = best.orderBy(F.desc("score"), F.asc("book_id")).limit(max(0, min(limit, MAX_RESULTS)))
+    top = best.orderBy(F.desc("score"), F.asc("book_id")).limit(max(0, limit))
     if books is None:
         return top
     return top.join(books.select("book_id", "fmt"), "book_id", "left").withColumn("fmt", F.coalesce("fmt", F.lit(""))).orderBy(F.desc("score"), F.asc("book_id"))

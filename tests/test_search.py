@@ -32,6 +32,11 @@ def test_threshold_is_inclusive_and_limits(steps):
     assert search.search(steps, E0, model="other").isEmpty() and search.search(steps, [1.0]).isEmpty()
 
 
+def test_limit_is_not_capped(spark):
+    rows = spark.range(1500).selectExpr("id as book_id", "0 as chunk_no", "array(cast(1 as float), cast(id as float)) as vector", "'m' as model")
+    assert search.search(rows, [1.0, 0.0], 5000).count() == 1500 and search.search(rows, [1.0, 0.0], 1200).count() == 1200
+
+
 def test_ties_and_widths(spark):
     rows = table(spark, [(1, 5, [1.0, 0.0], "b"), (1, 2, [1.0, 0.0], "b"), (1, 9, [1.0, 0.0], "a"), (2, 0, [1.0, 0.0, 0.0], "a"), (3, 0, None, "a"), (4, 0, [0.0, 0.0], "a")])
     got = {r["book_id"]: (r["chunk_no"], r["score"]) for r in search.search(rows, [2.0, 0.0]).collect()}
