@@ -1,14 +1,14 @@
 """MinHash near-duplicates by SetSketch registers.
 
 1. One pass over the texts gives each document's shingle set's size, digest and registers. Documents of equal sets form a
-   class; from here on a class is one node, named by its least id, so copies never meet in pairs.
+   class; from here on a class is one node with a number of its own, so copies never meet in pairs.
 2. Bands of registers are hashed; nodes that share a band's hash meet in a bucket. Buckets of one are dropped before
    anything is gathered, with counts that are summed in each task first.
 3. In a bucket, pairs are estimated from their registers by joint likelihood. First each node puts forward only its
    likeliest partners; these pairs are confirmed on full sets and give components. Then, in buckets that still hold
    several components, every likely pair of nodes of different components is put forward. So no link between
    components is lost, and a group of thousands of near copies does not give all its pairs.
-4. Components of the links, and each document's least reachable id.
+4. Components of the links, and of the classes that share an id with texts of several; each document's least reachable id.
 
 Buckets of more than BLOCK nodes are dealt out as pairs of blocks, so that no task holds more than two blocks."""
 
@@ -189,21 +189,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
-    """(rep, set) of the wanted (rep, digest): the sorted shingle hashes, worked out again from the texts."""
+    """(rep, set) of the wanted (rep, id, digest): the sorted shingle hashes, worked out again from the texts."""
     rows = id_and_text(docs, id_col, text_col)
     ids = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    rows = rows.join(ids.select(F.col("rep").alias("wanted_id"), F.col("digest").alias("wanted_digest")), F.col(id_col) == F.col("wanted_id")).select(id_col, text_col, "wanted_digest")
+    rows = rows.join(ids.select(F.col("rep").alias("wanted_rep"), F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest")), F.col(id_col) == F.col("wanted_id")).select("wanted_rep", text_col, "wanted_digest")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for ids, sets in _sets_by_size(batch):
+            for reps, sets in _sets_by_size(batch):
                 wants = batch.column(2).slice(at, len(sets)).to_pylist()
                 at += len(sets)
                 keep = [digest(s) == w for s, w in zip(sets, wants, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], names=["rep", "set"])
+                yield pa.RecordBatch.from_arrays([reps.filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], names=["rep", "set"])
+
+    return rows.mapInArrow(freeing(made), "rep long, set binary").dropDuplicates(["rep"])
+
 
-    return rows.mapInArrow(freeing(made), f"rep {rows.schema[0].dataType.simpleString()}, set binary").dropDuplicates(["rep"])
+def same_ids(seen: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) for the nodes of ids that have several: each with the least of them."""
+    rows = seen.where("n > 0 and id is not null").select("id", "digest")
+    again = rows.groupBy("id").count().where("count > 1").select("id")
+    of_id = rows.join(again, "id", "left_semi").distinct().join(nodes.select("rep", "digest"), "digest").select("id", "rep")
+    return of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b"))
 
 
 def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, likely: float = LIKELY, block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -212,15 +220,14 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are linked if their shingle sets (five words, see `setsketch`) have a Jaccard similarity of at least percent %;
     component_id is the least id reachable over links, kept whether that is the row's own. Null and empty texts
     have an empty set and are linked with nothing, as are rows whose id is null: their component is their own id. Repeated
-    rows keep their rows and are in one component; of several texts under one id, the id's least digest stands for
-    the id. Empty tables give an empty result; other columns are ignored."""
+    rows keep their rows and are in one component, as are several texts under one id, each with all its links. Empty
+    tables give an empty result; other columns are ignored."""
     seen = save(sketched(docs, id_col, text_col), "dup-sketches")
-    classes = seen.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    nodes = save(classes, "dup-nodes")
-    single = nodes.groupBy("rep").agg(F.min_by(F.struct("digest", "n", "registers"), "digest").alias("x")).select("rep", "x.digest", "x.n", "x.registers")
-    members = save(bucket_members(single), "dup-buckets")
-    met = save(single.join(members.select("rep").distinct(), "rep", "left_semi"), "dup-met")
-    sets = save(full_sets(docs, met.select("rep", "digest"), id_col, text_col, broadcast_ids), "dup-sets")
+    classes = seen.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    nodes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "dup-nodes")
+    members = save(bucket_members(nodes), "dup-buckets")
+    met = save(nodes.join(members.select("rep").distinct(), "rep", "left_semi"), "dup-met")
+    sets = save(full_sets(docs, met.select("rep", "id", "digest"), id_col, text_col, broadcast_ids), "dup-sets")
     alone = met.select("rep", "n", F.col("rep").alias("label"), "registers")
     first = save(candidate_pairs(dealt(members.where(F.col("band") < FIRST_BANDS), alone, False, block), likely, PARTNERS).distinct(), "dup-pairs")
     links = save(confirmed(first, sets, percent), "dup-links")
@@ -231,8 +238,11 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = candidate_pairs(dealt(members.join(open_buckets, "bucket", "left_semi"), labelled, True, block), likely, None)
     rest = save(rest.distinct().join(first, ["a", "b"], "left_anti"), "dup-rest")
     more = confirmed(rest, sets, percent)
-    whole = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    named = nodes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    whole = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more).union(same_ids(seen, nodes)))
+    linked = whole.select(F.col("id").alias("rep"), "component").union(whole.select(F.col("component").alias("rep"), "component").distinct())
+    placed = linked.join(nodes.select("rep", "id"), "rep")
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = nodes.select("rep", "id", "digest").join(placed.join(least, "component").select("rep", "component_id"), "rep", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     out = seen.select("id", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     result = save(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept")), "dup-result")

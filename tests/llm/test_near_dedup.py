@@ -81,6 +81,18 @@ def test_edges(spark):
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:9]) for r in kept.collect()) == [(0, "text with"), (1, "one two t"), (2, ""), (3, ""), (4, edges.LONG[:9]), (5, " \n\t "), (7, "é字\U0001F600 \x00 ß"), (8, "short")]
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("swapped", [False, True])
+def test_several_texts_of_one_id_keep_their_links(spark, kind, swapped):
+    a, b = ([f"{c}{i}" for i in range(40)] for c in ("ba" if swapped else "ab"))
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(b)), (9, near(b)), (8, near(a)), (6, "a text that is like no other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    found = near_dedup.find_duplicates(df)
+    assert {int(r["doc_id"]): int(r["component_id"]) for r in found.collect()} == {5: 5, 6: 6, 7: 5, 8: 5, 9: 5}
+    assert sorted(int(r["doc_id"]) for r in near_dedup.keep_one(df, found).collect()) == [5, 6]
+
+
 def test_shingles_are_those_of_words():
     r = random.Random(9)
     texts = ["".join(r.choice("aB é字 \n\x0b ") for _ in range(r.randint(0, 60))) for _ in range(300)] + [edges.LONG, "x" * 5000 + " a b c d e"]
