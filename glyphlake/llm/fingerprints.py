@@ -3,7 +3,8 @@
 Every window of W bytes has an entropy, and by that a rarity: how improbable such an entropy is (PRIOR), where windows of
 little entropy (runs, padding) count as least rare. Each stretch of W windows votes for its rarest; windows with
 enough votes are the features. Their hashes fill a chain of Bloom filters, and the likeness of two chains is the overlap of
-set bits, less what chance would give, as a share of what it could be. Votes depend on near bytes only, so equal
+set bits, less what chance would give, as a share of what it could be. Texts with few features, short ones above all, also
+get the rarest window of every stretch whatever its votes, so that all their bytes are under some feature. Votes depend on near bytes only, so equal
 passages give equal features wherever they stand."""
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from glyphlake.llm.common import freeing, small_batches
 
 W = 64
 VOTES = 16
+#: Texts with fewer distinct features than FEW get more: windows of SMALL bytes below 2 * MIDDLE bytes, of W from MIDDLE on.
+FEW, SMALL, MIDDLE = 8, 8, 512
 #: Mean and deviation, in bits, of the entropy of W bytes of usual text; entropies below LEAST are no features.
 PRIOR, LEAST = (3.7, 0.3), 2.0
 FILTER_BITS, FILTER_ITEMS, HASHES = 2048, 160, 5
@@ -61,11 +64,11 @@ def rarities(entropy: np.ndarray) -> np.ndarray:
     return np.where(entropy < LEAST, 0, np.minimum(1 + np.round(far * 60_000), 1_000_000)).astype(np.int64)
 
 
-def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def window_hashes(data: np.ndarray, at: np.ndarray, width: int = W) -> np.ndarray:
     """64-bit hashes of the windows that begin at these places."""
-    eight = np.lib.stride_tricks.sliding_window_view(data, W)[at].copy().view("<u8").reshape(len(at), W // 8)
+    eight = np.lib.stride_tricks.sliding_window_view(data, width)[at].copy().view("<u8").reshape(len(at), width // 8)
     h = np.full(len(at), _FINAL, np.uint64)
-    for k in range(W // 8):
+    for k in range(width // 8):
         h = (h ^ eight[:, k]) * _BASE
         h ^= h >> np.uint64(29)
     h *= _FINAL
@@ -73,12 +76,24 @@ def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def features(data: bytes) -> np.ndarray:
-    """Hashes of a text's features, in order; of a text shorter than a window, or without a rare one, one hash."""
+    """Hashes of a text's features, in order; where these are few, those of `covering` windows follow."""
     if not data:
         return np.zeros(0, np.uint64)
     whole = np.frombuffer(data, np.uint8)
-    if len(whole) < W:
+    if len(whole) < SMALL:
         return np.array([int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")], np.uint64)
+    found = [window_features(whole)] if len(whole) >= W else []
+    if not found or len(found[0]) < FEW or len(np.unique(found[0])) < FEW:
+        if len(whole) >= MIDDLE:
+            found.append(window_features(whole, all_stretches=True))
+        if len(whole) < 2 * MIDDLE:
+            found.append(covering(whole))
+    return np.concatenate(found)
+
+
+def window_features(whole: np.ndarray, all_stretches: bool = False) -> np.ndarray:
+    """Hashes of the windows with enough votes; or of every stretch's rarest, of equals that of least hash, and of the
+    first and last window."""
     windows, found = len(whole) - W + 1, []
     for start in range(0, windows, PIECE):
         low, high = max(0, start - W), min(windows, start + PIECE + W)
@@ -86,6 +101,9 @@ def features(data: bytes) -> np.ndarray:
         rare = rarities(window_entropies(part))
         n = len(rare)
         key = ((1_000_000 - rare) << 32) + np.arange(n)  # the rarest, and of equals the leftmost, is least
+        if all_stretches:
+            order = np.lexsort((window_hashes(part, np.arange(n)), -rare))
+            key[order] = (np.arange(n) << 32) + order
         span = min(W, n)
         best, width = key, 1
         while width * 2 <= span:
@@ -94,11 +112,29 @@ def features(data: bytes) -> np.ndarray:
         if width < span:
             best = np.minimum(best[: n - span + 1], best[span - width : span - width + n - span + 1])
         votes = np.bincount(best & 0xFFFFFFFF, minlength=n)
-        at = np.flatnonzero((votes >= min(VOTES, n - span + 1)) & (rare > 0))
+        if all_stretches:
+            votes[0] += low == 0
+            votes[-1] += high == windows
+            at = np.flatnonzero(votes)
+        else:
+            at = np.flatnonzero((votes >= min(VOTES, n - span + 1)) & (rare > 0))
         at = at[(at + low >= start) & (at + low < start + PIECE)]
         found.append(window_hashes(part, at))
-    out = np.concatenate(found)
-    return out if len(out) else window_hashes(whole, np.array([0]))
+    return np.concatenate(found)
+
+
+def covering(whole: np.ndarray) -> np.ndarray:
+    """Hashes of windows of SMALL bytes: of each SMALL of them that with most distinct bytes, of equals that of least hash,
+    and the first and the last. They leave no byte out."""
+    n = len(whole) - SMALL + 1
+    hashes = window_hashes(whole, np.arange(n), SMALL)
+    bytes_ = np.sort(np.lib.stride_tricks.sliding_window_view(whole, SMALL), axis=1)
+    distinct = (bytes_[:, 1:] != bytes_[:, :-1]).sum(1)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((hashes, -distinct))] = np.arange(n)
+    span = min(SMALL, n)
+    best = np.lib.stride_tricks.sliding_window_view(rank, span).argmin(1) + np.arange(n - span + 1)
+    return hashes[np.unique(np.concatenate([best, [0, n - 1]]))]
 
 
 def chain(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:

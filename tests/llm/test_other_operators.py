@@ -183,6 +183,29 @@ def test_likeness_orders_texts():
     assert all(f(x) == f(x) for x in ("", "a", "a" * 999)) and f("") == "" and f("a" * 999)
 
 
+def test_short_texts_are_covered():
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))[:n]
+    f, near = fingerprints.fingerprint, fingerprints.likeness
+    for n in range(40, 301, 5):
+        a, b = text(n), text(n)
+        assert near(f(a), f(fingerprints.edited_text(a, b))) >= 0.2 and near(f(a), f(b)) < 0.15, n
+        for at in range(0, n, 7):  # no byte is under no feature
+            assert f(a) != f(a[:at] + "!" + a[at + 1 :]), (n, at)
+    start = text(64)
+    assert near(f(start + text(80)), f(start + text(80))) < 0.8
+
+
+def test_long_texts_of_little_entropy(monkeypatch):
+    r = random.Random(6)
+    a, b = ("".join(r.choice("ab") for _ in range(20_000)) for _ in range(2))
+    f, near = fingerprints.fingerprint, fingerprints.likeness
+    assert 0.3 < near(f(a), f(fingerprints.edited_text(a, b))) < 0.75 and near(f(a), f(a[:64] + b)) < 0.1
+    whole = fingerprints.features(a.encode())
+    monkeypatch.setattr(fingerprints, "PIECE", 3000)
+    assert (fingerprints.features(a.encode()) == whole).all()
+
+
 @pytest.mark.parametrize("parts", [None, 1, 5, 400])
 def test_fingerprint_query(spark, sf_dir, parts):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id", ascending=False).collect()
