@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import freeing, id_and_text
+from glyphlake.llm.common import freeing, id_and_text, sliced
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of each of the two generations of the cache of encoded pieces in a worker; a bound on memory only.
 CACHE = 120_000
+#: Bytes of text, or of ids, that are worked on at once.
+SLICE_BYTES = 1 << 20
 
 
 def ranks_file(path: str | None) -> str:
@@ -88,12 +90,17 @@ class PieceEncoder:
         """Ids of a piece given as Latin-1 characters, one a byte."""
         if (whole := self.by_name.get(data)) is not None:
             return [whole]
-        out, left, known = [], -1, self.neighbours
+        out, left, known, at = [], -1, self.neighbours, 0
         for end, (size, token) in self.found.iter_long(data):
+            if end + 1 - size != at:
+                break
+            at = end + 1
             if not (known.get((left << 32) + token) or self.compatible(left, token)):
-                return self.backtrack(data, out, end + 1 - size, token)
+                return self.backtrack(data, out, at - size, token)
             out.append(token)
             left = token
+        if at != len(data):
+            raise ValueError("these ranks don't cover every byte")
         return out
 
     def longest(self, data: str, at: int) -> int:
@@ -177,21 +184,16 @@ def _bytes(ids: list[bytes | None], ranks_path: str | None) -> list[bytes]:
     return [b"".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist()]) for x in ids]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decode: bool = False) -> DataFrame:
     """(id, n_tokens, ids) of every row's whole text; ids are little-endian unsigned 32-bit integers in one binary. With
     decode also what these ids stand for, as `decode_documents` gives it, from the same worker.
 
-    Each match of the pattern is encoded by itself, without special tokens. A null or empty text has no ids; null ids,
-    ties and repeated rows keep their rows; an empty table gives an empty result; other columns are ignored."""
+    Each match of the pattern is encoded by itself, without special tokens, in time linear in its length; very long texts
+    are encoded whole. Ranks that lack a byte of a text raise. A null or empty text has no ids; null ids, ties and
+    repeated rows keep their rows; an empty table gives an empty result; other columns are ignored."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in sliced(batches, limit=SLICE_BYTES):
             ids = _ids(batch, ranks_path, pattern)
             more = [pa.array(_bytes(ids, ranks_path), pa.binary())] if decode else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *more], names=[id_col, "n_tokens", "ids", *["decoded"] * decode])
@@ -204,7 +206,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ranks_path: str
     """(id, n_tokens, ids, decoded) with the bytes that `ids` stand for; unknown ids raise, null ids give no bytes."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in sliced(batches, 2, SLICE_BYTES):
             texts = _bytes(batch.column(2).to_pylist(), ranks_path)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
 

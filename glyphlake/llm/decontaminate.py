@@ -14,15 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glyphlake.llm import shingles
-from glyphlake.llm.common import save
+from glyphlake.llm.common import BROADCAST_BYTES, drop_saved, save, small, unused
 
 THRESHOLD_PERCENT = 75
-#: Rows up to which a side is broadcast: hashes of signatures, shingles of items, ids of candidates.
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
 
 
 def signatures(items: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -35,34 +29,39 @@ def signatures(items: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     return sized.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("h"))).where(F.col("rank") <= wanted).select("item_id", "size_class", "h")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", percent: int = THRESHOLD_PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", percent: int = THRESHOLD_PERCENT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, n_item, n_common, containment) of every document that holds at least percent % of an item's
     distinct 5-word shingles.
 
-    A text of fewer than five words is one shingle; null and empty texts hold nothing and lie in nothing. Rows of
-    equal id count as one document or item; null ids are compared as equal, and give a result with a null id. Empty
-    tables give an empty result; other columns are ignored."""
+    A text of fewer than five words is one shingle; null and empty texts hold nothing and lie in nothing; very long texts
+    are searched whole. Rows of equal id count as one document or item; null ids are compared as equal, and give a
+    result with a null id. Empty tables give an empty result; other columns are ignored. Signatures, shingles of items and
+    ids of candidates are broadcast up to broadcast_bytes and shuffled beyond."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).alias("item_id"), shingles.words(F.col(item_text)).alias("ws"))
-    spelled = items.select("item_id", F.explode(shingles.spelled(F.col("ws"))).alias("s")).groupBy("item_id").agg(F.array_distinct(F.collect_list("s")).alias("item_shingles"))
-    signed = save(signatures(items, percent), "leak-signatures")
-    by_hash = signed.groupBy("h").agg(F.collect_set(F.struct("item_id")).alias("items"))
+    spelled = save(items.select("item_id", F.explode(shingles.spelled(F.col("ws"))).alias("s")).distinct(), "leak-items")
+    signed = save(signatures(items, percent).select("item_id", "h").distinct(), "leak-signatures")
     ws = docs.select("doc_id", shingles.words(F.col("text")).alias("ws"))
     places = ws.select("doc_id", "ws", F.explode(shingles.starts(F.col("ws"))).alias("i"))
     probes = places.select("doc_id", shingles.hashed(F.col("ws"), F.col("i")).alias("h"))
-    hits = probes.join(_small(by_hash, signed.count(), broadcast_rows), "h")
-    candidates = save(hits.select("doc_id", F.explode("items.item_id").alias("item_id")).distinct(), "leak-candidates")
-    ids = candidates.select(F.col("doc_id").alias("id")).distinct()
-    suspects = docs.join(_small(ids, candidates.count(), broadcast_rows), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    candidates = save(probes.join(small(signed, broadcast_bytes), "h").select("doc_id", "item_id").distinct(), "leak-candidates")
+    ids = save(candidates.select(F.col("doc_id").alias("id")).distinct(), "leak-suspects")
+    suspects = docs.join(small(ids, broadcast_bytes), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     exact = suspects.select("doc_id", shingles.words(F.col("text")).alias("ws")).select("doc_id", F.explode(shingles.spelled(F.col("ws"))).alias("s"))
-    wanted = candidates.alias("c").join(_small(spelled.withColumnRenamed("item_id", "item"), spelled.count(), 5_000), F.col("c.item_id").eqNullSafe(F.col("item")))
-    wanted = wanted.select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_item"), F.explode("item_shingles").alias("s"))
+    sizes = spelled.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    wanted = candidates.join(small(spelled.withColumnRenamed("item_id", "item"), broadcast_bytes), F.col("item_id").eqNullSafe(F.col("item"))).select("doc_id", "item_id", "s")
     found = wanted.join(exact.distinct(), wanted["doc_id"].eqNullSafe(exact["doc_id"]) & (wanted["s"] == exact["s"]))
-    counted = found.groupBy(wanted["doc_id"], "item_id", "n_item").agg(F.count("*").alias("n_common"))
-    return counted.where(F.col("n_common") * 100 >= F.col("n_item") * percent).withColumn("containment", F.col("n_common") / F.col("n_item"))
+    counted = found.groupBy(wanted["doc_id"], "item_id").agg(F.count("*").alias("n_common"))
+    sized = counted.join(sizes.withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
+    kept = sized.where(F.col("n_common") * 100 >= F.col("n_item") * percent).withColumn("containment", F.col("n_common") / F.col("n_item"))
+    result = save(kept.select("doc_id", "item_id", "n_item", "n_common", "containment"), "leaks")
+    drop_saved(spelled, signed, candidates, ids)
+    return result
 
 
-def keep_clean(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows, all columns, of the documents that hold no item."""
-    ids = leaks.select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(_small(ids, ids.count(), broadcast_rows), F.col(id_col).eqNullSafe(F.col("leaking")), "left_anti")
+def keep_clean(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows, all columns, of the documents that hold no item. Rows of one id go or stay together; a null id is equal to
+    a null id; an empty table of leaks leaves every row. Columns of `docs` may have any names."""
+    leaking = unused("leaking", docs)
+    ids = leaks.select(F.col("doc_id").alias(leaking)).distinct()
+    return docs.join(small(ids, broadcast_bytes), docs[id_col].eqNullSafe(F.col(leaking)), "left_anti")

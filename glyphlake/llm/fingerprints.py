@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from glyphlake.llm.common import freeing, small_batches
+from glyphlake.llm.common import freeing, sliced
 
 W = 64
 VOTES = 16
@@ -29,6 +30,8 @@ PRIOR, LEAST = (3.7, 0.3), 2.0
 FILTER_BITS, FILTER_ITEMS, HASHES = 2048, 160, 5
 #: Windows that are worked on at once; a longer text goes in overlapping pieces, which give the same features.
 PIECE = 1 << 18
+#: Rows drawn for each range where ids are no numbers.
+SAMPLED = 20
 
 _SCALE = 1 << 24
 _COUNTS = np.arange(W + 1, dtype=np.float64)
@@ -191,21 +194,26 @@ def likeness(a: str, b: str, rows: int = 256) -> float:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of every row; equal texts have equal fingerprints, null and empty texts an empty one. Null ids,
     ties and repeated rows keep their rows; empty tables give an empty result; other columns are ignored."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in batch.column(1).to_pylist()])], names=[id_col, "fingerprint"])
 
     return rows.mapInArrow(freeing(made), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fingerprint string")
 
 
 def bounds(docs: DataFrame, id_col: str, parts: int) -> list:
-    """At most parts - 1 ids that cut the table into ranges of about equal numbers of rows, from counts over all rows."""
-    steps = [i / parts for i in range(1, parts)]
-    got = docs.agg(F.percentile_approx(id_col, F.lit(steps), F.lit(10 * parts)).alias("q")).first()["q"] if steps else None
-    return sorted(set(got or []))
+    """At most parts - 1 ids that cut the table into ranges of about equal numbers of rows: of numbers by counts over all
+    rows, of other kinds by the ids of SAMPLED rows a range, drawn by a hash. Cuts only balance the work, any serve."""
+    if parts < 2:
+        return []
+    if isinstance(docs.schema[id_col].dataType, NumericType):
+        steps = [i / parts for i in range(1, parts)]
+        return sorted(set(docs.agg(F.percentile_approx(id_col, F.lit(steps), F.lit(10 * parts)).alias("q")).first()["q"] or []))
+    drawn = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, F.monotonically_increasing_id()).alias("place"))
+    ids = [r["id"] for r in drawn.orderBy("place").limit(SAMPLED * parts).orderBy("id").collect()]
+    return list(dict.fromkeys(ids[len(ids) * i // parts] for i in range(1, parts) if len(ids) * i // parts > 0))
 
 
 def in_ranges(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -248,10 +256,11 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     Rows follow one another by descending id, null ids last, ties by text; the first follows the last, and a single
-    row follows itself. Null texts count as empty. Texts are shuffled once, by ranges of ids whose number `parts` is
-    (four for each shuffle partition unless given); empty tables give an empty result; other columns are ignored."""
+    row follows itself. Ids may be of any type that Spark can order. Null texts count as empty; very long ones are
+    worked on in pieces that give the same features; repeated rows keep their rows. Texts are shuffled once, by ranges of
+    ids whose number `parts` is (four for each shuffle partition unless given); empty tables give an empty result;
+    other columns are ignored."""
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = in_ranges(docs, id_col, text_col, parts).repartition("range").sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("id"), "text")
     kind = rows.schema["id"].dataType.simpleString()
@@ -259,7 +268,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, id, text, fingerprint) of the row that waits for its next one
-        for batch in batches:
+        for batch in sliced(batches, 2):
             out = []
             for part, key, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not own and (held is None or held[0] != part):

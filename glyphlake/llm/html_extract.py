@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import freeing, small_batches
+from glyphlake.llm.common import freeing, sliced
 
 #: Fixed lists of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -315,15 +315,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A null or empty page, or one without content, gives an empty text; unclosed and misnested elements are closed as
     browsers do; null ids and URLs, ties and repeated rows keep their rows; empty tables give an empty result; other
     columns are ignored. Nothing is cut off, however long a page is."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), F.coalesce(F.col(html_col), F.lit("")).alias(html_col))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [main_text(h) for h in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
+        for batch in sliced(batches, 2):
+            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     kinds = [f.dataType.simpleString() for f in rows.schema]
     return rows.mapInArrow(freeing(extracted), f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string")

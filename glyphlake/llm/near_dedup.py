@@ -5,15 +5,19 @@
 2. Bands of registers are hashed; nodes that share a band's hash meet in a bucket. Buckets of one are dropped before
    anything is gathered, with counts that are summed in each task first.
 3. In a bucket, pairs are estimated from their registers by joint likelihood. First each node puts forward only its
-   likeliest partners; these pairs are confirmed on full sets and give components. Then, in buckets that still hold
-   several components, every likely pair of nodes of different components is put forward. So no link between
-   components is lost, and a group of thousands of near copies does not give all its pairs.
+   likeliest partners; these pairs are confirmed on full sets and give components. Then buckets that still hold several
+   components are searched whole: every likely pair of nodes of different components is confirmed on full sets where it
+   is found, and only links that join components leave the task. So no link between components is lost, and
+   no group, however large, gives out all its pairs.
 4. Components of the links, and of the classes that share an id with texts of several; each document's least reachable id.
 
-Buckets of more than BLOCK nodes are dealt out as pairs of blocks, so that no task holds more than two blocks."""
+How many bands there are, of how many registers, and what counts as likely follow from the threshold (`setsketch.bands_for`).
+Large buckets are dealt out as pairs of blocks of bounded size; the nodes of a bucket's largest component aren't paired
+among themselves. Keys that many rows share (digests, buckets, ids, hubs) are joined by `common.split_join`."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,19 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm import setsketch as sk
-from glyphlake.llm.common import drop_saved, freeing, id_and_text, save
+from glyphlake.llm.common import BROADCAST_BYTES, drop_saved, freeing, id_and_text, save, sliced, small, split_join, unused
 from glyphlake.llm.components import components
 
 PERCENT = 75
-#: Bands of sk.ROWS registers. A pair at the threshold misses all of them once in ten thousand times.
-BANDS = 32
-#: The first round, which only has to join most of what belongs together, looks at so many bands and partners.
-FIRST_BANDS, PARTNERS = 12, 2
-#: Pairs are confirmed from this estimate on: four standard deviations of the estimate below the threshold. The share
-#: of equal registers in the bands alone, which is looked at first, deviates more.
-LIKELY, LIKELY_BANDS = 0.673, 0.61
-BLOCK = 4096
-BROADCAST_IDS = 1_000_000
+#: The first round, which only has to join most of what belongs together, looks at this share of the bands, and partners.
+FIRST, PARTNERS = 0.375, 2
+#: Nodes, and bytes of their sets, of a block of a large bucket.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,50 +43,65 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = id_and_text(docs, id_col, text_col)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, sets in _sets_by_size(batch):
-                registers = sk.sketches(sets)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets, strict=True)], pa.binary())], names=["id", "n", "digest", "registers"])
+        for batch in sliced(batches, limit=SLICE_BYTES):
+            sets = list(sk.shingle_sets([t.encode() for t in batch.column(1).to_pylist()]))
+            registers = sk.sketches(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets, strict=True)], pa.binary())], names=["id", "n", "digest", "registers"])
 
     return rows.mapInArrow(freeing(made), f"id {rows.schema[0].dataType.simpleString()}, n long, digest binary, registers binary")
 
 
+#: Bytes of text whose shingles are worked out at once.
+SLICE_BYTES = 1 << 18
+
+
 def digest(shingles: np.ndarray) -> bytes | None:
     import xxhash
 
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def _sets_by_size(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """Ids and shingle sets of an Arrow batch of (id, text), about `limit` bytes of text at a time."""
-    texts, start, size = [], 0, 0
-    for i in range(batch.num_rows):
-        texts.append(t := batch.column(1)[i].as_py().encode())
-        size += len(t)
-        if size >= limit or i == batch.num_rows - 1:
-            yield batch.column(0).slice(start, i + 1 - start), list(sk.shingle_sets(texts))
-            texts, start, size = [], i + 1, 0
-
-
-def bucket_members(nodes: DataFrame) -> DataFrame:
-    """(bucket, band, rep, members) for every bucket of at least two nodes."""
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("registers", b * sk.ROWS + 1, F.lit(sk.ROWS))).alias("bucket"))))
+def bucket_members(nodes: DataFrame, bands: sk.Bands) -> tuple[DataFrame, DataFrame]:
+    """(bucket, band, rep) for every bucket of at least two nodes, and (bucket, members), which is saved."""
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands.bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("registers", b * bands.rows + 1, F.lit(bands.rows))).alias("bucket"))))
     rows = nodes.select("rep", band.alias("x")).select("x.bucket", F.col("x.band").cast("short").alias("band"), "rep")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    return rows.join(shared, "bucket")
+    shared = save(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "dup-shared")
+    return split_join(rows, shared, "bucket", "members"), shared
 
 
-def dealt(members: DataFrame, nodes: DataFrame, crosswise: bool, block: int) -> DataFrame:
-    """Bucket members with their registers, dealt by bucket; of large buckets by block, or crosswise by pair of blocks."""
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if crosswise else F.col("own")
-    rows = rows.withColumn("other", other).select("bucket", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep")
-    rows = rows.join(nodes.select("rep", "n", "label", "registers"), "rep")
+def dealt(rows: DataFrame, nodes: DataFrame, *more: DataFrame) -> DataFrame:
+    """Rows (bucket, band, low, high, own, rep) with what nodes and more tables know of each rep, dealt out by block."""
+    for table in (nodes, *more):
+        rows = rows.join(table, "rep")
     return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rep")
 
 
-COLUMNS = ("rep", "n", "label", "registers", "own")
+def first_blocks(members: DataFrame, shared: DataFrame, block: int) -> DataFrame:
+    """Bucket members in blocks, dealt anew in every bucket, each block by itself."""
+    sized = shared.select("bucket", F.col("members").alias("weight"), "members")
+    rows = split_join(members, sized, "bucket", "weight")
+    own = F.pmod(F.xxhash64("rep", "bucket"), F.ceil(F.col("members") / block)).cast("int")
+    return rows.withColumn("own", own).select("bucket", "band", F.col("own").alias("low"), F.col("own").alias("high"), "own", "rep")
+
+
+def cross_blocks(members: DataFrame, labelled: DataFrame, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets that hold several labels, in all pairs of blocks but those inside a bucket's largest label; and
+    the saved table of these buckets."""
+    named = members.join(labelled.select("rep", "label", "n"), "rep")
+    by_label = named.groupBy("bucket", "label").agg(F.count("*").alias("members"), F.sum(F.col("n") * 8).alias("bytes"))
+    parts = lambda members, bytes_: F.ceil(F.greatest(members / block, bytes_ / block_bytes)).cast("int")
+    total = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.max_by(F.struct("label", "members", "bytes"), "members").alias("most")).where("labels > 1")
+    cut = parts(F.col("members"), F.col("bytes")) > 1
+    others = F.when(cut, parts(F.col("members") - F.col("most.members"), F.col("bytes") - F.col("most.bytes"))).otherwise(1)
+    mains = F.when(cut, parts(F.col("most.members"), F.col("most.bytes"))).otherwise(0)
+    open_ = save(total.select("bucket", F.col("members").alias("weight"), F.col("most.label").alias("main"), others.alias("others"), mains.alias("mains")), "dup-open")
+    rows = split_join(named, open_, "bucket", "weight")
+    is_main = (F.col("label") == F.col("main")) & (F.col("mains") > 0)
+    place = F.xxhash64("rep", F.lit(3))
+    own = F.when(is_main, F.col("others") + F.pmod(place, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(place, F.greatest("others", F.lit(1)))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1))
+    rows = rows.withColumn("own", own).withColumn("other", other)
+    return rows.select("bucket", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "label"), open_
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -109,59 +123,96 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Tabl
         yield key, pa.Table.from_batches(held)
 
 
-def likely_pairs(registers: np.ndarray, n: np.ndarray, apart: np.ndarray, likely: float, chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, estimate) with i < j, different values of `apart` and an estimate of at least `likely`."""
-    found = []
-    banded = np.ascontiguousarray(registers[:, : BANDS * sk.ROWS])
-    least = LIKELY_BANDS * banded.shape[1]
+def likely_pairs(registers: np.ndarray, n: np.ndarray, apart: np.ndarray, bands: sk.Bands, percent: int, chunk: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (i, j, estimate) with i < j, different values of `apart`, sizes that allow the similarity and a likely
+    estimate."""
+    banded = np.ascontiguousarray(registers[:, : bands.bands * bands.rows])
+    least = bands.likely_bands * banded.shape[1]
     for start in range(0, len(registers), chunk):
         equal = np.stack([(banded[start:] == r).sum(1) for r in banded[start : start + chunk]])
         i, j = np.nonzero((equal >= least) & (apart[start : start + chunk, None] != apart[None, start:]))
         i, j = i[j > i] + start, j[j > i] + start
+        fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        i, j = i[fit], j[fit]
         if len(i):
             estimate = sk.likeness(registers[i], registers[j], n[i], n[j])
-            ok = estimate >= likely
-            found.append((i[ok], j[ok], estimate[ok]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+            ok = estimate >= bands.likely
+            yield i[ok], j[ok], estimate[ok]
+
+
+def _registers(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def likeliest_pairs(rows: DataFrame, bands: sk.Bands, percent: int, partners: int) -> DataFrame:
+    """(a, b) from dealt-out buckets: each node's likeliest partners."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _buckets(batches):
+            rep = table.column("rep").to_numpy()
+            if len(rep) < 2:
+                continue
+            found = list(likely_pairs(_registers(table), table.column("n").to_numpy(), rep, bands, percent))
+            if not found:
+                continue
+            i, j, estimate = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(-estimate, kind="stable")
+            i, j, taken, keep = i[order], j[order], np.zeros(len(rep), int), []
+            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                if taken[x] < partners or taken[y] < partners:
+                    taken[x] += 1
+                    taken[y] += 1
+                    keep.append(k)
+            a, b = rep[i[keep]], rep[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(freeing(made), "a long, b long")
+
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    least, most = sorted((x, y), key=len)
+    if not len(least) or 100 * len(least) < percent * len(most):
+        return False
+    common = int((most[np.minimum(most.searchsorted(least), len(most) - 1)] == least).sum())
+    return 100 * common >= percent * (len(least) + len(most) - common)
 
-def candidate_pairs(rows: DataFrame, likely: float, partners: int | None) -> DataFrame:
-    """(a, b) from dealt-out buckets: each node's likeliest partners, or, without a number, every likely pair that
-    no earlier band brings together."""
+
+def cross_links(rows: DataFrame, bands: sk.Bands, percent: int) -> DataFrame:
+    """(a, b): of the links between nodes of different labels in dealt-out blocks those that join what is apart. A pair is
+    looked at in the first band that brings it together."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, low, high), table in _buckets(batches):
-            rep, label = table.column("rep").to_pylist(), table.column("label").to_pylist()
-            if len(rep) < 2 or min(label) == max(label):
+            rep, label, n, own, band = (table.column(c).to_numpy() for c in ("rep", "label", "n", "own", "band"))
+            if len(rep) < 2 or (label == label[0]).all():
                 continue
-            registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(len(rep), -1)
-            n, own, band = (table.column(c).to_numpy() for c in ("n", "own", "band"))
-            codes = {x: k for k, x in enumerate(dict.fromkeys(label))}
-            i, j, estimate = likely_pairs(registers, n, np.array([codes[x] for x in label]), likely)
-            if low != high:
-                cross = own[i] != own[j]
-                i, j, estimate = i[cross], j[cross], estimate[cross]
-            if partners is None:
-                shared = (registers[i, : BANDS * sk.ROWS] == registers[j, : BANDS * sk.ROWS]).reshape(len(i), BANDS, sk.ROWS).all(2)
-                first = shared.argmax(1) == band[i]
-                i, j = i[first], j[first]
-            else:
-                order = np.argsort(-estimate, kind="stable")
-                i, j, taken, keep = i[order], j[order], np.zeros(len(rep), int), []
-                for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                    if taken[x] < partners or taken[y] < partners:
-                        taken[x] += 1
-                        taken[y] += 1
-                        keep.append(k)
-                i, j = i[keep], j[keep]
-            if len(i):
-                pairs = [(rep[x], rep[y]) if rep[x] < rep[y] else (rep[y], rep[x]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=["a", "b"])
-
-    spark_type = rows.schema["rep"].dataType
-    kind = pa.int64() if spark_type.typeName() == "long" else pa.int32() if spark_type.typeName() == "integer" else pa.string()
-    name = spark_type.simpleString()
-    return rows.mapInArrow(freeing(made), f"a {name}, b {name}")
+            registers, sets = _registers(table), table.column("set")
+            root = {x: x for x in label.tolist()}
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            joins = []
+            for i, j, estimate in likely_pairs(registers, n, label, bands, percent):
+                keep = np.full(len(i), True) if low == high else own[i] != own[j]
+                shared = (registers[i, : bands.bands * bands.rows] == registers[j, : bands.bands * bands.rows]).reshape(len(i), bands.bands, bands.rows).all(2)
+                keep &= shared.argmax(1) == band[i]
+                for k in np.flatnonzero(keep)[np.argsort(-estimate[keep], kind="stable")].tolist():
+                    x, y = find(int(label[i[k]])), find(int(label[j[k]]))
+                    if x != y and linked(_set(sets, i[k]), _set(sets, j[k]), percent):
+                        root[y] = x
+                        joins.append(sorted((int(rep[i[k]]), int(rep[j[k]]))))
+            if joins:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in joins], pa.int64()), pa.array([p[1] for p in joins], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(freeing(made), "a long, b long")
+
+
+def _set(sets: pa.ChunkedArray, at) -> np.ndarray:
+    return np.frombuffer(sets[int(at)].as_buffer(), np.uint64)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,96 +220,99 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-                least, most = sorted((len(x), len(y)))
-                if least * 100 < percent * most:
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (least + most - common))
+            x, y = batch.column("x"), batch.column("y")
+            keep = [linked(_set(x, k), _set(y, k), percent) for k in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    name = pairs.schema["a"].dataType.simpleString()
     first = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
     both = first.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(freeing(tested), f"a {name}, b {name}")
+    return both.select("a", "b", "x", "y").mapInArrow(freeing(tested), "a long, b long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_ids: int) -> DataFrame:
-    """(rep, set) of the wanted (rep, id, digest): the sorted shingle hashes, worked out again from the texts."""
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, set) of the wanted (rep, id, digest): the sorted shingle hashes, worked out again from the texts of these ids;
+    and the saved table of the ids."""
+    key = unused("wanted", docs)
+    ids = save(wanted.select(F.col("id").alias(key)).distinct(), "dup-ids")
     rows = id_and_text(docs, id_col, text_col)
-    ids = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    rows = rows.join(ids.select(F.col("rep").alias("wanted_rep"), F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest")), F.col(id_col) == F.col("wanted_id")).select("wanted_rep", text_col, "wanted_digest")
+    rows = rows.join(small(ids, broadcast_bytes), rows[id_col] == F.col(key), "left_semi").select(text_col)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for reps, sets in _sets_by_size(batch):
-                wants = batch.column(2).slice(at, len(sets)).to_pylist()
-                at += len(sets)
-                keep = [digest(s) == w for s, w in zip(sets, wants, strict=True)]
-                yield pa.RecordBatch.from_arrays([reps.filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], names=["rep", "set"])
+        for batch in sliced(batches, 0, SLICE_BYTES):
+            sets = [s for s in sk.shingle_sets([t.encode() for t in batch.column(0).to_pylist()]) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "set"])
 
-    return rows.mapInArrow(freeing(made), "rep long, set binary").dropDuplicates(["rep"])
+    found = rows.mapInArrow(freeing(made), "digest binary, set binary").dropDuplicates(["digest"])
+    return found.join(wanted.select("rep", "digest"), "digest").select("rep", "set"), ids
 
 
-def same_ids(seen: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) for the nodes of ids that have several: each with the least of them."""
+def same_ids(seen: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(a, b) for the nodes of ids that have several: each with the least of them. None if each id has one."""
     rows = seen.where("n > 0 and id is not null").select("id", "digest")
-    again = rows.groupBy("id").count().where("count > 1").select("id")
-    of_id = rows.join(again, "id", "left_semi").distinct().join(nodes.select("rep", "digest"), "digest").select("id", "rep")
-    return of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b"))
-
-
-def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, likely: float = LIKELY, block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    several = save(rows.groupBy("id").agg(F.count("*").alias("weight"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id", "weight"), "dup-same")
+    if several.isEmpty():
+        drop_saved(several)
+        return None
+    of_id = split_join(rows, several, "id", "weight", "left_semi").distinct().join(nodes.select("rep", "digest"), "digest").select("id", "rep")
+    least = of_id.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("weight"))
+    pairs = save(split_join(of_id, least, "id", "weight").where("a <> rep").select("a", F.col("rep").alias("b")), "dup-same-pairs")
+    drop_saved(several)
+    return pairs
+
+
+def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
-    Rows are linked if their shingle sets (five words, see `setsketch`) have a Jaccard similarity of at least percent %;
-    component_id is the least id reachable over links, kept whether that is the row's own. Null and empty texts
-    have an empty set and are linked with nothing, as are rows whose id is null: their component is their own id. Repeated
-    rows keep their rows and are in one component, as are several texts under one id, each with all its links. Empty
-    tables give an empty result; other columns are ignored."""
+    Rows are linked if their shingle sets (five words, see `setsketch`) have a Jaccard similarity of at least percent %
+    (1 to 100); component_id is the least id reachable over links, kept whether that is the row's own. Ids may be of any type
+    that Spark can order. Null and empty texts have an empty set and are linked with nothing, as are rows whose id is null:
+    their component is their own id. Very long texts are taken whole. Repeated rows keep their rows and are in one
+    component, as are several texts under one id, each with all its links. Empty tables give an empty result; other
+    columns are ignored."""
+    bands = sk.bands_for(percent)
     seen = save(sketched(docs, id_col, text_col), "dup-sketches")
-    classes = seen.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = seen.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.count("*").alias("rows"))
     nodes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "dup-nodes")
-    members = save(bucket_members(nodes), "dup-buckets")
+    rows, shared = bucket_members(nodes, bands)
+    members = save(rows, "dup-buckets")
     met = save(nodes.join(members.select("rep").distinct(), "rep", "left_semi"), "dup-met")
-    sets = save(full_sets(docs, met.select("rep", "id", "digest"), id_col, text_col, broadcast_ids), "dup-sets")
-    alone = met.select("rep", "n", F.col("rep").alias("label"), "registers")
-    first = save(candidate_pairs(dealt(members.where(F.col("band") < FIRST_BANDS), alone, False, block), likely, PARTNERS).distinct(), "dup-pairs")
+    rows, ids = full_sets(docs, met.select("rep", "id", "digest"), id_col, text_col, broadcast_bytes)
+    sets = save(rows, "dup-sets")
+    sketches = met.select("rep", "n", "registers")
+    near = first_blocks(members.where(F.col("band") < math.ceil(FIRST * bands.bands)), shared, block)
+    first = save(likeliest_pairs(dealt(near, sketches), bands, percent, PARTNERS).distinct(), "dup-pairs")
     links = save(confirmed(first, sets, percent), "dup-links")
     label = components(links)
-    labelled = alone.drop("label").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-    named = members.join(labelled.select("rep", "label"), "rep")
-    open_buckets = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    rest = candidate_pairs(dealt(members.join(open_buckets, "bucket", "left_semi"), labelled, True, block), likely, None)
-    rest = save(rest.distinct().join(first, ["a", "b"], "left_anti"), "dup-rest")
-    more = confirmed(rest, sets, percent)
-    whole = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more).union(same_ids(seen, nodes)))
-    linked = whole.select(F.col("id").alias("rep"), "component").union(whole.select(F.col("component").alias("rep"), "component").distinct())
-    placed = linked.join(nodes.select("rep", "id"), "rep")
-    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = nodes.select("rep", "id", "digest").join(placed.join(least, "component").select("rep", "component_id"), "rep", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
-    out = seen.select("id", "n", "digest").join(named, "digest", "left")
+    labelled = met.select("rep", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("label"))
+    rows, open_ = cross_blocks(members, labelled, block, block_bytes)
+    more = save(cross_links(dealt(rows, sketches, sets), bands, percent).distinct(), "dup-more")
+    edges = label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
+    same = same_ids(seen, nodes)
+    whole = components(edges if same is None else edges.union(same))
+    reached = whole.select(F.col("id").alias("rep"), "component").union(whole.select(F.col("component").alias("rep"), "component").distinct())
+    placed = save(reached.join(nodes.select("rep", "id", "digest", "rows"), "rep"), "dup-placed")
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("weight"))
+    named = split_join(placed.select("component", "digest", "rows"), least, "component", "weight").select("digest", "rows", "component_id")
+    alone = nodes.join(placed.select("rep"), "rep", "left_anti").select("digest", "rows", F.col("id").alias("component_id"))
+    of_class = save(named.unionByName(alone), "dup-classes")
+    out = split_join(seen.select("id", "n", "digest"), of_class, "digest", "rows", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     result = save(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept")), "dup-result")
-    drop_saved(seen, nodes, members, met, sets, first, links, label, rest, whole)
+    drop_saved(seen, nodes, shared, members, met, ids, sets, first, links, label, open_, more, whole, placed, of_class, *([] if same is None else [same]))
     return result
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row of each component, all columns: of the rows under the component's id the one with the least text. Rows
-    with an empty set or without an id are in no component and stay."""
+    with an empty set or without an id are in no component and stay. Columns of `docs` may have any names."""
+    key = unused("gone", docs, found)
     named = found.where(F.col(id_col).isNotNull())
-    gone = named.where("not kept").select(F.col(id_col).alias("gone")).distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, F.col(id_col) == F.col("gone"), "left_anti")
-    repeated = named.where("kept and n_shingles > 0").groupBy(F.col(id_col).alias("again")).count().where("count > 1").select("again")
-    if repeated.isEmpty():
+    gone = named.where("not kept").select(F.col(id_col).alias(key)).distinct()
+    out = docs.join(small(gone, broadcast_bytes), docs[id_col] == F.col(key), "left_anti")
+    again = named.where("kept and n_shingles > 0").groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
+    if again.isEmpty():
         return out
-    several = out.join(repeated, F.col(id_col) == F.col("again"), "left_semi")
-    least = several.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col(text_col))).alias("row")).select("row.*")
-    return out.join(repeated, F.col(id_col) == F.col("again"), "left_anti").union(least)
+    again = small(again, broadcast_bytes)
+    several = out.join(again, out[id_col] == F.col(key), "left_semi")
+    least = several.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col(text_col))).alias(key)).select(f"{key}.*")
+    return out.join(again, out[id_col] == F.col(key), "left_anti").union(least)

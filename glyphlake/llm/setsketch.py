@@ -6,14 +6,15 @@ merge, and two sets share a register with a probability that rises with their li
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
 WIDTH = 5
 #: More registers make estimates sharper; bands take the first few of them.
 REGISTERS, BASE, RATE, Q = 512, 1.1, 20.0, 254
-ROWS = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
 _STEP = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -111,6 +112,49 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def larger(x: float) -> float:
+    """The chance that a register is larger on the side that has a share x of the elements to itself."""
+    return -math.log1p(-x * (BASE - 1) / BASE) / math.log(BASE)
+
+
+def equal_share(j: float) -> float:
+    """The least chance, over all sizes, that two sets of Jaccard similarity j have a register in common: that of a set and
+    a part of it, as `larger` grows faster than its argument."""
+    return 1 - larger(1 - j)
+
+
+@dataclass(frozen=True)
+class Bands:
+    """How registers are cut into bands, and from which estimates on a pair may be a link.
+
+    bands bands of rows registers miss a pair at the threshold less than once in 1 / MISSED times; as many rows are taken as
+    that allows with at most MOST_BANDS bands, or, where a low threshold would leave buckets of few rows, up to
+    FEW_ROWS with as many bands as there are registers for. likely and likely_bands lie DEVIATIONS standard deviations
+    below the threshold: the estimate from all registers, and the share of equal ones in the bands alone."""
+
+    rows: int
+    bands: int
+    likely: float
+    likely_bands: float
+
+
+MISSED, MOST_BANDS, FEW_ROWS, DEVIATIONS = 1e-4, 32, 4, 4.2
+
+
+def bands_for(percent: int) -> Bands:
+    if not 1 <= percent <= 100:
+        raise ValueError(f"a similarity of {percent} % can't be searched for")
+    j = percent / 100
+    equal = min(equal_share(j), 1 - 1e-9)
+    needed = lambda rows: max(1, math.ceil(math.log(MISSED) / math.log1p(-(equal**rows))))
+    fits = [r for r in range(1, 17) if r * needed(r) <= REGISTERS and (r <= FEW_ROWS or needed(r) <= MOST_BANDS)]
+    rows = max(fits, default=1)
+    bands = min(needed(rows), REGISTERS // rows)
+    spread = math.sqrt(equal * (1 - equal))
+    slope = (BASE - 1) / BASE / math.log(BASE)
+    return Bands(rows, bands, j - DEVIATIONS * spread / math.sqrt(REGISTERS) / slope, equal - DEVIATIONS * spread / math.sqrt(rows * bands))
+
+
 def likeness(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 12) -> np.ndarray:
     """Jaccard similarity of pairs of register rows by joint likelihood, given the sizes of their sets.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import by_bytes, freeing, id_and_text
+from glyphlake.llm.common import by_bytes, freeing, id_and_text, sliced
 
 MODEL = "piece_bpe_32k.model"
 BATCH_BYTES = 1 << 20
@@ -66,14 +66,15 @@ def segments(text: str, limit: int) -> Iterator[str]:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, batch_bytes: int = BATCH_BYTES, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row's whole text under a SentencePiece model.
 
-    No begin or end tokens; special strings in a text are ordinary text, as is the library's default. Long texts are
-    cut where counts add up (see `splits_at_spaces`), so a batch holds about batch_bytes bytes
-    whatever the lengths of texts. A null or empty text has 0 bytes and 0 tokens; null ids, repeated rows and ties
-    each keep their row; an empty table gives an empty result; other columns are ignored."""
+    No begin or end tokens; special strings in a text are ordinary text, as is the library's default. Very long texts are
+    cut where counts add up (see `splits_at_spaces`), so that a batch holds about batch_bytes bytes; a stretch without
+    a lone space between ASCII letters or digits can't be cut safely and goes to the library whole. A null or empty
+    text has 0 bytes and 0 tokens; null ids, repeated rows and ties each keep their row; an empty table gives an empty
+    result; other columns are ignored."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, additive = _encoder(model_file(model_path))
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             totals = [0] * len(texts)
             cut = ((i, s) for i, t in enumerate(texts) if t for s in (segments(t, segment_chars) if additive else (t,)))

@@ -21,8 +21,8 @@ def shingled(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("rows", [500_000, 0])
-def test_leaks_are_those_of_brute_force(spark, rows):
+@pytest.mark.parametrize("size", [32 << 20, -1])
+def test_leaks_are_those_of_brute_force(spark, size):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abc") for _ in range(3))
     items = [(i, " ".join(word() for _ in range(r.choice((1, 4, 5, 6, 20, 90))))) for i in range(25)] + [(None, "null item of some more words"), (99, None)]
@@ -44,7 +44,7 @@ def test_leaks_are_those_of_brute_force(spark, rows):
             n, common = len(shingled(q)), len(shingled(t) & shingled(q))
             if n and 100 * common >= 75 * n:
                 want[d, i] = (n, common)
-    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows).collect()
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=size).collect()
     assert {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_common"]) for r in got} == want and len(want) > 20
 
 
@@ -86,9 +86,10 @@ URLS = ["http://A.Example.COM/en/7?x", "https://example.com/en/8#t", "x://exampl
 def test_urls_are_judged_as_by_brute_force(spark, rules):
     pages = edges.rows(spark, [(i % 7 or None, u) for i, u in enumerate(URLS + ["s://a.b.com/x", "s://a.b.com/xyz", "s://a.b.com/x"])], "page_id", "url")
     table = spark.createDataFrame(list(rules), "verdict string, rule string")
-    got = [tuple(r)[1:] for r in url_filter.judge_urls(pages, table).collect()]
     want = [brute_url(r["url"], rules) for r in pages.collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    for how in ({}, {"shapes": 0}, {"broadcast_bytes": -1}, {"prefix_hex": 1}):
+        got = [tuple(r)[1:] for r in url_filter.judge_urls(pages, table, **how).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr), how
     assert url_filter.judge_urls(pages.limit(0), table).count() == 0
 
 
