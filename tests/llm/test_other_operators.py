@@ -125,8 +125,8 @@ def test_head_left_open(head):
 
 def test_training_pages_are_told_apart():
     wrong = total = 0
-    for blocks, labels in html_extract.training_pages(150, seed=123):
-        got = html_extract.labelled(blocks)
+    for page, labels in html_extract.training_pages(150, seed=123):
+        got = html_extract.labelled(page)
         wrong, total = wrong + sum(int(a) != b for a, b in zip(got, labels, strict=True)), total + len(labels)
     assert wrong / total < 0.04
 
