@@ -1,43 +1,58 @@
 """Personal data: base patterns, and bootstrapped contextual extraction beyond them.
 
-Entities that the base patterns find are seeds. The words before seeds induce lexical patterns (the last two words before
-an entity); how often a pattern stands anywhere in the corpus, and before which identifier-like tokens, makes a graph of
-patterns and instances that Spark scores in rounds: a pattern by the share of its occurrences that stand before
-scored instances, an instance by its best pattern. Patterns of high confidence then discover identifiers that no
-base pattern matches. Frequent words that happen to stand before an entity get a low share and discover nothing."""
+Entities that the base patterns find are seeds. Lexical patterns are the two words before the word that holds an entity, or
+the two words behind it. One pass over the texts gives the graph: which patterns stand by which instances, where an
+instance is a base entity or anything that looks like an identifier. A second pass counts how often the words of a
+pattern stand anywhere; a filter of bounded size picks them out, so that it is one pass however many patterns there are.
+Then Spark scores the graph in rounds. A pattern's score is the share of its occurrences that stand by known instances,
+each by its worth: seeds count 1, others what their best accepted pattern scored in the round before, times DECAY. A pattern is
+accepted from CONFIDENCE on if at least MIN_SEEDS different known instances speak for it. What accepted patterns stand by
+becomes known and induces patterns in the next round. Frequent words that happen to stand by an entity get a low
+share and discover nothing."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import drop_saved, freeing, id_and_text, save
+from glyphlake.llm import setsketch as sk
+from glyphlake.llm.common import WORD, drop_saved, freeing, id_and_text, save, sliced, split_join
 from glyphlake.llm.secret_scan import SPANS
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "context")
 
-#: Fixed patterns of the base kinds; an email is found from its @, so that a text without spaces takes linear time.
+#: Fixed patterns of the base kinds. An email is found from its @, and an address of numbers begins where no digit stands
+#: before it (from a later digit of a run it can't match if it can't from the first), so that any text takes linear time.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Seeds that a pattern must have, its least share, rounds of scoring, patterns held by a worker at once.
-MIN_SEEDS, CONFIDENCE, ROUNDS, BLOCK = 3, 0.6, 3, 100_000
+#: Known instances that a pattern must have, its least share, rounds of scoring at most, patterns held by a worker at once.
+MIN_SEEDS, CONFIDENCE, ROUNDS, BLOCK = 3, 0.6, 5, 200_000
 #: An instance found by a pattern is worth this much of the pattern's share.
 DECAY = 0.9
-TOKEN, DIGIT = re.compile(r"\S+"), re.compile("[0-9]")
-#: An identifier-like token: digits among letters, digits and inner joints; at least MIN_DIGITS digits.
-IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._/-]*[A-Za-z0-9])?")
+TOKEN = re.compile(WORD)
+#: Words of patterns, and identifiers, are no longer than this; a context reaches so many characters to either side.
+WORD_CHARS, IDENTIFIER_CHARS, REACH = 64, 128, 256
+#: What may be inside an identifier, where one shows, and how many digits make one by themselves.
+INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._/@-")
+MARK = re.compile(r"[0-9]|[A-Za-z0-9][_@.][A-Za-z0-9]|[a-z][A-Z]")
+REST = re.compile(r"[A-Za-z0-9._/@-]*")
+LETTERS, JOINT = re.compile("[A-Za-z]"), re.compile("[A-Za-z0-9][_@.][A-Za-z0-9]|[a-z][A-Z]")
 MIN_DIGITS = 4
+#: Bytes of text whose pairs of words are hashed at once; bits of the filter for each pattern, and its least and most bits.
+SLICE_BYTES, FILTER_BITS, FILTER_LEAST, FILTER_MOST = 1 << 18, 64, 1 << 16, 1 << 28
 
 Span = tuple[str, int, int]
 
@@ -79,146 +94,264 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def pattern_before(text: str, start: int) -> str:
-    """The last two words before this place, lower-cased, digits as 0; what is glued to the entity counts as a word."""
-    return " ".join(plain(w) for w in text[max(0, start - 200) : start].split()[-2:])
+DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 
 
-def plain(word: str) -> str:
-    return DIGIT.sub("0", word.lower())
+def plain(text: str) -> bytes:
+    """Lower case, every digit as 0."""
+    return text.lower().encode().translate(DIGITS)
 
 
-def seeds(text: str) -> Iterator[tuple[str, str]]:
-    """(pattern, instance) of the base entities of a text; only patterns of two words count."""
-    for _, start, end in base_spans(text):
-        pattern = pattern_before(text, start)
-        if " " in pattern:
-            yield pattern, text[start:end]
+def identifiers(text: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int]]:
+    """What looks like an identifier between these places: a run of letters, digits and inner joints that has at least
+    MIN_DIGITS digits, or letters around an underscore, an at, a dot or a change from small letters to capitals."""
+    stop, floor = len(text) if stop is None else stop, start
+    while (m := MARK.search(text, floor, stop)) is not None:
+        low, high = m.start(), REST.match(text, m.start(), stop).end()
+        while low > floor and text[low - 1] in INNER:
+            low -= 1
+        floor = high
+        while low < high and text[low] in "._/@-":
+            low += 1
+        while high > low and text[high - 1] in "._/@-":
+            high -= 1
+        run = text[low:high]
+        if len(run) <= IDENTIFIER_CHARS and (sum(c.isdigit() for c in run) >= MIN_DIGITS or len(run) >= MIN_DIGITS and LETTERS.search(run) and JOINT.search(run)):
+            yield low, high
 
 
-def matches(text: str, patterns: dict[str, float] | frozenset[str], seconds: frozenset[str]) -> Iterator[tuple[str, int, int]]:
-    """(pattern, start, end) wherever one of these patterns stands; the place is that of the word behind it, or empty
-    at the end of the text. Places are worked out only where there is a hit."""
-    words = DIGIT.sub("0", text.lower()).split()
-    hits = [i for i in range(1, len(words)) if words[i] in seconds and f"{words[i - 1]} {words[i]}" in patterns]
+def found_instances(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it is a base entity) of all instances in order; those that touch a base entity don't count."""
+    base = sorted((s, e) for _, s, e in base_spans(text))
+    starts, ends = [s for s, _ in base], np.maximum.accumulate([e for _, e in base]).tolist() if base else []
+    out = [(s, e, True) for s, e in base]
+    for s, e in identifiers(text):
+        k = bisect_right(starts, e - 1)
+        if not k or ends[k - 1] <= s:
+            out.append((s, e, False))
+    return sorted(out)
+
+
+def before(text: str, at: int) -> str | None:
+    """The two words before the word that this place is in, as a pattern."""
+    low = max(0, at - REACH)
+    words = TOKEN.findall(text, low, at)
+    if words and TOKEN.match(text, at - 1):
+        words.pop()
+    if low and words and TOKEN.match(text, low - 1) and TOKEN.match(text, low):
+        words = words[1:]
+    return f"{w}\t" if len(words) > 1 and (w := pair(*words[-2:])) else None
+
+
+def behind(text: str, at: int) -> str | None:
+    """The two words behind the word that ends, or goes on, at this place, as a pattern."""
+    high = min(len(text), at + REACH)
+    words = TOKEN.findall(text, at, high)
+    if words and TOKEN.match(text, at):
+        words = words[1:]
+    if high < len(text) and words and TOKEN.match(text, high) and TOKEN.match(text, high - 1):
+        words.pop()
+    return f"\t{w}" if len(words) > 1 and (w := pair(*words[:2])) else None
+
+
+def pair(a: str, b: str) -> str | None:
+    return f"{plain(a).decode()} {plain(b).decode()}" if len(a) <= WORD_CHARS and len(b) <= WORD_CHARS else None
+
+
+def edges_of(text: str) -> Iterator[tuple[str, str, bool]]:
+    """(pattern, instance, seed) around every instance; of several in one word the first has the words before it, the
+    last those behind it."""
+    found = found_instances(text)
+    for k, (s, e, seed) in enumerate(found):
+        if (not k or not _same_word(text, found[k - 1][1], s)) and (p := before(text, s)):
+            yield p, text[s:e], seed
+        if (k + 1 == len(found) or not _same_word(text, e, found[k + 1][0])) and (p := behind(text, e)):
+            yield p, text[s:e], seed
+
+
+def _same_word(text: str, end: int, start: int) -> bool:
+    return start <= end or start - end < REACH and not SPACE.search(text, end, start)
+
+
+SPACE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def matches(text: str, patterns: frozenset[str], words: frozenset[bytes]) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether the words stand before it) of the words that these patterns stand by. `words` are the first
+    words of patterns; places are worked out only where there is a hit."""
+    flat = plain(text).split()
+    hits = [(i, w) for i in range(len(flat) - 1) if flat[i] in words and len(flat[i + 1]) <= 4 * WORD_CHARS for w in (f"{flat[i].decode()} {flat[i + 1].decode()}",) if f"{w}\t" in patterns or f"\t{w}" in patterns]
     if hits:
         at = [m.span() for m in TOKEN.finditer(text)]
-        for i in hits:
-            yield (f"{words[i - 1]} {words[i]}", *(at[i + 1] if i + 1 < len(at) else (at[i][1], at[i][1])))
-
-
-def identifier(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The identifier-like part of the word at this place."""
-    m = IDENTIFIER.search(text, start, end)
-    return m.span() if m and sum(c.isdigit() for c in m[0]) >= MIN_DIGITS else None
-
-
-def instances(text: str, patterns: frozenset[str], seconds: frozenset[str]) -> Iterator[tuple[str, str | None]]:
-    """(pattern, instance or None) for each occurrence; an instance is a base entity or an identifier-like token."""
-    at = None
-    for pattern, start, end in matches(text, patterns, seconds):
-        if at is None:
-            at = {s: text[s:e] for _, s, e in base_spans(text)}
-        if start in at:
-            yield pattern, at[start]
-        else:
-            found = identifier(text, start, end)
-            yield pattern, text[slice(*found)] if found else None
-
-
-def context_spans(text: str, base: Iterable[Span], patterns: dict[str, float], seconds: frozenset[str]) -> list[Span]:
-    taken, out = [(s, e) for _, s, e in base], set()
-    for _, start, end in matches(text, patterns, seconds):
-        if (found := identifier(text, start, end)) and not any(s < found[1] and found[0] < e for s, e in taken):
-            out.add(("context", *found))
+        for i, w in hits:
+            if f"{w}\t" in patterns and i + 2 < len(at):
+                yield *at[i + 2], True
+            if f"\t{w}" in patterns and i:
+                yield *at[i - 1], False
+
+
+def context_spans(text: str, base: Iterable[Span], patterns: frozenset[str], words: frozenset[bytes]) -> list[Span]:
+    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = [s for s, _ in taken], np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
+    out = set()
+    for start, end, first in matches(text, patterns, words):
+        runs = list(identifiers(text, start, end))
+        if runs:
+            s, e = runs[0 if first else -1]
+            k = bisect_right(starts, e - 1)
+            if not k or ends[k - 1] <= s:
+                out.add(("context", s, e))
     return sorted(out, key=lambda s: s[1])
 
 
-def _counted(rows: DataFrame, pairs, flush: int = 50_000) -> DataFrame:
-    """(pattern, instance, n) over all texts, summed in each task first, with bounded memory."""
-    names = ["pattern", "instance", "n"]
+def graph(rows: DataFrame, flush: int = 50_000) -> DataFrame:
+    """(pattern, instance, seed, n) over all texts, summed in each task first, with bounded memory."""
+    names = ["pattern", "instance", "seed", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             keys = list(seen)
-            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=names)
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([seen[k] for k in keys], pa.int64())], names=names)
             seen.clear()
             return made
 
         for batch in batches:
             for text in batch.column(1):
-                seen.update(pairs(text.as_py()))
+                seen.update(edges_of(text.as_py()))
                 if len(seen) >= flush:
                     yield out()
         yield out()
 
-    return rows.mapInArrow(freeing(count), "pattern string, instance string, n long").groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(freeing(count), "pattern string, instance string, seed boolean, n long")
+    return found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
 
 
-def score_graph(edges: DataFrame, seed_rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score): the share of a pattern's occurrences that stand before scored instances, after some rounds.
+def pair_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of all neighbouring words."""
+    hashes = sk.word_hashes(np.frombuffer(data, np.uint8))[1]
+    return sk.mixed(hashes[:-1] * sk._M + hashes[1:])
 
-    edges: (pattern, instance, n), instance null where no identifier follows; seeds score 1, other instances
-    what their best pattern scored in the round before, times DECAY."""
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    known = edges.where("instance is not null").join(seed_rows.select("instance").distinct().withColumn("seed", F.lit(1.0)), "instance", "left")
-    known = known.select("pattern", "instance", "n", F.coalesce("seed", F.lit(0.0)).alias("seed")).join(totals, "pattern")
-    scored = known.groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.max("total")).alias("score"))
-    for _ in range(rounds - 1):
-        best = known.join(scored, "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), F.max(F.col("score") * DECAY)).alias("worth"))
-        scored = known.join(best, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("worth")) / F.max("total")).alias("score"))
-    return scored
 
+def pattern_filter(patterns: DataFrame, count: int) -> np.ndarray:
+    """A filter of the patterns' words, of at most FILTER_MOST bits, as bytes: a bit for each hash, collected in parts."""
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_BITS * count - 1).bit_length()))
 
-def _blocks(patterns: DataFrame, size: int) -> Iterator[dict[str, float]]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = pair_hashes("\n".join(p.strip("\t") for p in batch.column(0).to_pylist()).encode())[::2]
+                yield pa.RecordBatch.from_arrays([pa.array((found % np.uint64(bits)).astype(np.int64))], names=["place"])
+
+    part = 1 << 15
+    marked = patterns.select("pattern").mapInArrow(places, "place long").groupBy(F.floor(F.col("place") / part).alias("part")).agg(F.bitmap_construct_agg(F.col("place") % part).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in marked.collect():
+        out[row["part"] * part // 8 : (row["part"] + 1) * part // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def word_pairs(rows: DataFrame, marks: np.ndarray, flush: int = 50_000) -> DataFrame:
+    """(pair, total): how often each pair of words that passes the filter stands in all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([f"{a.decode()} {b.decode()}" for a, b in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pair", "n"])
+            seen.clear()
+            return made
+
+        for batch in sliced(batches, limit=SLICE_BYTES):
+            texts = [plain(t) for t in batch.column(1).to_pylist()]
+            found = pair_hashes(b"\n".join(texts)) % np.uint64(8 * len(marks))
+            hits = np.flatnonzero((marks[found >> np.uint64(3)] >> (found & np.uint64(7)).astype(np.uint8)) & 1)
+            if len(hits):
+                words, last = [], []
+                for t in texts:
+                    words += t.split()
+                    last.append(len(words) - 1)
+                ends = set(last)
+                seen.update((words[i], words[i + 1]) for i in hits.tolist() if i not in ends and len(words[i]) <= 4 * WORD_CHARS and len(words[i + 1]) <= 4 * WORD_CHARS)
+            if len(seen) >= flush:
+                yield out()
+        yield out()
+
+    return rows.mapInArrow(freeing(count), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("total"))
+
+
+def bootstrap(edges: DataFrame, patterns: DataFrame, instances: DataFrame, min_seeds: int, confidence: float, rounds: int) -> DataFrame:
+    """(pattern, score) of the patterns that are accepted in the last round.
+
+    edges: (pattern, instance, n); patterns: (pattern, total, weight); instances: (instance, seed, weight), where weights
+    count edges. Rounds end when the accepted patterns and known instances stay the same."""
+    known, before_ = instances.where("seed").select("instance", F.lit(1.0).alias("worth"), "weight"), None
+    accepted, held = None, []
+    for _ in range(rounds):
+        support = split_join(edges, known, "instance", "weight").groupBy("pattern").agg(F.sum(F.col("n") * F.col("worth")).alias("hits"), F.count("*").alias("known"))
+        scored = support.where(F.col("known") >= min_seeds).join(patterns, "pattern").withColumn("score", F.least(F.lit(1.0), F.col("hits") / F.col("total")))
+        accepted = save(scored.where(F.col("score") >= confidence).select("pattern", "score", "weight"), "pii-accepted")
+        found = split_join(edges, accepted, "pattern", "weight").groupBy("instance").agg((F.max("score") * DECAY).alias("found"))
+        known = instances.join(found, "instance", "left").where("seed or found is not null").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("worth"), "weight")
+        known = save(known, "pii-known")
+        held += [accepted, known]
+        now = (accepted.count(), known.count())
+        if not now[0] or now == before_:
+            break
+        before_ = now
+    result = save(accepted.select("pattern", "score"), "pii-patterns")
+    drop_saved(*held)
+    return result
+
+
+def _blocks(patterns: DataFrame, size: int) -> Iterator[frozenset[str]]:
     """Patterns in blocks of bounded size, each small enough for a worker; all of them come."""
-    block: dict[str, float] = {}
+    block: set[str] = set()
     for row in patterns.toLocalIterator():
-        block[row["pattern"]] = row["score"]
+        block.add(row["pattern"])
         if len(block) >= size:
-            yield block
-            block = {}
+            yield frozenset(block)
+            block = set()
     if block:
-        yield block
+        yield frozenset(block)
 
 
-def _seconds(patterns: Iterable[str]) -> frozenset[str]:
-    return frozenset(p.split(" ")[1] for p in patterns)
+def _firsts(patterns: Iterable[str]) -> frozenset[bytes]:
+    return frozenset(p.strip("\t").split(" ")[0].encode() for p in patterns)
 
 
-def learn_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """(pattern, score) of the patterns that at least min_seeds different seeds induce and whose score is at least
-    `confidence`, over all texts. Empty tables give no pattern."""
+def learn_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, score) of the accepted patterns over all texts; a pattern is two words with a tab where the instance
+    stands. Empty tables and tables without entities give no pattern."""
     rows = id_and_text(docs, id_col, text_col)
-    seeded = save(_counted(rows, seeds), "pii-seeds")
-    induced = seeded.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern", F.lit(0.0).alias("score"))
-    edges, tables = None, [seeded]
-    for part in _blocks(induced, block):
-        found, seconds = frozenset(part), _seconds(part)
-        more = save(_counted(rows, lambda t, p=found, s=seconds: instances(t, p, s)), "pii-edges")
-        tables.append(more)
-        edges = more if edges is None else edges.union(more)
-    if edges is None:
-        return induced.limit(0)
-    scored = save(score_graph(edges, seeded, rounds).where(F.col("score") >= confidence), "pii-patterns")
-    drop_saved(*tables)
-    return scored
-
-
-def annotate(rows: DataFrame, id_col: str, text_col: str, patterns: dict[str, float], first: bool) -> DataFrame:
+    whole = save(graph(rows), "pii-graph")
+    stats = save(whole.groupBy("pattern").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_seeds), "pii-candidates")
+    count = stats.count() if not whole.where("seed").isEmpty() else 0
+    if not count:
+        drop_saved(whole, stats)
+        return docs.sparkSession.createDataFrame([], "pattern string, score double")
+    totals = word_pairs(rows, pattern_filter(stats, count))
+    patterns = save(stats.withColumn("pair", F.translate("pattern", "\t", "")).join(totals, "pair").select("pattern", "total", "weight"), "pii-totals")
+    edges = save(split_join(whole, stats, "pattern", "weight"), "pii-edges")
+    instances = save(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.count("*").alias("weight")), "pii-instances")
+    found = bootstrap(edges.select("pattern", "instance", "n"), patterns, instances, min_seeds, confidence, rounds)
+    drop_saved(whole, stats, patterns, edges, instances)
+    return found
+
+
+def annotate(rows: DataFrame, id_col: str, text_col: str, patterns: frozenset[str], first: bool) -> DataFrame:
     """Adds what one block of patterns finds to the spans of (id, text, spans); the first block adds the base kinds."""
-    seconds = _seconds(patterns)
+    firsts = _firsts(patterns)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, had in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 spans = base_spans(text) if first else [(s["kind"], s["start"], s["end"]) for s in had]
                 if patterns:
-                    spans = in_order(spans + context_spans(text, spans, patterns, seconds))
+                    spans = in_order(spans + context_spans(text, spans, patterns, firsts))
                 out.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, kind)], names=[id_col, text_col, "spans"])
 
@@ -232,32 +365,35 @@ def in_order(spans: Iterable[Span]) -> list[Span]:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, block: int = BLOCK) -> DataFrame:
     """(id, text, spans) of every row: the base kinds, then what patterns discover (kind context), by kind, then start.
 
-    Spans are in code points, their end exclusive. Null and empty texts have none; null ids, ties and repeated rows
-    keep their rows; empty tables give an empty result; other columns are ignored. Patterns are handed to workers in
-    blocks of bounded size, one after the other; nearly always there is one block or none."""
+    Spans are in code points, their end exclusive. Null and empty texts have none; very long texts are searched whole, in
+    linear time; null ids, ties and repeated rows keep their rows; empty tables give an empty result; other columns are
+    ignored. Accepted patterns are handed to workers in blocks of bounded size, one after the other; nearly always there
+    is one block or none."""
     rows = id_and_text(docs, id_col, text_col).withColumn("spans", F.expr(f"cast(array() as {SPANS})"))
     first = True
-    for patterns in _blocks(learn_patterns(docs, id_col, text_col, min_seeds, confidence, block=block), block):
+    for patterns in _blocks(learn_patterns(docs, id_col, text_col, min_seeds, confidence), block):
         rows = annotate(rows if first else save(rows, "pii-spans"), id_col, text_col, patterns, first)
         first = False
-    return annotate(rows, id_col, text_col, {}, True) if first else rows
+    return annotate(rows, id_col, text_col, frozenset(), True) if first else rows
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, **options) -> DataFrame:
     """The same columns and rows with every span of personal data replaced by its kind in brackets; null texts become
-    empty. Patterns are learnt from all rows first, and beyond one block of them are applied block after block."""
+    empty. Very long texts are redacted whole; null ids, ties and repeated rows keep their rows; empty tables give an
+    empty result; other columns, whatever their names, stay as they are. Patterns are learnt from all rows first, and
+    beyond one block of them are applied block after block."""
     at, out, first = docs.columns.index(text_col), docs, True
 
-    def step(patterns: dict[str, float]):
-        seconds = _seconds(patterns)
+    def step(patterns: frozenset[str]):
+        firsts = _firsts(patterns)
 
         def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, at):
                 texts = []
                 for text in batch.column(at).to_pylist():
                     spans = base_spans(text or "")
                     if patterns:
-                        spans = spans + context_spans(text or "", spans, patterns, seconds)
+                        spans = spans + context_spans(text or "", spans, patterns, firsts)
                     texts.append(redact(text or "", spans) if spans else text or "")
                 columns = list(batch.columns)
                 columns[at] = pa.array(texts, pa.string())
@@ -265,10 +401,10 @@ def redact_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
         return redacted
 
-    for patterns in _blocks(learn_patterns(docs, id_col, text_col, block=block, **options), block):
+    for patterns in _blocks(learn_patterns(docs, id_col, text_col, **options), block):
         out = (out if first else save(out, "pii-redacted")).mapInArrow(freeing(step(patterns)), docs.schema)
         first = False
-    return out.mapInArrow(freeing(step({})), docs.schema) if first else out
+    return out.mapInArrow(freeing(step(frozenset())), docs.schema) if first else out
 
 
 def redact(text: str, spans: Iterable[Span]) -> str:
