@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm.boosting import Boosted, Isotonic, fit, isotonic
-from glyphlake.llm.common import drop_saved, freeing, id_and_text, save
+from glyphlake.llm.common import drop_saved, freeing, id_and_text, save, sliced
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their ids.
 TRAIN_ROWS = 20_000
-#: Terms of the induced lexicon at most; log odds, share of toxic texts and number of texts a term needs at least.
-LEXICON, ODDS, SHARE, TEXTS = 2_000, 2.5, 0.004, 6
+#: Log odds, share of toxic texts and number of texts that a term of the induced lexicon needs at least.
+ODDS, SHARE, TEXTS = 2.5, 0.004, 6
 THRESHOLD = 0.3
 
 #: Fixed words: insults that the lexicon starts with, and pronouns of the second person.
@@ -118,28 +118,38 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _copies_once(rows: list[tuple[int, str]]) -> Iterator[tuple[int, str]]:
-    """One text for each least hash of its runs of three words, so that a group of copies counts about once."""
+def copy_key(text: str) -> int:
+    """The least hash of a text's runs of three words, which copies and near copies mostly share."""
     import xxhash
 
-    seen = set()
-    for toxic, text in rows:
-        words = text.lower().split()
-        key = min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
-        if (toxic, key) not in seen:
-            seen.add((toxic, key))
-            yield toxic, text
+    words = text.lower().split()
+    least = min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+    return least - (1 << 64) if least >> 63 else least
 
 
-def induce(train: DataFrame, limit: int = LEXICON) -> dict[str, float]:
-    """Terms with log odds: texts that hold a term, toxic or not, are counted in each task first, then over all."""
+def copies_once(sample: DataFrame) -> DataFrame:
+    """(toxic, text): of the rows of one label and one `copy_key`, over the whole sample, the one of least id and text. So a
+    group of copies counts once, however the rows are dealt; a text that only shares its least run counts with them."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([copy_key(t) for t in batch.column(2).to_pylist()], pa.int64())], names=["id", "toxic", "text", "key"])
+
+    rows = sample.select("id", "toxic", "text")
+    named = rows.mapInArrow(freeing(keyed), f"id {rows.schema[0].dataType.simpleString()}, toxic int, text string, key long")
+    return named.groupBy("toxic", "key").agg(F.min_by("text", F.struct("id", "text")).alias("text")).select("toxic", "text")
+
+
+def induce(train: DataFrame) -> dict[str, float]:
+    """Terms with log odds: texts that hold a term, toxic or not, are counted in each task first, then over all. Every term
+    that passes is taken; the size of the sample bounds their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
         counts = (Counter(), Counter())
-        for batch in batches:
-            for toxic, text in _copies_once(list(zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True))):
+        for batch in sliced(batches):
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {w.strip(STRIP) for w in text.lower().split()}
                 counts[toxic].update({t for w in words if len(w) > 2 for t in terms(w)})
                 counts[toxic][""] += 1
@@ -151,14 +161,15 @@ def induce(train: DataFrame, limit: int = LEXICON) -> dict[str, float]:
                 zeros = [0] * len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n if toxic else zeros, pa.int64()), pa.array(zeros if toxic else n, pa.int64())], names=["term", "toxic", "clean"])
 
-    counted = train.select("toxic", "text").mapInArrow(freeing(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = copies_once(train).mapInArrow(freeing(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = save(counted.where(f"toxic >= {TEXTS} or term = ''"), "toxic-terms")
     total = counted.where("term = ''").agg(F.sum("toxic"), F.sum("clean")).first()
     if not total[0] or not total[1]:
+        drop_saved(counted)
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (total[0] + 1.0)) - F.log((F.col("clean") + 0.5) / (total[1] + 1.0))
     chosen = counted.where(f"term <> '' and toxic >= {SHARE * total[0]}").withColumn("odds", odds).where(f"odds >= {ODDS}")
-    found = {r.term: float(r.odds) for r in chosen.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term").limit(limit).collect()}
+    found = {r.term: float(r.odds) for r in chosen.orderBy("term").collect()}
     drop_saved(counted)
     return found
 
@@ -168,7 +179,7 @@ def _featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> Da
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Lexicon(lexicon)
-        for batch in batches:
+        for batch in sliced(batches, len(keep)):
             x = [features(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
@@ -176,14 +187,19 @@ def _featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> Da
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most `rows` labelled rows outside the held-out part. Rows without a label, and ids with
-    several labels (of which the highest counts once), are no obstacle; without both classes the share is the score."""
+    """A model from at most `rows` labelled rows outside the held-out part, the same however the rows are dealt.
+
+    Null ids and labels, ids without a label and ids with several (of which the highest counts once) are no obstacle; of
+    repeated rows each counts in the trees, copies once in the lexicon; null texts count as empty, very long ones are read
+    whole. Without rows of both classes, as from empty tables, the share of toxic ones is every score. Other columns are
+    ignored."""
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(labelled.orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = id_and_text(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = save(texts.join(chosen, "id"), "toxic-sample")
     lexicon = induce(sample)
-    found = _featured(sample.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)).cast("int")), lexicon, ["id", "toxic", "part"]).orderBy("id", "part").collect()
+    parted = sample.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)).cast("int")).withColumn("place", F.xxhash64("text"))
+    found = _featured(parted, lexicon, ["id", "toxic", "part", "place"]).orderBy("id", "place").collect()
     drop_saved(sample)
     y = np.array([r.toxic for r in found], float)
     if len(set(y.tolist())) < 2:
@@ -197,14 +213,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row, from its text alone. Null and empty texts get the score of a text without words; null
-    ids, ties and repeated rows keep their rows; empty tables give an empty result; other columns are ignored."""
+    """(id, score) of every row, from its text alone. Null and empty texts get the score of a text without words; very long
+    texts are read whole; null ids, ties and repeated rows keep their rows; empty tables give an empty result; other
+    columns are ignored."""
     rows = id_and_text(docs, id_col, text_col).withColumnRenamed(text_col, "text")
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Lexicon(model.lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([features(t, words) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=[id_col, "score"])
 
@@ -212,12 +229,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is below the threshold, with all their columns."""
+    """The rows whose score is below the threshold, with all their columns, whatever their names. Null texts are scored as
+    empty ones; a row's id plays no part; empty tables give an empty result."""
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Lexicon(model.lexicon)
-        for batch in batches:
+        for batch in sliced(batches, at):
             x = np.array([features(t or "", words) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) < threshold))
 

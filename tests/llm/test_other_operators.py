@@ -279,6 +279,84 @@ def test_learns_words_and_holds_on_rows_it_never_saw(spark):
     assert toxicity.keep_clean(df, model).columns == df.columns
 
 
+def by_hand(text, lexicon):
+    """The features once more, word by word, in the order of FEATURES."""
+    import math
+    import re
+
+    edge = lambda w: w.strip(toxicity.STRIP)
+    words = [edge(w) for w in text.lower().split()]
+    if not words:
+        return [0.0] * 17
+    known = {f"{w}$": 4.0 for w in toxicity.INSULTS} | lexicon
+
+    def look(w):
+        for term in [f"{w}$"] + [w[:n] for n in (6, 5, 4) if len(w) >= n]:
+            if term in known:
+                return term
+        return None
+
+    clean = lambda w: re.sub(r"(\w)\1{2,}", r"\1", "".join(c for c in w.translate(toxicity.LEET) if c.isalnum()))
+    at, terms, hidden, odd = [], [], 0, 0
+    for i, w in enumerate(words):
+        term = look(w)
+        if not term and w and not w.isalpha() and not w.isdigit():
+            odd += 1
+            term = look(clean(w))
+            hidden += term is not None
+        if term:
+            at.append(i)
+            terms.append(term)
+    for m in re.finditer(r"(?<!\w)\w(?:[ ._*-]\w){3,}(?!\w)", text.lower()):
+        term = look(re.sub(r"[ ._*-]", "", m[0]).translate(toxicity.LEET))
+        if term:
+            hidden += 1
+            terms.append(term)
+    n, size = len(words), len(text.encode())
+    second = [i for i, w in enumerate(words) if w in toxicity.SECOND]
+    count = lambda chars: sum(text.count(c) for c in chars) / size
+    distinct = list(dict.fromkeys(terms))
+    return [len(at) + hidden, len(distinct), (len(at) + hidden) / n, sum(known[t] for t in distinct), max([known[t] for t in distinct], default=0.0), sum(any(abs(i - j) <= 5 for j in second) for i in at), len(second) / n, hidden, odd / n, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("!"), count("?"), count("\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~"), count("0123456789"), len(re.findall(r"(\w)\1{2,}", text)) / n, math.log1p(n), len(text) / n]
+
+
+def walk(model, x):
+    """The boosted trees, node by node, and the calibration between the two nearest points."""
+    trees, cal = model.trees, model.calibration
+    raw = trees.base
+    for feature, cut, value in zip(trees.feature, trees.cut, trees.value, strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+        raw += value[node - len(feature)]
+    if raw <= cal.at[0]:
+        return cal.value[0]
+    for a, b, v, w in zip(cal.at, cal.at[1:], cal.value, cal.value[1:], strict=False):
+        if raw <= b:
+            return v + (w - v) * (raw - a) / (b - a) if b > a else w
+    return cal.value[-1]
+
+
+def test_scores_are_those_worked_out_by_hand(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, sf_dir).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    import zlib
+
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        assert got[i]["score"] == pytest.approx(walk(model, by_hand(t, model.lexicon)), abs=1e-9), i
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
+def test_model_does_not_depend_on_how_rows_are_dealt(spark):
+    df = toxic_table(spark, 400)
+    again = df.union(df.where("doc_id % 7 = 0").selectExpr("doc_id + 1000", "text", "toxic")).union(df.where("doc_id % 50 = 0"))
+    models = [toxicity.train(again.repartition(n, *by), df) for n, by in ((1, ()), (16, ()), (5, ("text",)))]
+    assert all(m.lexicon == models[0].lexicon for m in models) and len(models[0].lexicon) > 1
+    assert all((m.trees.value == models[0].trees.value).all() and (m.calibration.at == models[0].calibration.at).all() for m in models)
+
+
 def test_labels_of_the_held_out_part_change_nothing(spark):
     df = toxic_table(spark, 200)
     turned = df.withColumn("toxic", __import__("pyspark.sql.functions", fromlist=["when"]).when(toxicity.held_out("doc_id"), 1 - df["toxic"]).otherwise(df["toxic"]))
