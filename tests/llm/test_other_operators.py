@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import compare
 import edges
@@ -207,6 +208,106 @@ def test_long_texts_of_little_entropy(monkeypatch):
     assert (fingerprints.features(a.encode()) == whole).all()
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_hash(window):
+    h = 0x9E3779B97F4A7C15
+    for k in range(0, len(window), 8):
+        h = (h ^ int.from_bytes(window[k : k + 8], "little")) * 0xD1342543DE82EF95 & MASK
+        h ^= h >> 29
+    h = h * 0x9E3779B97F4A7C15 & MASK
+    return h ^ (h >> 32)
+
+
+def plain_rarity(window):
+    from collections import Counter
+    from math import log2
+
+    bits = log2(64) - sum(round((1 << 24) * c * log2(c)) for c in Counter(window).values()) / ((1 << 24) * 64)
+    return 0 if bits < 2 else min(1 + round(abs(bits - 3.7) / 0.3 * 60_000), 1_000_000)
+
+
+def plain_features(data):
+    """Window by window: votes of each stretch of 64 windows, then the windows that cover texts with few features."""
+    if len(data) < 8:
+        return [int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")] if data else []
+    out = []
+    n = len(data) - 63
+    if n > 0:
+        rare = [plain_rarity(data[i : i + 64]) for i in range(n)]
+        span = min(64, n)
+        votes = [0] * n
+        for s in range(n - span + 1):
+            votes[max(range(s, s + span), key=lambda i: (rare[i], -i))] += 1
+        out = [plain_hash(data[i : i + 64]) for i in range(n) if rare[i] and votes[i] >= min(16, n - span + 1)]
+    if len(set(out)) < 8 and len(data) >= 512:
+        hashes = [plain_hash(data[i : i + 64]) for i in range(n)]
+        taken = {0, n - 1} | {min(range(s, s + span), key=lambda i: (-rare[i], hashes[i], i)) for s in range(n - span + 1)}
+        out = out + [hashes[i] for i in sorted(taken)]
+        few = True
+    else:
+        few = len(set(out)) < 8
+    if few and len(data) < 1024:
+        n = len(data) - 7
+        hashes = [plain_hash(data[i : i + 8]) for i in range(n)]
+        span = min(8, n)
+        taken = {0, n - 1} | {min(range(s, s + span), key=lambda i: (-len(set(data[i : i + 8])), hashes[i], i)) for s in range(n - span + 1)}
+        out = out + [hashes[i] for i in sorted(taken)]
+    return out
+
+
+def plain_chain(data):
+    """(number of features, set bits) of each filter."""
+    distinct = list(dict.fromkeys(plain_features(data)))
+    parts = [distinct[i : i + 160] for i in range(0, len(distinct), 160)]
+    return [(len(p), {(h >> 12 * k) % 2048 for h in p for k in range(5)}) for p in parts]
+
+
+def read_chain(text):
+    import base64
+
+    out = []
+    for part in text.split(";") if text else []:
+        n, _, bits = part.partition(":")
+        out.append((int(n), {8 * i + 7 - b for i, byte in enumerate(base64.b64decode(bits)) for b in range(8) if byte >> b & 1}))
+    return out
+
+
+def plain_likeness(a, b):
+    x, y = sorted((a, b), key=len)
+    share = lambda p, q: min(1.0, max(0.0, (len(p & q) - len(p) * len(q) / 2048) / max(min(len(p), len(q)) - len(p) * len(q) / 2048, 1e-9)))
+    return sum(max(share(p, q) for _, q in y) * len(p) for _, p in x) / sum(len(p) for _, p in x)
+
+
+def test_fingerprints_are_those_of_plain_counting():
+    r = random.Random(3)
+    texts = ["", "a", "abcdefg", "abcdefgh", "é字" * 30, "a" * 700, "ab" * 900, *("".join(r.choice("abcdefghij klmno.,é") for _ in range(n)) for n in (9, 40, 64, 65, 100, 300, 511, 600, 1100, 6000)), "x" * 200 + "".join(r.choice("qwertz uiop") for _ in range(300)) + "x" * 400]
+    for t in texts:
+        assert read_chain(fingerprints.fingerprint(t)) == plain_chain(t.encode()), t[:40]
+    full = [t for t in texts if len(t) > 8]
+    for a, b in zip(full, full[1:], strict=False):
+        edit = fingerprints.edited_text(a, b)
+        if len(plain_chain(a.encode())) != len(plain_chain(edit.encode())) or a == edit:
+            continue
+        got = fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(edit))
+        x, y = plain_chain(a.encode()), plain_chain(edit.encode())
+        assert min(abs(got - plain_likeness(x, y)), abs(got - plain_likeness(y, x))) < 1e-5
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "decimal(20,3)", "date", "binary", "boolean"])
+def test_fingerprints_of_ids_of_any_type(spark, kind):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(120))) for i in range(2 if kind == "boolean" else 60)]
+    as_kind = "date_from_unix_date(k)" if kind == "date" else "cast(cast(k as string) as binary)" if kind == "binary" else f"cast(k as {kind})"
+    df = spark.createDataFrame([*rows, (None, "no id")], "k int, text string").selectExpr(f"{as_kind} as doc_id", "text", "k as range", "k as id")
+    order = df.select("doc_id", "text").orderBy(F.desc_nulls_last("doc_id"), "text").collect()
+    got = {x["doc_id"]: x for x in fingerprints.fingerprint_edits(df, parts=7).collect()}
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        assert got[a["doc_id"]]["edited"] == fingerprints.edited_text(a["text"], b["text"])
+    assert len(got) == len(order)
+
+
 @pytest.mark.parametrize("parts", [None, 1, 5, 400])
 def test_fingerprint_query(spark, sf_dir, parts):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id", ascending=False).collect()

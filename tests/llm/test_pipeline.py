@@ -3,12 +3,39 @@
 import re
 
 import corpus_pipeline
+import edges
 from glyphlake.llm import pii, toxicity
 from test_near_dedup import brute
 from test_other_operators import shingled
 from test_tokens import PLAIN
 
 
+def written(spark, tmp_path, docs, items=None):
+    """The tables of a run over these documents; a few of them are labelled."""
+    home = tmp_path / "tables"
+    docs.write.mode("overwrite").parquet(f"{home}/documents.parquet")
+    spark.createDataFrame([(1, 1), (4, 0), (None, 1), (7, None)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{home}/labels.parquet")
+    spark.createDataFrame(items or [], "item_id long, text string").write.mode("overwrite").parquet(f"{home}/benchmark.parquet")
+    return str(home)
+
+
+def test_edges(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names; then empty tables."""
+    docs = edges.rows(spark).selectExpr("*", "'en' as lang", "null as source", "cast(length(text) as long) as n_chars")
+    home = written(spark, tmp_path, docs, [(1, "two three four five six"), (2, None)])
+    held = spark.read.parquet(f"{home}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, home)
+        held.write.parquet(str(tmp_path / name))
+        held = spark.read.parquet(str(tmp_path / name))
+        assert held.columns == docs.columns, name
+    got = corpus_pipeline.run(spark, home)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = {r["doc_id"] for r in got.collect()}
+    assert kept == {r["doc_id"] for r in held.collect()} and {None, 2, 3, 4, 5, 7, 8} >= kept and 1 not in kept and got.count() == held.count()
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, docs.limit(0))).count() == 0
+
+
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = docs.columns
