@@ -6,9 +6,9 @@
    anything is gathered, with counts that are summed in each task first.
 3. In a bucket, pairs are estimated from their registers by joint likelihood. First each node puts forward only its
    likeliest partners; these pairs are confirmed on full sets and give components. Then buckets that still hold several
-   components are searched whole: every likely pair of nodes of different components is confirmed on full sets where it
-   is found, and only links that join components leave the task. So no link between components is lost, and
-   no group, however large, gives out all its pairs.
+   components are searched whole: nodes of different components that are likely pairs are dealt out again with their
+   full sets, every such pair is confirmed where it is found, and only links that join components leave the task. So no
+   link between components is lost, and no group, however large, gives out all its pairs.
 4. Components of the links, and of the classes that share an id with texts of several; each document's least reachable id.
 
 How many bands there are, of how many registers, and what counts as likely follow from the threshold (`setsketch.bands_for`).
@@ -33,7 +33,7 @@ PERCENT = 75
 #: The first round, which only has to join most of what belongs together, looks at this share of the bands, and partners.
 FIRST, PARTNERS = 0.375, 2
 #: Nodes, and bytes of their sets, of a block of a large bucket.
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,16 +178,46 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(least) + len(most) - common)
 
 
+def _cross_pairs(table: pa.Table, crosswise: bool, bands: sk.Bands, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (i, j, estimate): likely pairs of different labels, and, crosswise, of different blocks, that no earlier band
+    brings together."""
+    label, n, own, band = (table.column(c).to_numpy() for c in ("label", "n", "own", "band"))
+    if len(label) < 2 or (label == label[0]).all():
+        return
+    registers, width = _registers(table), bands.bands * bands.rows
+    for i, j, estimate in likely_pairs(registers, n, label, bands, percent):
+        shared = (registers[i, :width] == registers[j, :width]).reshape(len(i), bands.bands, bands.rows).all(2)
+        keep = shared.argmax(1) == band[i]
+        if crosswise:
+            keep &= own[i] != own[j]
+        yield i[keep], j[keep], estimate[keep]
+
+
+CROSS = "bucket long, band short, low int, high int, own int, rep long, label long"
+
+
+def in_cross_pairs(rows: DataFrame, bands: sk.Bands, percent: int) -> DataFrame:
+    """The rows, of those dealt out with their registers, that are in a likely pair of different labels: what has to be
+    looked at with full sets. At most as many rows come out as go in, however many pairs there are."""
+    names = [x.split()[0] for x in CROSS.split(", ")]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, low, high), table in _buckets(batches):
+            taken = np.zeros(table.num_rows, bool)
+            for i, j, _ in _cross_pairs(table, low != high, bands, percent):
+                taken[i] = taken[j] = True
+            if taken.any():
+                yield from table.select(names).filter(pa.array(taken)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(freeing(made), CROSS)
+
+
 def cross_links(rows: DataFrame, bands: sk.Bands, percent: int) -> DataFrame:
-    """(a, b): of the links between nodes of different labels in dealt-out blocks those that join what is apart. A pair is
-    looked at in the first band that brings it together."""
+    """(a, b): of the links between nodes of different labels in dealt-out blocks those that join what is apart."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, low, high), table in _buckets(batches):
-            rep, label, n, own, band = (table.column(c).to_numpy() for c in ("rep", "label", "n", "own", "band"))
-            if len(rep) < 2 or (label == label[0]).all():
-                continue
-            registers, sets = _registers(table), table.column("set")
+            rep, label, sets = table.column("rep").to_numpy(), table.column("label").to_numpy(), table.column("set")
             root = {x: x for x in label.tolist()}
 
             def find(x: int, root=root) -> int:
@@ -196,11 +226,8 @@ def cross_links(rows: DataFrame, bands: sk.Bands, percent: int) -> DataFrame:
                 return x
 
             joins = []
-            for i, j, estimate in likely_pairs(registers, n, label, bands, percent):
-                keep = np.full(len(i), True) if low == high else own[i] != own[j]
-                shared = (registers[i, : bands.bands * bands.rows] == registers[j, : bands.bands * bands.rows]).reshape(len(i), bands.bands, bands.rows).all(2)
-                keep &= shared.argmax(1) == band[i]
-                for k in np.flatnonzero(keep)[np.argsort(-estimate[keep], kind="stable")].tolist():
+            for i, j, estimate in _cross_pairs(table, low != high, bands, percent):
+                for k in np.argsort(-estimate, kind="stable").tolist():
                     x, y = find(int(label[i[k]])), find(int(label[j[k]]))
                     if x != y and linked(_set(sets, i[k]), _set(sets, j[k]), percent):
                         root[y] = x
@@ -285,7 +312,8 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(links)
     labelled = met.select("rep", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("label"))
     rows, open_ = cross_blocks(members, labelled, block, block_bytes)
-    more = save(cross_links(dealt(rows, sketches, sets), bands, percent).distinct(), "dup-more")
+    crossing = save(in_cross_pairs(dealt(rows, sketches), bands, percent), "dup-crossing")
+    more = save(cross_links(dealt(crossing, sketches, sets), bands, percent).distinct(), "dup-more")
     edges = label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
     same = same_ids(seen, nodes)
     whole = components(edges if same is None else edges.union(same))
@@ -298,7 +326,7 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = split_join(seen.select("id", "n", "digest"), of_class, "digest", "rows", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     result = save(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept")), "dup-result")
-    drop_saved(seen, nodes, shared, members, met, ids, sets, first, links, label, open_, more, whole, placed, of_class, *([] if same is None else [same]))
+    drop_saved(seen, nodes, shared, members, met, ids, sets, first, links, label, open_, crossing, more, whole, placed, of_class, *([] if same is None else [same]))
     return result
 
 
