@@ -5,6 +5,7 @@ merged in Spark's own expressions, and the model is asked again only where parts
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from glyphlake.functions import values
-from glyphlake.operators.packing import estimate, map_groups, sample
+from glyphlake.operators.packing import estimate, map_groups, sample, weigh
 from glyphlake.settings import STRUCTURED_RETRIES, Attribute, Settings, text_budget_tokens
 
 #: (prompt, names and types of the fields, options) -> values by field name, or None
@@ -29,35 +30,41 @@ def answer_schema(fields: Sequence[Attribute]) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.ArrayType(T.StringType()) if f.type == "tags" else T.StringType(), True, {"description": f.description}) for f in fields])
 
 
-def language_note(field: Attribute) -> str:
-    if not field.language:
-        return ""
-    where = "the original language of the book text" if field.language == "book" else field.language
-    return f" Write all values in {where}."
+def asked_for(field: Attribute) -> str:
+    """One field as a request states it: name, what it is, the form of the value and its language."""
+    form = {"tags": "a list of short tags", "category": "one value"}.get(field.type, "a text")
+    language = {"": "", "book": ", in the language the book is written in"}.get(field.language, f", in {field.language}")
+    return f"{field.name} ({form}{language}): {field.description}"
 
 
 def prompt(text: str, fields: Sequence[Attribute]) -> str:
-    """Fixed wording: what is asked, a line a field, how to answer, the text."""
-    kind = lambda f: " (a comma-separated list of tags)" if f.type == "tags" else ""
-    asked = "\n".join(f"- {f.name}{kind(f)}: {f.description}{language_note(f)}" for f in fields)
-    return f"Read the book text below and extract its attributes.\n\n{asked}\n\nReturn only the structured data. If an attribute cannot be determined from the text, leave it null.\n\n--- BOOK TEXT ---\n{text}"
+    """A request for the fields of one part of a book; the text comes last."""
+    wanted = "".join(f"* {asked_for(f)}\n" for f in fields)
+    return f"You catalogue books. Work out these fields from the part of a book that follows:\n{wanted}Answer with the fields only; a field the text says nothing about is null.\n=== TEXT ===\n{text}"
+
+
+def ends_kept(count: int, most: int) -> list[int]:
+    """Places of at most `most` of so many values, the middle left out, the first ones rather than the last."""
+    return list(range(count)) if count <= most else [*range((most + 1) // 2), *range(count - most // 2, count)]
 
 
 def merge_prompt(pending: Sequence[tuple[Attribute, Sequence[str]]], most: int | None = None) -> str:
-    """Asks for one value a field out of ordered partial ones; while it has more than `most` estimated tokens, a middle
-    value of the longest list of more than two is left out."""
-    kept = [(f, list(v)) for f, v in pending]
-
-    def written() -> str:
-        lines = [f"- {f.name}: {f.description}{language_note(f)}\n" + "\n".join(f"  portion {i}: {v}" for i, v in enumerate(vs, 1)) for f, vs in kept]
-        return "Merge the partial values below, which come in order from portions of one book, into one final value for each field. Prefer the earliest value unless a later one clearly corrects it; write prose as one cohesive text.\n" + "\n".join(lines) + "\n\nReturn only the structured data."
-
-    while most is not None and estimate(written()) > most:
-        longest = max(kept, key=lambda x: len(x[1]))[1]
-        if len(longest) <= 2:
-            break
-        del longest[len(longest) // 2]
-    return written()
+    """A request for one value a field out of the ordered values of a book's parts. If it would have more than `most`
+    estimated tokens, the longest lists give up middle values, down to two; how many follows from what each line costs."""
+    head = "The parts of one book, in order, gave different values for these fields. Settle each on one value: what comes first holds unless something later corrects it, and a text should read as one.\n"
+    lines = [[f"* {asked_for(f)}\n", *(f"  part {i}: {v}\n" for i, v in enumerate(vs, 1))] for f, vs in pending]
+    tail = "Answer with the fields only."
+
+    def chosen(longest: int) -> list[str]:
+        return [x for field in lines for x in (field[0], *(field[1 + k] for k in ends_kept(len(field) - 1, longest)))]
+
+    longest = max((len(field) - 1 for field in lines), default=0)
+    if most is not None and longest > 2:
+        cost = {x: weigh(x) for field in lines for x in field}
+        room = most - weigh(head + tail)
+        fits = lambda n: int(sum(cost[x] for x in chosen(n)) + 0.5) <= room
+        longest = max(2, bisect_left(range(3, longest + 1), True, key=lambda n: not fits(n)) + 2)
+    return head + "".join(chosen(longest)) + tail
 
 
 def answer(model: Model, text: str, fields: Sequence[Attribute], options: dict[str, Any] | None = None, retries: int = STRUCTURED_RETRIES) -> dict[str, Any] | None:

@@ -1,6 +1,7 @@
 import pytest
 
 from glyphlake.operators import attributes as A
+from glyphlake.operators.packing import estimate
 from glyphlake.settings import Attribute, Settings
 
 FIELDS = (Attribute("gender", "ss_gender", "text", "g"), Attribute("tropes", "ss_tropes", "tags", "t"))
@@ -34,8 +35,8 @@ def test_sampled_and_errors(spark):
 
 def test_full_text_merges(spark):
     def model(prompt, fields, options):
-        if prompt.startswith("Merge"):
-            assert "portion 1: one" in prompt and "portion 2: two" in prompt
+        if "part 1: " in prompt:
+            assert "part 1: one" in prompt and "part 2: two" in prompt
             return {"gender": "merged"} if "keep" not in prompt else {"gender": None}
         return {"gender": "one" if "first" in prompt else "two", "tropes": ["Slow Burn", "x"] if "first" in prompt else ["slow burn", "y"]}
 
@@ -65,11 +66,19 @@ def test_retries():
 
 def test_prompts():
     p = A.prompt("TEXT", (Attribute("a", "l", "tags", "d", language="book"), Attribute("b", "l", "text", "e", language="French")))
-    assert "- a (a comma-separated list of tags): d Write all values in the original language of the book text." in p and "- b: e Write all values in French." in p and p.endswith("TEXT")
-    field = FIELDS[0]
-    full = A.merge_prompt([(field, [f"v{i} " * 50 for i in range(9)])])
-    cut = A.merge_prompt([(field, [f"v{i} " * 50 for i in range(9)])], 300)
-    assert len(cut) < len(full) and "v0" in cut and "v8" in cut
+    assert "* a (a list of short tags, in the language the book is written in): d\n" in p and "* b (a text, in French): e\n" in p and p.endswith("TEXT")
+    field, other = FIELDS
+    nine = [(field, [f"v{i} " * 50 for i in range(9)]), (other, ["w0", "w1", "w2"])]
+    full = A.merge_prompt(nine)
+    parts = lambda text: [line.split(":")[0].strip() for line in text.split("\n") if line.startswith("  part")]
+    assert parts(full) == [f"part {i}" for i in (*range(1, 10), 1, 2, 3)]
+    for most in (10, 200, 250, 300, 350, 10_000):
+        cut = A.merge_prompt(nine, most)
+        kept = [int(x.split()[1]) for x in parts(cut)]
+        longest = len(kept) - (3 if len(kept) > 4 else 2)
+        assert "v0" in cut and "v8" in cut and "w0" in cut and "w2" in cut and kept[: (longest + 1) // 2] == list(range(1, (longest + 1) // 2 + 1))
+        assert estimate(cut) <= most + 1 or longest == 2
+    assert A.merge_prompt(nine, 10_000) == full and A.merge_prompt([], 5) and "w1" not in A.merge_prompt(nine, 10)
 
 
 def test_answer_schema():
