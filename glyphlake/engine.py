@@ -2,8 +2,11 @@
 
 Every registry is a folder of its current version, chunks are a list of segments (rows added, rows dropped), partitioned by
 model. A manifest names them and is replaced in one rename, so a reader sees either all of a change or nothing, and an
-interrupted one leaves the old state. A change to chunks writes what it adds and which are dropped; the rest of
-the table isn't touched until `compact`. The store has one writer; operators on DataFrames (`operators`) do the work, and bulk work should use them directly."""
+interrupted one leaves the old state. What a change replaces is kept for a while (GRACE), so that tables and results
+handed out before it can still be read. A change to chunks writes what it adds and which are dropped; the rest of
+the table isn't touched until `compact`. A store of an older version shows empty tables until `finalize_schema` has
+brought it up. The store has one writer; operators on DataFrames (`operators`) do the work, and bulk work should use them
+directly."""
 
 from __future__ import annotations
 
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from glyphlake import schemas
 from glyphlake.functions import values, vectors
-from glyphlake.operators import packing, registry, search
+from glyphlake.operators import migrate, packing, registry, search
 from glyphlake.operators.migrate import FinalizeCancelled
 from glyphlake.settings import MAX_RESULTS, MIN_EXTRACTED_CHARS, PRIORITY_DEFAULT, PRIORITY_PER_BOOK, SCHEMA_VERSION, Settings
 from glyphlake.sources.codec import Codec, resolve
@@ -27,6 +30,10 @@ from glyphlake.sources.embedding import Embed, embedded
 #: Chunk segments that a store keeps before it joins them; what a segment of dropped chunks holds.
 SEGMENTS = 32
 DROPS = "book_id long, chunk_no int"
+#: Seconds for which replaced folders stay readable.
+GRACE = 3600.0
+#: How Parquet compresses the chunks of a store with this codec.
+COMPRESSION = {"zlib": "gzip", "zstd": "zstd"}
 
 
 class IndexerError(Exception):
@@ -38,12 +45,13 @@ class MissingDependencyError(Exception):
 
 
 class VectorStore:
-    def __init__(self, spark: SparkSession, path: str, backend: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, backend: str | None = None, grace: float = GRACE):
         if backend not in (None, "parquet", "sqlite", "auto"):
             raise MissingDependencyError(backend)
         self.spark, self.path = spark, path.rstrip("/")
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._buffer: list[tuple] = []
+        self.grace = grace
         if self._read("manifest.json") is None:
             self._publish({"version": SCHEMA_VERSION, "tables": {}})
 
@@ -70,7 +78,8 @@ class VectorStore:
         context.rename(context.makeQualified(new), context.makeQualified(self._at("manifest.json")), kinds)
 
     def table(self, name: str) -> DataFrame:
-        entry = self._read("manifest.json")["tables"].get(name)
+        manifest = self._read("manifest.json")
+        entry = manifest["tables"].get(name) if manifest["version"] == SCHEMA_VERSION else None
         if name == "chunks":
             return self._chunks(entry or [])
         kind = schemas.empty(self.spark, name)
@@ -89,17 +98,36 @@ class VectorStore:
                 out = out.join(gone.where("chunk_no is null").select("book_id"), "book_id", "left_anti").join(gone.where("chunk_no is not null"), ["book_id", "chunk_no"], "left_anti").select(kind.columns)
         return kind if out is None else out
 
-    def _write(self, name: str, df: DataFrame) -> str:
+    def _write(self, name: str, df: DataFrame, codec: Codec | None = None) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd")
+        if name == "chunks" and codec is None:
+            codec = resolve(self.stored_codec(), Codec("zstd"))[0]
+        writer = df.write.option("compression", COMPRESSION[codec.name] if codec else "zstd")
         (writer.partitionBy("model") if name == "chunks" else writer).parquet(f"{self.path}/{folder}")
         return folder
 
+    def _stage(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """df written once, to be read by several parts of a job, and the folder it is in."""
+        folder = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}"), folder
+
+    def _replace(self, manifest: dict, old: Iterable[str | None]) -> None:
+        """Publishes a manifest that no longer names these folders; those replaced longer ago than the grace go."""
+        now = time.time()
+        retired = [*manifest.get("retired", []), *([f, now] for f in old if f)]
+        manifest["retired"] = [x for x in retired if now - x[1] < self.grace]
+        self._publish(manifest)
+        for folder, at in retired:
+            if now - at >= self.grace:
+                self._fs.delete(self._at(folder), True)
+
     def publish(self, added: DataFrame | None = None, dropped: DataFrame | None = None, **tables: DataFrame) -> None:
         """New versions of these tables, chunks dropped (book_id, chunk_no; a null number means the whole book) and then
-        added, published together. Chunks are never rewritten for a change: it costs what it adds. Folders that are no
-        longer named go afterwards."""
+        added, published together. Chunks are never rewritten for a change: it costs what it adds."""
         manifest = self._read("manifest.json")
+        if manifest["version"] != SCHEMA_VERSION:
+            raise IndexerError("this store is of an older version: run finalize_schema first")
         segments = list(manifest["tables"].get("chunks") or [])
         old = []
         if dropped is not None and segments:
@@ -110,21 +138,24 @@ class VectorStore:
         for name, df in tables.items():
             old.append(manifest["tables"].get(name))
             manifest["tables"][name] = self._write(name, df.select(schemas.empty(self.spark, name).columns))
-        self._publish(manifest)
-        for folder in filter(None, old):
-            self._fs.delete(self._at(folder), True)
+        self._replace(manifest, old)
         if len(segments) > SEGMENTS:
             self.compact()
 
-    def compact(self) -> None:
-        """Writes the chunks that are left as one segment."""
+    def compact(self, codec: Codec | None = None) -> None:
+        """Writes the chunks that are left as one segment, or all of them with another codec, which is published with them: a
+        store is converted whole or not at all."""
         manifest = self._read("manifest.json")
         old = manifest["tables"].get("chunks") or []
-        if len(old) > 1:
-            manifest["tables"]["chunks"] = [["rows", self._write("chunks", self._chunks(old))]]
-            self._publish(manifest)
-            for _, folder in old:
-                self._fs.delete(self._at(folder), True)
+        if len(old) > 1 or old and codec:
+            manifest["tables"]["chunks"] = [["rows", self._write("chunks", self._chunks(old), codec)]]
+        elif not codec:
+            return
+        gone = [folder for _, folder in old]
+        if codec:
+            gone.append(manifest["tables"].get("meta"))
+            manifest["tables"]["meta"] = self._write("meta", registry.upsert(self.table("meta"), self._rows("meta", [("codec", codec.spec())]), schemas.KEYS["meta"]))
+        self._replace(manifest, gone)
 
     def _rows(self, name: str, rows: Iterable[tuple]) -> DataFrame:
         return self.spark.createDataFrame(list(rows), schemas.TABLES[name])
@@ -184,6 +215,16 @@ class VectorStore:
     def queued_indexing_book_ids(self) -> list[int]:
         return [r["book_id"] for r in registry.queue_order(self.table("queue_index")).collect()]
 
+    def next_indexing(self, most: int) -> list[int]:
+        return [r["book_id"] for r in registry.queue_order(self.table("queue_index")).limit(most).collect()]
+
+    def next_attrs(self, most: int) -> list[int]:
+        return [r["book_id"] for r in registry.queue_order(self.table("queue_attrs")).limit(most).collect()]
+
+    def dequeue_many(self, queue: str, ids: Iterable[int]) -> None:
+        """These books leave 'queue_index' or 'queue_attrs' in one change."""
+        self.publish(**{queue: registry.remove(self.table(queue), self._rows(queue, [(i, 0) for i in ids]))})
+
     def dequeue_indexing(self, book_id: int) -> None:
         self._drop("queue_index", book_id=book_id)
 
@@ -341,10 +382,34 @@ class VectorStore:
                     progress(stage)
                 except Exception:  # noqa: BLE001, S110  a report must not stop the work
                     pass
-            if stage == "schema":
-                self._publish(self._read("manifest.json") | {"version": SCHEMA_VERSION})
-            else:
-                self.set_meta("codec", codec.spec())
+            if stage == "codec":
+                self.compact(codec)
+                continue
+            for version in range(self._read("manifest.json")["version"] + 1, SCHEMA_VERSION + 1):
+                if cancel and cancel():
+                    raise FinalizeCancelled(f"version {version}")
+                self._migrate(version)
+
+    def _migrate(self, version: int) -> None:
+        """The tables of one version from those of the version before: written, read again, checked by content, and
+        published with the version in one manifest. A step that fails, or is broken off, leaves the old state."""
+        manifest = self._read("manifest.json")
+        folders = {n: [f for _, f in x] if isinstance(x, list) else [x] for n, x in manifest["tables"].items() if x}
+        old = {n: self.spark.read.parquet(*(f"{self.path}/{f}" for f in fs)) for n, fs in folders.items()}
+        new = migrate.STEPS[version](old)
+        written, tables = {}, {}
+        for name, df in new.items():
+            if df is old.get(name):
+                written[name], tables[name] = manifest["tables"][name], df
+                continue
+            folder = f"{name}-{uuid.uuid4().hex}"
+            (df.write.partitionBy("model") if name == "chunks" and version >= 2 else df.write).option("compression", "zstd").parquet(f"{self.path}/{folder}")
+            written[name] = [["rows", folder]] if name == "chunks" and version >= 2 else folder
+            tables[name] = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
+        if not migrate.CHECKS[version](old, tables):
+            raise IndexerError(f"the tables of version {version} don't hold what those before held")
+        kept = {f for x in written.values() for f in ([y for _, y in x] if isinstance(x, list) else [x])}
+        self._replace(manifest | {"version": version, "tables": written}, [f for fs in folders.values() for f in fs if f not in kept])
 
     # whole jobs
 
@@ -354,6 +419,7 @@ class VectorStore:
         them failed, and lose them if too little text was left."""
         from glyphlake.operators import pages as html
 
+        extracted, source = self._stage(extracted, "extracted")  # books are read and parsed once
         todo = extracted.withColumn("parts", F.when(F.col("extracted.kind") == "text", F.array("extracted.text")).otherwise(F.col("extracted.pages")))
         checked = packing.guard(todo.where("extracted.kind <> 'error'"), "book_id", "parts", MIN_EXTRACTED_CHARS)
         fit = todo.join(checked.where("action = 'index'").select("book_id"), "book_id", "left_semi")
@@ -364,27 +430,26 @@ class VectorStore:
         units = html.book_paragraphs(made, "book_id", "page_no")
         pages = packing.pack_units(units, "book_id", "paragraphs", target, overlap, cap)
         rows = packing.chunk_rows(texts.unionByName(pages), "book_id", settings.max_chunks_per_book)
-        folder = f"staged-{uuid.uuid4().hex}"
         model = values_model(settings.embed.model)
-        ready = stored(embedded(rows, embed, settings.embed).withColumn("model", F.lit(model)))
-        ready.write.parquet(f"{self.path}/{folder}")
-        staged = self.spark.read.parquet(f"{self.path}/{folder}")
+        staged, folder = self._stage(stored(embedded(rows, embed, settings.embed).withColumn("model", F.lit(model))), "staged")
         done = staged.groupBy("book_id").agg(F.count("*").cast("int").alias("n_chunks"))
         thin = checked.select("book_id").join(done, "book_id", "left_anti")
         unread = todo.where("extracted.kind = 'error'").select("book_id", F.col("extracted.error").alias("error"))
         failed = thin.withColumn("error", F.lit("too little text")).unionByName(unread).withColumn("kind", F.lit("index"))
         cleared = done.select("book_id").union(thin)
+        held = self.table("chunks").select("book_id").distinct().join(cleared, "book_id", "left_semi")  # only what there is is dropped
         info = values.file_info(F.col("size"), F.col("mtime"))
         books = done.join(extracted.select("book_id", "fmt"), "book_id").withColumn("indexed_at", F.lit(int(time.time()))).withColumn("model", F.lit(model))
         self.publish(
             added=staged,
-            dropped=cleared.withColumn("chunk_no", F.lit(None)),
+            dropped=None if held.isEmpty() else held.withColumn("chunk_no", F.lit(None)),
             books=registry.upsert(registry.remove(self.table("books"), cleared), books, ["book_id"]),
             failed=registry.upsert(self.table("failed").join(done.select("book_id", F.lit("index").alias("kind")), ["book_id", "kind"], "left_anti"), failed, ["book_id", "kind"]),
             file_info=registry.upsert(self.table("file_info"), extracted.select("book_id", "fmt", info.alias("i")).where("i is not null").select("book_id", "fmt", "i.*"), ["book_id"]),
             queue_index=registry.remove(self.table("queue_index"), extracted),
         )
-        self._fs.delete(self._at(folder), True)
+        for name in (folder, source):
+            self._fs.delete(self._at(name), True)
 
     def reconcile(self, library: DataFrame, current_model: str | None = None) -> DataFrame:
         """Compares (book_id, fmt, size, mtime) with the registries, applies what follows and returns the actions."""

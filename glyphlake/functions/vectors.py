@@ -63,6 +63,14 @@ def from_half_bytes(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype("<f4"))
 
 
+@F.pandas_udf(T.ArrayType(T.FloatType(), True))
+def from_single_bytes(blobs: pd.Series) -> pd.Series:
+    """Little-endian single-precision bytes as numbers."""
+    import numpy as np
+
+    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+
 def partition_target(dim: int) -> int:
     """Rows of a vector partition so that rows times width stays in 32 bits, with room for twice as many."""
     return max(1, (2**32 - 1) // max(1, dim) // 2)

@@ -37,14 +37,12 @@ def drain(store: VectorStore, index: Callable[[list[int]], None], extract: Calla
     """Works the queues off: all indexing before any extraction, the highest priority first. Queues are read anew before
     each batch, so a request that comes meanwhile is next; a paused store does nothing."""
     while not stop() and not store.paused:
-        if todo := store.queued_indexing_book_ids()[:batch]:
+        if todo := store.next_indexing(batch):
             index(todo)
-            for book in todo:
-                store.dequeue_indexing(book)
-        elif todo := store.queued_attrs_book_ids()[:batch]:
+            store.dequeue_many("queue_index", todo)
+        elif todo := store.next_attrs(batch):
             extract(todo)
-            for book in todo:
-                store.dequeue_attrs(book)
+            store.dequeue_many("queue_attrs", todo)
         else:
             return
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.engine import MissingDependencyError, VectorStore
+from glyphlake.engine import IndexerError, MissingDependencyError, VectorStore
 from glyphlake.operators import migrate
 from glyphlake.operators.migrate import FinalizeCancelled
 from glyphlake.settings import EmbedSettings, Settings
@@ -142,17 +142,105 @@ def test_attributes_and_requests(spark, store):
 
 
 def test_finalize(spark, store):
+    fill(store)
     codec = Codec("zlib")
     assert not store.needs_finalize and store.pending_stages(codec) == []
     store.set_meta("codec", Codec("zstd").spec())
+    before = sorted(map(str, store.table("chunks").collect()))
+    files = lambda: {f.rpartition(".")[0].rpartition(".")[2] for f in store.table("chunks").inputFiles()}
     with pytest.raises(FinalizeCancelled):
         store.finalize_schema(cancel=lambda: True, codec=codec)
+    assert files() == {"zstd"} and store.pending_stages(codec) == ["codec"]
     store.finalize_schema(progress=lambda s: 1 / 0, codec=codec)
+    assert files() == {"gz"} and sorted(map(str, store.table("chunks").collect())) == before
     assert store.pending_stages(codec) == [] and store.stored_codec() == codec.spec()
+    store.insert_chunk(901, {"chunk_no": 9, "text": "new"}, [1.0] * 8, "model")
+    store.commit()
+    assert files() == {"gz"} and store.count_book_chunks(901) == 4
     with pytest.raises(MissingDependencyError):
         VectorStore(spark, store.path, "something")
 
 
+def old_store(spark, path, version=0):
+    """A store as the oldest version left it, brought up to `version` step by step by hand."""
+    import json
+    import os
+    import struct
+
+    blob = lambda v: bytearray(struct.pack(f"<{len(v)}f", *v))
+    tables = {
+        "books": spark.createDataFrame([(1, "EPUB", 12.9, 2, "v/M:q", 3), (2, "PDF", 1.0, 1, "v/M:q", 3), (3, "LRF", 2.0, None, None, 3)], "id long, fmt string, indexed_at double, n_chunks int, model string, dim int"),
+        "dirty": spark.createDataFrame([(50, "EPUB", "new", 1.0), (50, "EPUB", "changed", 2.0), (51, "PDF", "new", 3.0)], "book_id long, fmt string, reason string, added_at double"),
+        "attrs_raw": spark.createDataFrame([(1, '{"pov": "first", "tropes": ["a", "b"]}', "pov,tropes", 1.0)], "book_id long, json string, fields string, updated_at double"),
+        "chunks": spark.createDataFrame([(1, 1, 0, "alpha", "Ch > S0", 0, 0, 0, "v/M:q", 3, blob([1.0, 0.0, 0.1])), (2, 1, 1, "beta", "", 1, 1, 7, "v/M:q", 3, blob([0.0, 1.0, 0.3])), (3, 2, 0, "gamma", "", 0, 0, 0, "v/M:q", 3, blob([float("nan"), 1.0, 0.0]))], "id long, book_id long, chunk_no long, text string, chapter_path string, para_start int, para_end int, char_offset int, model string, dim int, vector binary"),
+        "meta": spark.createDataFrame([("fileinfo:1", "EPUB|717102|1598092103.694143"), ("failed", '{"7": {"error": "boom"}}'), ("attr_failed", '{"1": {"error": "no answer"}}'), ("paused", "0")], "key string, value string"),
+    }
+    os.makedirs(path)
+    for v in range(1, version + 1):
+        tables = migrate.STEPS[v](tables)
+    named = {}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}-old")
+        named[name] = [["rows", f"{name}-old"]] if name == "chunks" and version >= 2 else f"{name}-old"
+    with open(f"{path}/manifest.json", "w") as out:
+        json.dump({"version": version, "tables": named}, out)
+    return VectorStore(spark, path)
+
+
+@pytest.mark.parametrize("version", [0, 1, 2, 3, 4])
+def test_older_stores_are_brought_up(spark, tmp_path, version):
+    store = old_store(spark, str(tmp_path / "old"), version)
+    assert store.needs_finalize and store.pending_stages() == ["schema"] and store.search([1.0, 0.0, 0.0]).isEmpty()
+    with pytest.raises(IndexerError):
+        store.enqueue_indexing(5)
+    steps = iter([False, False, True])
+    if version < 3:
+        with pytest.raises(FinalizeCancelled):
+            store.finalize_schema(cancel=lambda: next(steps))
+        assert store.needs_finalize
+    seen = []
+    store.finalize_schema(progress=seen.append)
+    assert seen == ["schema"] and not store.needs_finalize
+    again = VectorStore(spark, store.path)
+    top = again.search([1.0, 0.0, 0.1], 5).collect()
+    assert [(r["book_id"], r["chunk_no"], r["text"], r["fmt"], r["chapter_path"]) for r in top] == [(1, 0, "alpha", "EPUB", ["Ch", "S0"])] and top[0]["score"] > 0.99
+    assert {r["book_id"] for r in again.indexed_books().collect()} == {1, 3} and {r["model"] for r in again.table("chunks").collect()} == {"m"}
+    assert again.queued_indexing_book_ids() == [51, 50, 2]  # the book with a broken vector is read anew
+    assert again.get_file_info(1) == {"book_id": 1, "fmt": "EPUB", "size": 717102, "mtime_s": 1598092103}
+    assert [(e["book_id"], e["kind"], e["error"]) for e in again.failed_entries()] == [(1, "attr", "no answer"), (7, "index", "boom")]
+    assert again.get_attrs(1) == {"pov": ["first"], "tropes": ["a", "b"]} and again.meta_keys() == ["paused"] and not again.paused
+    again.enqueue_indexing(5, 100)
+    assert again.queued_indexing_book_ids()[0] == 5
+
+
+def test_a_step_that_loses_something_publishes_nothing(spark, tmp_path, monkeypatch):
+    store = old_store(spark, str(tmp_path / "old"), 1)
+    monkeypatch.setitem(migrate.STEPS, 2, lambda t: migrate.by_model_step(t) | {"chunks": migrate.by_model_step(t)["chunks"].where("chunk_no = 0")})
+    with pytest.raises(IndexerError):
+        store.finalize_schema()
+    monkeypatch.undo()
+    assert store.needs_finalize
+    store.finalize_schema()
+    assert store.count_book_chunks(1) == 2
+
+
+def test_readers_outlive_changes(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "s"))
+    fill(store)
+    books, top = store.table("books"), store.search([1.0] * 8, 3)
+    store.delete_chunk(901, 0)
+    store.clear_book(902)
+    store.compact()
+    assert books.count() == 3 and top.count() == 3 and store.table("books").count() == 2
+    short = VectorStore(spark, store.path, grace=0.0)
+    short.set_meta("a", "b")
+    short.set_meta("a", "c")
+    import os
+
+    named = short._read("manifest.json")
+    assert len([f for f in os.listdir(store.path) if os.path.isdir(f"{store.path}/{f}")]) == len(named["tables"]) and named["retired"] == []
+
+
 def test_migrations(spark):
     meta = spark.createDataFrame([("fileinfo:1", "EPUB|717102|1598092103.694143"), ("fileinfo:x", "a|1|1"), ("failed", '{"3": {"error": "boom"}}'), ("other", "v")], "key string, value string")
     tables = {
