@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphlake.settings import TOKENS_PER_CHAR
+from glyphlake.settings import CONTEXT_OVERHEAD_TOKENS, MIN_CHUNK_CHARS, MIN_TEXT_CHARS, PROMPT_OVERHEAD_TOKENS, TOKENS_PER_CHAR
 
 #: Ranges of code points by script tier; everything else counts as latin.
 SCRIPTS = {
@@ -53,6 +53,16 @@ def estimate_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(weighed(script_counts(c)) + F.lit(0.5)).cast("int"))
 
 
+def chunk_chars(context_tokens: Column, scale: float = 1.0) -> Column:
+    """`settings.max_chunk_chars` of a column."""
+    return F.greatest(F.lit(MIN_CHUNK_CHARS), ((context_tokens - CONTEXT_OVERHEAD_TOKENS) / F.lit(TOKENS_PER_CHAR["latin"] * scale)).cast("long"))
+
+
+def budget_chars(context_tokens: Column, scale: float = 1.0) -> Column:
+    """`settings.text_budget_chars` of a column."""
+    return F.greatest(F.lit(MIN_TEXT_CHARS), ((context_tokens - PROMPT_OVERHEAD_TOKENS) / F.lit(TOKENS_PER_CHAR["latin"] * scale)).cast("long"))
+
+
 def chapter_label(path: Column) -> Column:
     return F.array_join(path, " > ")
 

@@ -80,6 +80,12 @@ def partition_count(rows: int, dim: int) -> int:
     return max(1, -(-rows // partition_target(dim)))
 
 
+def partitions(rows: Column, dim: Column) -> Column:
+    """`partition_count` of columns."""
+    target = F.greatest(F.lit(1), F.floor(F.floor(F.lit(2**32 - 1) / F.greatest(F.lit(1), dim)) / 2))
+    return F.greatest(F.lit(1), F.ceil(rows / target)).cast("long")
+
+
 def needs_repair(target: int, dim: int) -> bool:
     """Whether an index built with this partition target overflows 32 bits."""
     return target * dim > 2**32 - 1

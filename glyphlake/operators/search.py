@@ -19,6 +19,8 @@ from glyphlake.functions import vectors
 
 #: Widths from which scores are worked out by matrix products over Arrow batches instead of JVM expressions.
 WIDE = 256
+#: Bytes of query vectors that a scan takes along.
+QUERY_BYTES = 64 << 20
 
 
 def unit(query: Sequence[float]) -> list[float]:
@@ -103,49 +105,67 @@ def search_book(chunks: DataFrame, query: Sequence[float], book_id, min_score: f
     return rows.where(F.col("score") >= min_score).orderBy(F.desc("score"), F.asc("chunk_no"))
 
 
-def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 20, min_score: float = 0.0, block: int = 512) -> DataFrame:
-    """(query_id, book_id, chunk_no, score) for every query (query_id, vector): the query set goes to the workers in
-    blocks, every chunk batch is one matrix product, and each task keeps a book's best chunk before the shuffle."""
-    found = None
-    held = [(r["query_id"], unit(r["vector"])) for r in queries.select("query_id", "vector").toLocalIterator()]
-    for start in range(0, len(held), block):
-        part = _block_scores(chunks, held[start : start + block], queries.schema["query_id"].dataType.simpleString())
+def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 20, min_score: float = 0.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, book_id, chunk_no, score) for every query (query_id, vector): the query set goes to the workers, chunks are
+    scanned once, each batch is a matrix product for a block of queries, and a book's best chunk of the batch is chosen
+    before anything leaves the task. Query sets of more than query_bytes take a further scan for each so many."""
+    found, held, size = None, [], 0
+    kind = queries.schema["query_id"].dataType.simpleString()
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        held.append((r["query_id"], unit(r["vector"])))
+        size += 8 * len(held[-1][1])
+        if size >= query_bytes:
+            part = _scan(chunks, held, kind)
+            found, held, size = part if found is None else found.union(part), [], 0
+    if held or found is None:
+        part = _scan(chunks, held, kind)
         found = part if found is None else found.union(part)
-    if found is None:
-        return chunks.sparkSession.createDataFrame([], "query_id long, book_id long, chunk_no long, score double")
     best = best_per_book(found, ("query_id",)).where(F.col("score") >= min_score)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("book_id")))
     return best.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def _block_scores(chunks: DataFrame, held: list, id_type: str) -> DataFrame:
+def _scan(chunks: DataFrame, held: list, id_type: str, block: int = 256, rows_at_once: int = 4096) -> DataFrame:
     by_width: dict[int, list] = {}
     for key, q in held:
         by_width.setdefault(len(q), []).append((key, q))
     rows = chunks.select("book_id", "chunk_no", "vector")
     kinds = [f.dataType.simpleString() for f in rows.schema][:2]
+    halves = isinstance(rows.schema["vector"].dataType, T.BinaryType)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrices = {w: ([k for k, _ in qs], np.asarray([q for _, q in qs], np.float64)) for w, qs in by_width.items()}
-        for batch in batches:
-            widths = pa.compute.list_value_length(batch.column(2)).fill_null(-1).to_numpy(zero_copy_only=False)
-            for w, (keys, matrix) in matrices.items():
-                part = batch.filter(pa.array(widths == w))
-                if not part.num_rows:
-                    continue
-                v = np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, w)
-                s = v @ matrix.T
-                books, numbers = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                order = np.lexsort((numbers, books))
-                first = np.flatnonzero(np.append(True, books[order][1:] != books[order][:-1]))
-                ends = np.append(first[1:], len(order))
-                for q, key in enumerate(keys):
-                    best = [order[a + int(s[order[a:b], q].argmax())] for a, b in zip(first, ends, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(best)), part.column(0).take(pa.array(best)), part.column(1).take(pa.array(best)), pa.array(s[best, q])], names=["query_id", "book_id", "chunk_no", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(start, rows_at_once)
+                count = pa.compute.binary_length if halves else pa.compute.list_value_length
+                widths = count(batch.column(2)).fill_null(-1).to_numpy(zero_copy_only=False) // (2 if halves else 1)
+                for w, (keys, matrix) in matrices.items():
+                    part = batch.filter(pa.array(widths == w))
+                    if part.num_rows:
+                        v = _matrix(part.column(2), w, halves).astype(np.float64) if halves else np.asarray(part.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, w)
+                        yield from _best_of_batch(part, v, keys, matrix, block)
 
     return rows.mapInArrow(made, f"query_id {id_type}, book_id {kinds[0]}, chunk_no {kinds[1]}, score double")
 
 
+def _best_of_batch(part: pa.RecordBatch, v: np.ndarray, keys: list, matrix: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """The best chunk of each book in the batch for each query; of equal scores the first chunk."""
+    books, numbers = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((numbers, books))
+    first = np.flatnonzero(np.append(True, books[order][1:] != books[order][:-1]))
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    for at in range(0, len(keys), block):
+        scores = v[order] @ matrix[at : at + block].T
+        top = np.maximum.reduceat(scores, first, axis=0)
+        place = np.where(scores == top[run], np.arange(len(order))[:, None], len(order))
+        best = order[np.minimum.reduceat(place, first, axis=0)]
+        own = keys[at : at + block]
+        taken = pa.array(best.T.ravel())
+        ids = pa.array(np.repeat(np.arange(len(own)), len(first)))
+        yield pa.RecordBatch.from_arrays([pa.array(own).take(ids), part.column(0).take(taken), part.column(1).take(taken), pa.array(top.T.ravel())], names=["query_id", "book_id", "chunk_no", "score"])
+
+
 def planes(width: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
     return np.random.RandomState(seed).standard_normal((tables * bits, width)).astype(np.float32)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text, values, vectors
-from glyphlake.operators import packing, pages, registry, search
+from glyphlake.operators import attributes, packing, pages, registry, search
 from glyphlake.settings import MIN_EXTRACTED_CHARS, max_chunk_chars, text_budget_chars
 
 QUERIES: dict = {}
@@ -85,13 +85,11 @@ def cosine_scores(spark, sf_dir):
     return rounded(search.scored(chunk_vectors(spark, sf_dir), query_vector(spark, sf_dir), exact_cosine=True).drop("vector"))
 
 
-@query("""WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0),
-s AS (SELECT label AS book_id, vec_id AS chunk_no, list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), q) / sqrt(list_dot_product(q, q)) AS score FROM embeddings, q WHERE NOT (label = 3 AND vec_id % 7 = 0))
-SELECT label AS book_id, count(*) FILTER (WHERE NOT (label = 3 AND vec_id % 7 = 0)) AS n_chunks FROM embeddings GROUP BY label""")
+@query("SELECT label AS book_id, count(*) FILTER (WHERE NOT (label = 3 AND vec_id % 7 = 0)) AS n_chunks FROM embeddings GROUP BY label")
 def delete_chunk_recount(spark, sf_dir):
     chunks = chunk_vectors(spark, sf_dir)
     books = chunks.groupBy("book_id").agg(F.count("*").cast("int").alias("n_chunks"))
-    rest = chunks.where("not (book_id = 3 and chunk_no % 7 = 0)")
+    rest = search.delete_chunk(chunks, 3, F.col("chunk_no") - F.col("chunk_no") % 7)
     return registry.recount(books, rest).withColumn("n_chunks", F.col("n_chunks").cast("long"))
 
 
@@ -108,17 +106,18 @@ def l2_normalize(spark, sf_dir):
     return unit.select("vec_id", F.round(F.col("u")[0].cast("double"), 5).alias("first_x"), F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 4).alias("sum_x"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, unnest(embedding)::FLOAT AS x FROM embeddings), m AS (SELECT vec_id, x, CASE WHEN x = 0 THEN 1 ELSE pow(2, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10) END AS unit FROM v),
+h AS (SELECT vec_id, x, (round_even(x::DOUBLE / unit, 0) * unit)::FLOAT AS half FROM m)
+SELECT vec_id, max(abs(x - half)::DOUBLE / greatest(abs(x)::DOUBLE, 0.001)) AS largest_error FROM h GROUP BY vec_id""")
 def f16_roundtrip(spark, sf_dir):
     halves = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vectors.half_precision("embedding").alias("half"))
     return halves.select("vec_id", F.array_max(F.zip_with("embedding", "half", lambda a, b: F.abs(a - b) / F.greatest(F.abs(a), F.lit(1e-3)))).cast("double").alias("largest_error"))
 
 
-@query("SELECT label AS book_id, count(*) AS n_rows, greatest(1, ceil(count(*)::DOUBLE / (4294967295 // len(any_value(embedding)) // 2))::BIGINT) AS parts FROM embeddings GROUP BY label")
+@query("SELECT label AS book_id, count(*) AS n_rows, greatest(1, ceil(count(*) * 1000000::DOUBLE / (4294967295 // len(any_value(embedding)) // 2))::BIGINT) AS parts FROM embeddings GROUP BY label")
 def partition_maths(spark, sf_dir):
     rows = chunk_vectors(spark, sf_dir).groupBy("book_id").agg(F.count("*").alias("n_rows"), F.first(F.size("vector")).alias("dim"))
-    target = F.greatest(F.lit(1), F.floor(F.floor(F.lit(2**32 - 1) / F.col("dim")) / 2))
-    return rows.select("book_id", "n_rows", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / target)).cast("long").alias("parts"))
+    return rows.select("book_id", "n_rows", vectors.partitions(F.col("n_rows") * 1_000_000, F.col("dim")).alias("parts"))
 
 
 def _far(name: str) -> str:
@@ -139,6 +138,18 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
+#: Characters of every tier, and beside their ranges: (tokens for each in hundredths, text).
+SAMPLES = ((70, "\u3000\u30ff\u4e2d\u9fff\uac00\uff21\U00020000"), (60, "\u0600\u06ff\u0750\ufb50\ufefe"), (40, "\u0370\u0436\u052f\u0531\u05d0\u0905\u0e01\u10a0"), (20, "a\u036f\u0700\u1100\u2028\u33ff\ua000\U0001f600"))
+
+
+@query("SELECT doc_id, greatest(1, floor((length(text) * 20" + "".join(f" + (doc_id % {k + 3}) * {n * len(s)}" for k, (n, s) in enumerate(SAMPLES)) + ") / 100.0::DOUBLE + 0.5::DOUBLE))::BIGINT AS tokens FROM documents")
+def token_estimate_scripts(spark, sf_dir):
+    """Texts with characters of all scripts behind them, as often as the id says."""
+    rows = table(spark, sf_dir, "documents")
+    mixed = F.concat("text", *[F.repeat(F.lit(s), (F.col("doc_id") % (k + 3)).cast("int")) for k, (_, s) in enumerate(SAMPLES)])
+    return rows.select("doc_id", text.estimate_tokens(mixed).cast("long").alias("tokens"))
+
+
 @query("SELECT doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS chars, CASE WHEN chars < 1000 THEN 'fail' ELSE 'index' END AS action FROM documents")
 def extraction_guard(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("p"))
@@ -173,6 +184,22 @@ def line_chunks(spark, sf_dir):
     return packed.where(F.size("chunks") > 0).select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.element_at("chunks", -1)["para_end"].cast("long").alias("last_paragraph"))
 
 
+OPENS = "s.n = 0 OR s.used + e.x > 1000"
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_transform({LINES}, lambda x: length(x) + 2) AS c FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(list_prepend(0, c), lambda x: {{'n': 0::BIGINT, 'used': 0::BIGINT, 'i': 0::BIGINT, 'off': 0::BIGINT, 'first': 0::BIGINT, 'at': 0::BIGINT, 'x': x::BIGINT}}),
+ lambda s, e: {{'n': CASE WHEN {OPENS} THEN s.n + 1 ELSE s.n END, 'used': CASE WHEN s.n = 0 THEN e.x WHEN {OPENS} THEN least(150, s.used - 2) + 2 + e.x ELSE s.used + e.x END, 'i': s.i + 1, 'off': s.off + e.x,
+  'first': CASE WHEN {OPENS} THEN s.i ELSE s.first END, 'at': CASE WHEN {OPENS} THEN s.off ELSE s.at END, 'x': e.x}}) AS r FROM p WHERE len(c) > 0)
+SELECT doc_id, r.n AS n_chunks, r.first AS first_line, r.at AS char_offset FROM f""")
+def line_chunks_overlap(spark, sf_dir):
+    """Chunks of lines that open with the end of the chunk before: how many, and where the last one's own lines begin."""
+    split = lambda t: [x for line in t.split("\n") if (x := line.strip())]
+    packed = packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", 1000, 150, split=split).where(F.size("chunks") > 0)
+    last = F.element_at("chunks", -1)
+    return packed.select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), last["para_start"].cast("long").alias("first_line"), last["char_offset"].cast("long").alias("char_offset"))
+
+
 @query()
 def chunk_pack(spark, sf_dir):
     packed = packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", 1000, 150, 6502)
@@ -211,7 +238,11 @@ def map_groups(spark, sf_dir):
     return rows.select("conv_id", "x.turn", "x.grp")
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, turn, text, greatest(1, floor(length(text) * 0.2::DOUBLE + 0.5::DOUBLE))::BIGINT AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+w AS (SELECT *, sum(t) OVER (PARTITION BY conv_id) AS total FROM c),
+p AS (SELECT * FROM w WHERE total <= 100 OR i % ((total + 99) // 100) = 0),
+k AS (SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY i) AS used FROM p)
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS sample FROM k WHERE total <= 100 OR i = 0 OR used <= 100 GROUP BY conv_id""")
 def sample_chunks(spark, sf_dir):
     """A conversation's turns sampled evenly within 100 estimated tokens."""
     ordered = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c"))
@@ -221,8 +252,7 @@ def sample_chunks(spark, sf_dir):
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS book FROM conversations GROUP BY conv_id")
 def book_text(spark, sf_dir):
-    ordered = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c"))
-    return ordered.select("conv_id", F.array_join("c.text", "\n\n").alias("book"))
+    return packing.joined_texts(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("text", "book")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 240 THEN '…' || right(replace(text, chr(10), ' '), 240) ELSE replace(text, chr(10), ' ') END AS snippet FROM documents")
@@ -269,17 +299,14 @@ def tag_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", values.tag_key(F.expr(RAW_TAG)).alias("key"))
 
 
-@query(f"""WITH t AS (SELECT p_size, p_partkey, trim({RAW_TAG}) AS t FROM part), k AS (SELECT p_size, p_partkey, t, {TAG_KEY} AS key FROM t),
-b AS (SELECT p_size, key, min(p_partkey) AS seen, arg_min(t, length(t) * 1000000000000 + p_partkey) AS tag FROM k GROUP BY p_size, key)
-SELECT p_size::BIGINT AS p_size, string_agg(tag, '|' ORDER BY seen) AS tags FROM b GROUP BY p_size""")
+@query(f"""WITH t AS (SELECT p_partkey // 25 AS list_no, p_partkey, trim({RAW_TAG}) AS t FROM part), k AS (SELECT list_no, p_partkey, t, {TAG_KEY} AS key FROM t),
+b AS (SELECT list_no, key, min(p_partkey) AS seen, arg_min(t, length(t) * 1000000000000 + p_partkey) AS tag FROM k GROUP BY list_no, key)
+SELECT list_no, string_agg(tag, '|' ORDER BY seen) AS tags FROM b GROUP BY list_no""")
 def normalize_tags(spark, sf_dir):
-    """Tags of all parts of a size, in the order of their keys."""
-    from pyspark.sql import Window as W
-
-    rows = table(spark, sf_dir, "part").select("p_size", "p_partkey", text.strip(F.expr(RAW_TAG)).alias("tag")).withColumn("key", values.tag_key(F.col("tag")))
-    best = rows.groupBy("p_size", "key").agg(F.min("p_partkey").alias("seen"), F.min_by("tag", F.struct(F.length("tag"), "p_partkey")).alias("tag"))
-    del W
-    return best.groupBy("p_size").agg(F.array_sort(F.collect_list(F.struct("seen", "tag"))).alias("t")).select(F.col("p_size").cast("long").alias("p_size"), F.array_join("t.tag", "|").alias("tags"))
+    """Lists of the tags of 25 parts in order, each tag in one spelling."""
+    rows = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 25).alias("list_no"), "p_partkey", F.expr(RAW_TAG).alias("tag"))
+    lists = rows.groupBy("list_no").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "tag"))).alias("t"))
+    return lists.select("list_no", F.array_join(values.normalize_tags(F.col("t.tag")), "|").alias("tags"))
 
 
 @query("""WITH w AS (SELECT p_partkey, [p_name, upper(p_name), p_type, lower(p_type), p_brand] AS v FROM part)
@@ -363,10 +390,11 @@ def pending_attributes(spark, sf_dir):
 
 
 @query(LIBRARY + """, p AS (SELECT b.book_id FROM books b LEFT JOIN attrs a USING (book_id) WHERE b.n_chunks > 0 AND (a.fields IS NULL OR a.fields <> ['a', 'b']))
-SELECT book_id, bool_or(f) AS forced FROM (SELECT book_id, false AS f FROM p UNION ALL SELECT book_id, true FROM queue_attrs) GROUP BY book_id""")
+SELECT book_id, forced, row_number() OVER (ORDER BY forced DESC, priority DESC NULLS LAST, book_id DESC) AS place FROM (SELECT book_id, bool_or(f) AS forced, max(priority) AS priority FROM (SELECT book_id, false AS f, NULL AS priority FROM p UNION ALL SELECT book_id, true, priority FROM queue_attrs) GROUP BY book_id)""")
 def attribute_phase(spark, sf_dir):
     t = library(spark, sf_dir)
-    return registry.attribute_order(registry.pending_attributes(t["books"], t["attrs"], ["a", "b"]), t["queue_attrs"]).select("book_id", "forced")
+    ordered = registry.attribute_order(registry.pending_attributes(t["books"], t["attrs"], ["a", "b"]), t["queue_attrs"]).select("book_id", "forced")
+    return ordered.sparkSession.createDataFrame([(r["book_id"], r["forced"], n) for n, r in enumerate(ordered.toLocalIterator(), 1)], "book_id long, forced boolean, place long")
 
 
 @query(LIBRARY + """SELECT book_id FROM library WHERE fmt IS NOT NULL AND NOT (book_id IN (SELECT book_id FROM books WHERE n_chunks > 0) AND book_id NOT IN (SELECT book_id FROM failed WHERE kind = 'index'))""")
@@ -436,14 +464,12 @@ def legacy_failures(spark, sf_dir):
     return rows.select(F.explode(values.legacy_failures(F.col("j"))).alias("f")).select("f.book_id", "f.error")
 
 
-@query("SELECT count(DISTINCT p_type) AS n_types, count(DISTINCT p_brand) AS n_brands FROM part")
-def dimension_counts(spark, sf_dir):
-    return table(spark, sf_dir, "part").agg(F.count_distinct("p_type").alias("n_types"), F.count_distinct("p_brand").alias("n_brands"))
-
-
-@query("SELECT lang, count(*) AS n_books, sum(n_chars)::BIGINT AS n_chars, max(n_chars) AS longest FROM documents GROUP BY lang")
-def language_totals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_books"), F.sum("n_chars").alias("n_chars"), F.max("n_chars").alias("longest"))
+@query(f"""WITH r AS (SELECT p_partkey, unnest([{RAW_TAG}, p_type, p_brand]) AS t FROM part), k AS (SELECT p_partkey, t, {TAG_KEY} AS key FROM r)
+SELECT key, arg_min(t, (length(t), t)) AS tag, count(DISTINCT p_partkey) AS n FROM k GROUP BY key""")
+def tag_totals(spark, sf_dir):
+    """How many books have each tag, over all spellings."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("book_id"), F.create_map(F.lit("t"), F.array(F.expr(RAW_TAG), "p_type", "p_brand")).alias("values"))
+    return attributes.tag_counts(rows, "t")
 
 
 @query("SELECT doc_id, quality::BIGINT AS quality, list_sort(['q' || quality, 't' || toxic]) = ['q1', 't0'] AS complete FROM labels")
@@ -452,13 +478,14 @@ def field_sets(spark, sf_dir):
     return rows.select("doc_id", "quality", registry.field_set(F.col("v")).eqNullSafe(F.array(F.lit("q1"), F.lit("t0"))).alias("complete"))
 
 
-@query("SELECT c_custkey, greatest(200, floor((128 + c_custkey - 64) / 0.25::DOUBLE))::BIGINT AS chunk_chars FROM customer WHERE c_custkey < 500")
+@query("SELECT c_custkey, greatest(200, trunc((c_custkey + 64) / 0.25::DOUBLE))::BIGINT AS chunk_chars, greatest(2000, trunc((c_custkey - 896) / 0.2::DOUBLE))::BIGINT AS text_chars FROM customer")
 def chunk_budgets(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 500")
-    return rows.select("c_custkey", F.greatest(F.lit(200), F.floor((F.col("c_custkey") + 64) / F.lit(0.20 * 1.25)).cast("long")).alias("chunk_chars"))
+    """Characters of a chunk and of a request for context sizes from 129 tokens on."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") + 128).alias("context"))
+    return rows.select("c_custkey", text.chunk_chars(F.col("context"), 1.25).alias("chunk_chars"), text.budget_chars(F.col("context")).alias("text_chars"))
 
 
-@query(f"SELECT {max_chunk_chars(8192, 1.25)}::BIGINT AS chunk_chars, {text_budget_chars(8192)}::BIGINT AS text_chars, count(*) AS n FROM documents WHERE length(text) > {text_budget_chars(8192)}")
+@query("SELECT 32512::BIGINT AS chunk_chars, 35840::BIGINT AS text_chars, count(*) AS n FROM documents WHERE length(text) > 35840")
 def long_books(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.length("text") > text_budget_chars(8192))
     return docs.agg(F.lit(max_chunk_chars(8192, 1.25)).cast("long").alias("chunk_chars"), F.lit(text_budget_chars(8192)).cast("long").alias("text_chars"), F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import unicodedata
@@ -36,7 +37,6 @@ def decode(data: bytes) -> str:
 def spine(data: bytes) -> list[str]:
     """The pages of an EPUB in the order of its spine."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
-        local = lambda e: e.tag.rpartition("}")[2]
         root = next(e.get("full-path") for e in ElementTree.fromstring(book.read("META-INF/container.xml")).iter() if local(e) == "rootfile")
         package = list(ElementTree.fromstring(book.read(root)).iter())
         files = {e.get("id"): e.get("href") for e in package if local(e) == "item"}
@@ -45,16 +45,63 @@ def spine(data: bytes) -> list[str]:
         return [decode(book.read(f"{base}/{p}" if base else p)) for p in paths]
 
 
+def local(element) -> str:
+    """An element's name without its namespace."""
+    return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+
+
+def fiction_book(data: bytes) -> list[str]:
+    """The bodies of an FB2 file, or the one in a zipped file, as pages of HTML: titles as headings by depth, paragraphs."""
+    if data[:2] == b"PK":
+        with zipfile.ZipFile(io.BytesIO(data)) as packed:
+            data = packed.read(next(n for n in packed.namelist() if n.lower().endswith(".fb2")))
+    pages = []
+    for body in (e for e in ElementTree.fromstring(data) if local(e) == "body"):
+        out, todo = [], [(body, 1)]
+        while todo:
+            node, depth = todo.pop()
+            name = local(node)
+            if name == "title":
+                title = " ".join(" ".join("".join(p.itertext()).split()) for p in node)
+                out.append(f"<h{min(depth, 6)}>{html.escape(title)}</h{min(depth, 6)}>")
+            elif name in ("p", "v", "subtitle", "text-author", "td", "th"):
+                out.append(f"<p>{html.escape(''.join(node.itertext()))}</p>")
+            else:
+                deeper = depth + (name == "section")
+                todo += [(child, deeper) for child in reversed(node)]
+        pages.append("".join(out))
+    return pages
+
+
+def word_document(data: bytes) -> list[str]:
+    """The text of a DOCX file as one page of HTML: heading styles as headings, other paragraphs as such."""
+    with zipfile.ZipFile(io.BytesIO(data)) as packed:
+        root = ElementTree.fromstring(packed.read("word/document.xml"))
+    out = []
+    for p in (e for e in root.iter() if local(e) == "p"):
+        style = next((v for e in p.iter() if local(e) == "pStyle" for k, v in e.attrib.items() if k.endswith("val")), "")
+        m = re.fullmatch(r"[Hh]eading ?([1-9])|([Tt]itle)", style)
+        level = 0 if not m else 1 if m[2] else min(6, int(m[1]))
+        parts = [(e.text or "") if local(e) == "t" else "\t" if local(e) == "tab" else "<br>" if local(e) in ("br", "cr") else None for e in p.iter()]
+        text = "".join(x if x == "<br>" else html.escape(x) for x in parts if x is not None)
+        out.append(f"<h{level}>{text}</h{level}>" if level else f"<p>{text}</p>")
+    return ["".join(out)]
+
+
+#: What the standard library can read; other formats need readers that are handed in.
+READERS = {"TXT": decode, "TEXT": decode, "HTML": lambda d: [decode(d)], "HTM": lambda d: [decode(d)], "XHTML": lambda d: [decode(d)], "EPUB": spine, "FB2": fiction_book, "FBZ": fiction_book, "DOCX": word_document}
+
+
 def extract(data: bytes, fmt: str, readers=None) -> dict:
     """kind 'text' or 'pages' with what was read, or 'error' with why not. Formats that need a library of their own are
     read by `readers` (format -> bytes -> text or list of pages)."""
     out = {"kind": "error", "pages": None, "text": None, "error": None}
     try:
         fmt = fmt.upper()
-        own = (readers or {}).get(fmt)
-        got = own(data) if own else decode(data) if fmt in ("TXT", "TEXT") else [decode(data)] if fmt in ("HTML", "HTM", "XHTML") else spine(data) if fmt == "EPUB" else None
-        if got is None:
+        own = (READERS | (readers or {})).get(fmt)
+        if own is None:
             raise ValueError(f"no reader for {fmt}")
+        got = own(data)
         return out | ({"kind": "text", "text": got} if isinstance(got, str) else {"kind": "pages", "pages": list(got)})
     except Exception as e:  # noqa: BLE001  a book that can't be read is a row that says so
         return out | {"error": f"{type(e).__name__}: {e}"}
@@ -73,8 +120,11 @@ def read_books(spark: SparkSession, path: str, readers=None) -> DataFrame:
     return rows.mapInArrow(made, T.StructType([*rows.schema.fields[:4], T.StructField("extracted", EXTRACTED)]))
 
 
-def library(files: DataFrame, id_col: str = "book_id", priority=FORMAT_PRIORITY) -> DataFrame:
-    """(book_id, fmt, size, mtime): of each book's files (book_id, fmt, size, mtime) the one in the preferred format."""
+def library(files: DataFrame, id_col: str = "book_id", priority=FORMAT_PRIORITY, readers=None) -> DataFrame:
+    """(book_id, fmt, size, mtime): of each book's files (book_id, fmt, size, mtime) the one in the preferred format. Formats
+    that can be read, here or by `readers`, come before those that can't, each part in the order of `priority`."""
+    known = {k.upper() for k in READERS | (readers or {})}
+    priority = tuple(sorted(dict.fromkeys([*(p.upper() for p in priority), *sorted(known)]), key=lambda p: p not in known))
     best = files.groupBy(id_col).agg(pick_format(F.array_sort(F.collect_list("fmt")), priority).alias("fmt"))
     return files.join(best, [id_col, "fmt"], "left_semi").groupBy(id_col, "fmt").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime")).unionByName(best.where("fmt is null").select(id_col, "fmt", F.lit(None).cast("long").alias("size"), F.lit(None).cast(dict(files.dtypes)["mtime"]).alias("mtime")))
 

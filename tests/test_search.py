@@ -106,3 +106,27 @@ def test_plan_scans_only_what_scores_need(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("book_id"), F.col("vec_id").alias("chunk_no"), F.col("embedding").alias("vector"))
     plan = search.search(rows, [1.0] * 64)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_many_queries_as_by_brute_force(spark):
+    r = np.random.RandomState(5)
+    rows = [(int(b), i, [float(x) for x in r.randint(-2, 3, w)]) for i, (b, w) in enumerate(zip(r.randint(0, 6, 300), r.choice((4, 4, 4, 6), 300), strict=True))]
+    # four ones in a query: its length is 2, scores are exact and ties are ties
+    asked = [(f"q{i}", r.permutation([*r.choice((-1.0, 1.0), 4), *[0.0] * (2 if i % 5 == 0 else 0)]).tolist()) for i in range(40)]
+    want = set()
+    for key, q in asked:
+        n = float(np.linalg.norm(q)) or 1.0
+        best = {}
+        for b, i, v in rows:
+            if len(v) == len(q):
+                s = sum(x * y / n for x, y in zip(v, q, strict=True))
+                if b not in best or (round(-s, 9), i) < best[b]:
+                    best[b] = (round(-s, 9), i)
+        ranked = sorted((s, b, i) for b, (s, i) in best.items() if -s >= -0.5)[:3]
+        want |= {(key, b, i, -s) for s, b, i in ranked}
+    chunks = spark.createDataFrame(rows, "book_id long, chunk_no long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id string, vector array<double>")
+    for size in (64 << 20, 200):
+        got = search.search_many(chunks, queries, 3, -0.5, size).collect()
+        assert {(x["query_id"], x["book_id"], round(x["score"], 9)) for x in got} == {(k, b, round(s, 9)) for k, b, _, s in want}
+    assert search.search_many(chunks, queries.limit(0)).count() == 0 and search.search_many(chunks.limit(0), queries).count() == 0

@@ -121,6 +121,40 @@ def test_library(spark):
     assert {(r["book_id"], r["fmt"], r["size"]) for r in readers.library(files).collect()} == {(1, "EPUB", 6), (2, "LRF", 7)}
 
 
+def test_library_prefers_what_can_be_read(spark):
+    files = spark.createDataFrame([(1, "MOBI", 5, 1), (1, "txt", 6, 2), (2, "AZW3", 7, 3), (2, "PDF", 7, 3), (3, "DOCX", 1, 1), (3, "FB2", 1, 1), (3, "MOBI", 1, 1)], "book_id long, fmt string, size long, mtime long")
+    assert {r["book_id"]: r["fmt"] for r in readers.library(files).collect()} == {1: "txt", 2: "AZW3", 3: "FB2"}
+    assert {r["book_id"]: r["fmt"] for r in readers.library(files, readers={"MOBI": bytes.decode}).collect()}[1] == "MOBI"
+
+
+def zipped(**files):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in files.items():
+            z.writestr(name.replace("__", "/").replace("_x", ".x").replace("_f", ".f"), data)
+    return out.getvalue()
+
+
+def test_fiction_books_and_word_documents():
+    from glyphlake.operators import pages
+
+    fb2 = """<?xml version="1.0" encoding="utf-8"?><FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"><description><title-info><book-title>x</book-title></title-info></description>
+<body><title><p>The</p><p>Book</p></title><section><title><p>One</p></title><p>a &lt; <emphasis>b</emphasis></p><section><title><p>Deep</p></title><poem><stanza><v>line</v></stanza></poem></section></section><section><p>end</p></section></body><body name="notes"><section><p>note</p></section></body></FictionBook>"""
+    want = [[("a < b", ["The Book", "One"]), ("line", ["The Book", "One", "Deep"]), ("end", ["The Book", "One", "Deep"])], [("note", [])]]
+    for data, fmt in ((fb2.encode(), "fb2"), (zipped(book_fb2=fb2), "FBZ")):
+        got = readers.extract(data, fmt)
+        assert got["kind"] == "pages" and [[(p["text"], p["path"]) for p in pages.paragraphs(x)] for x in got["pages"]] == want
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    doc = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>One &amp; </w:t></w:r><w:r><w:t>two</w:t><w:br/><w:t>three</w:t></w:r></w:p><w:p/></w:body></w:document>'
+    got = readers.extract(zipped(word__document_xml=doc), "docx")
+    assert got["pages"] == ["<h1>Top</h1><p>One &amp; two<br>three</p><p></p>"]
+    assert [(p["text"], p["path"]) for p in pages.paragraphs(got["pages"][0])] == [("One & twothree", ["Top"])]
+    assert readers.extract(b"junk", "docx")["kind"] == readers.extract(b"<a", "fb2")["kind"] == readers.extract(b"", "mobi")["kind"] == "error"
+
+
 def test_settings():
     assert S.from_json(S.to_json(S.Settings())) == S.Settings() == S.from_json("broken") == S.from_json(None)
     some = S.from_json(json.dumps({"target_chars": 5, "odd": 1, "vector_backend": "auto", "attributes": [{"name": "pov", "enabled": False}, {"name": "own"}, 3]}))
