@@ -34,6 +34,8 @@ PERCENT = 75
 FIRST, PARTNERS = 0.375, 2
 #: Nodes, and bytes of their sets, of a block of a large bucket.
 BLOCK, BLOCK_BYTES = 512, 32 << 20
+#: Blocks of a bucket's largest label are smaller by this factor: they go out once for each block of the other labels, mostly one.
+MAIN = 4
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,9 +93,9 @@ def cross_blocks(members: DataFrame, labelled: DataFrame, block: int, block_byte
     by_label = named.groupBy("bucket", "label").agg(F.count("*").alias("members"), F.sum(F.col("n") * 8).alias("bytes"))
     parts = lambda members, bytes_: F.ceil(F.greatest(members / block, bytes_ / block_bytes)).cast("int")
     total = by_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.max_by(F.struct("label", "members", "bytes"), "members").alias("most")).where("labels > 1")
-    cut = parts(F.col("members"), F.col("bytes")) > 1
+    cut = parts(F.col("members") * MAIN, F.col("bytes")) > 1
     others = F.when(cut, parts(F.col("members") - F.col("most.members"), F.col("bytes") - F.col("most.bytes"))).otherwise(1)
-    mains = F.when(cut, parts(F.col("most.members"), F.col("most.bytes"))).otherwise(0)
+    mains = F.when(cut, parts(F.col("most.members") * MAIN, F.col("most.bytes"))).otherwise(0)
     open_ = save(total.select("bucket", F.col("members").alias("weight"), F.col("most.label").alias("main"), others.alias("others"), mains.alias("mains")), "dup-open")
     rows = split_join(named, open_, "bucket", "weight")
     is_main = (F.col("label") == F.col("main")) & (F.col("mains") > 0)
