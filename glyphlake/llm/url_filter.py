@@ -41,8 +41,9 @@ def path_of(url: Column) -> Column:
 
 
 def rule_table(spark, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """Rules as a DataFrame (verdict, rule); a table of the same columns serves as well."""
-    return spark.createDataFrame(list(rules), "verdict string, rule string")
+    """Rules as a DataFrame (verdict, rule), from literals; a table of the same columns serves as well."""
+    rows = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules]).cast("array<struct<verdict:string,rule:string>>")
+    return spark.range(1).select(F.inline(rows))
 
 
 def shaped(rules: DataFrame, prefix_hex: int = PREFIX_HEX) -> DataFrame:
