@@ -334,7 +334,7 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row of each component, all columns: of the rows under the component's id the one with the least text. Rows
-    with an empty set or without an id are in no component and stay. Columns of `docs` may have any names."""
+    with an empty set or without an id are in no component and stay. Columns of `docs` may have any names, also one name twice."""
     key = unused("gone", docs, found)
     named = found.where(F.col(id_col).isNotNull())
     gone = named.where("not kept").select(F.col(id_col).alias(key)).distinct()
@@ -344,5 +344,7 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
         return out
     again = small(again, broadcast_bytes)
     several = out.join(again, out[id_col] == F.col(key), "left_semi")
-    least = several.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.col(text_col))).alias(key)).select(f"{key}.*")
+    placed = [f"c{i}" for i in range(len(docs.columns))]
+    apart = several.select(F.col(id_col), F.col(text_col), "*").toDF("id", "text", *placed)
+    least = apart.groupBy("id").agg(F.min_by(F.struct(*placed), F.struct("text")).alias("row")).select("row.*")
     return out.join(again, out[id_col] == F.col(key), "left_anti").union(least)
