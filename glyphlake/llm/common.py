@@ -83,6 +83,11 @@ def size_of(df: DataFrame) -> tuple[int, int]:
     return found[0], found[0] * 16 * len(df.columns) + sum(found[1:])
 
 
+def wide(df: DataFrame) -> bool:
+    """Whether a row can be of any length."""
+    return any(f.dataType.typeName() in ("string", "binary", "array") for f in df.schema)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The table, to be broadcast if it has at most `limit` bytes, which is worked out first; give it saved tables."""
     return F.broadcast(df) if size_of(df)[1] <= limit else df
@@ -96,10 +101,13 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str, how: st
     """rows joined to table, which has each key once and, in column `weight`, how many rows have it.
 
     Rows of a hot key, which one task would hold together, are joined by broadcast. A key is hot if it has more than one of
-    HOT_KEYS equal shares of `total` rows (and more than 64), so there are at most HOT_KEYS of them whatever the data; all
-    others are joined as Spark sees fit. The weight is left out of the result. `how` is inner, left_semi or left."""
+    HOT_KEYS equal shares of `total` rows (and more than 64), so there are at most HOT_KEYS of them whatever the data; where
+    what rides along is wide, fewer, so that they have at most BROADCAST_BYTES. All others are joined as Spark sees fit. The
+    weight is left out of the result. `how` is inner, left_semi or left. Give it saved tables."""
     total = table.agg(F.sum(weight)).first()[0] or 0 if total is None else total
     least = max(64, -(-total // HOT_KEYS))
+    while wide(table) and size_of(table.where(F.col(weight) > least).drop(weight))[1] > BROADCAST_BYTES:
+        least *= 2
     hot, rest = (table.where(F.col(weight) > least).drop(weight), table.where(F.col(weight) <= least).drop(weight))
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     if how == "left":  # a null key is equal to none; rows that have it must not meet in one task either

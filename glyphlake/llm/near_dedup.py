@@ -282,13 +282,30 @@ def same_ids(seen: DataFrame, nodes: DataFrame) -> DataFrame | None:
     if several.isEmpty():
         drop_saved(several)
         return None
-    of_id = split_join(rows, several, "id", "weight", "left_semi").distinct().join(nodes.select("rep", "digest"), "digest").select("id", "rep")
+    of_id = split_join(rows, several, "id", "weight", "left_semi").distinct()
+    of_id = split_join(of_id, nodes.select("rep", "digest", "rows"), "digest", "rows").select("id", "rep")
     least = of_id.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("weight"))
     pairs = save(split_join(of_id, least, "id", "weight").where("a <> rep").select("a", F.col("rep").alias("b")), "dup-same-pairs")
     drop_saved(several)
     return pairs
 
 
+def by_component(seen: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, n, component_id) of every row of `seen`, by the links `edges` (a, b) between classes and by ids that several
+    classes share; and the saved tables it reads."""
+    same = same_ids(seen, nodes)
+    whole = components(edges if same is None else edges.union(same))
+    reached = whole.select(F.col("id").alias("rep"), "component").union(whole.select(F.col("component").alias("rep"), "component").distinct())
+    placed = save(reached.join(nodes.select("rep", "id", "digest", "rows"), "rep"), "dup-placed")
+    least = save(placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("weight")), "dup-least")
+    named = split_join(placed.select("component", "digest", "rows"), least, "component", "weight").select("digest", "rows", "component_id")
+    alone = nodes.join(placed.select("rep"), "rep", "left_anti").select("digest", "rows", F.col("id").alias("component_id"))
+    of_class = save(named.unionByName(alone), "dup-classes")
+    out = split_join(seen.select("id", "n", "digest"), of_class, "digest", "rows", "left")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select("id", "n", own.alias("component_id")), [whole, placed, least, of_class, *([] if same is None else [same])]
+
+
 def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -317,18 +334,9 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossing = save(in_cross_pairs(dealt(rows, sketches), bands, percent), "dup-crossing")
     more = save(cross_links(dealt(crossing, sketches, sets), bands, percent).distinct(), "dup-more")
     edges = label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-    same = same_ids(seen, nodes)
-    whole = components(edges if same is None else edges.union(same))
-    reached = whole.select(F.col("id").alias("rep"), "component").union(whole.select(F.col("component").alias("rep"), "component").distinct())
-    placed = save(reached.join(nodes.select("rep", "id", "digest", "rows"), "rep"), "dup-placed")
-    least = placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("weight"))
-    named = split_join(placed.select("component", "digest", "rows"), least, "component", "weight").select("digest", "rows", "component_id")
-    alone = nodes.join(placed.select("rep"), "rep", "left_anti").select("digest", "rows", F.col("id").alias("component_id"))
-    of_class = save(named.unionByName(alone), "dup-classes")
-    out = split_join(seen.select("id", "n", "digest"), of_class, "digest", "rows", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    result = save(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept")), "dup-result")
-    drop_saved(seen, nodes, shared, members, met, ids, sets, first, links, label, open_, crossing, more, whole, placed, of_class, *([] if same is None else [same]))
+    out, left = by_component(seen, nodes, edges)
+    result = save(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept")), "dup-result")
+    drop_saved(seen, nodes, shared, members, met, ids, sets, first, links, label, open_, crossing, more, *left)
     return result
 
 

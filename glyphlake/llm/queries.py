@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm import bpe, decontaminate, filter_audit, fingerprints, html_extract, near_dedup, pii, secret_scan, token_counts, toxicity, url_filter, vector_codes
+from glyphlake.llm import bpe, decontaminate, filter_audit, fingerprints, html_extract, jaccard_join, near_dedup, pii, secret_scan, token_counts, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
 
@@ -62,7 +66,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_byte_bpe, op4_fingerprints, op5_html_text, op6_pii, op7_near_dedup, op8_toxicity, op9_decontamination, op10_url_filter, op12_vector_codes, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_byte_bpe, op4_fingerprints, op5_html_text, op6_pii, op7_near_dedup, op8_toxicity, op9_decontamination, op10_url_filter, op11_jaccard_join, op12_vector_codes, op13_filter_audit)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SHINGLES = """list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -89,13 +93,16 @@ m AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, l
  FROM (SELECT DISTINCT host, path FROM v) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM v LEFT JOIN m USING (host, path)"""
 
-DUPLICATES_SQL = f"""WITH RECURSIVE s AS {shingle_rows('documents', 'doc_id')},
+#: Documents that reach each other over links, for a least similarity in per cent.
+REACHED_SQL = f"""WITH RECURSIVE s AS {shingle_rows('documents', 'doc_id')},
 n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 75 * (p.n_shingles + q.n_shingles - common)),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= %d * (p.n_shingles + q.n_shingles - common)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
-SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id{{}} FROM m LEFT JOIN n USING (doc_id)"""
+DUPLICATES_SQL = (REACHED_SQL % 75).format(", doc_id = component_id AS kept")
+JOIN_SQL = (REACHED_SQL % 80).format("")
 
 
 
@@ -132,4 +139,4 @@ g AS (SELECT part, filter_order, step, bit, sum(kept)::BIGINT AS kept, sum(n * g
  sum(bad * gone)::BIGINT AS toxic_lost FROM c GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM g"""
 
-ORACLES = {"op7_near_dedup": DUPLICATES_SQL, "op9_decontamination": LEAKS_SQL, "op10_url_filter": URL_SQL, "op12_vector_codes": codes_sql(), "op13_filter_audit": AUDIT_SQL}
+ORACLES = {"op7_near_dedup": DUPLICATES_SQL, "op9_decontamination": LEAKS_SQL, "op10_url_filter": URL_SQL, "op11_jaccard_join": JOIN_SQL, "op12_vector_codes": codes_sql(), "op13_filter_audit": AUDIT_SQL}
