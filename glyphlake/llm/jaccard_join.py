@@ -6,16 +6,19 @@
 2. Signatures travel packed, some megabytes a row, to the task of their range of values, and only those that several nodes
    share come back as rows. A task hands on one node for a signature that many of its own nodes have; the others
    are known to share it already. So no task gathers more of a signature than one node from each batch of texts.
-3. Each node is first compared with the node it shares most signatures with, among the least of each signature: bitmaps,
-   then full sets. This gives components.
-4. Buckets of a signature that still hold several components are searched whole, in pairs of blocks of bounded size: bitmaps
-   in the task, then full sets of what they leave; of the links found only those that join components leave the task. So
-   no link between components is lost, and no group gives out all its pairs."""
+3. Signatures that at most SMALL nodes share give pairs, each once however many signatures it shares, which bitmaps thin and
+   full sets confirm. Those that more nodes share are buckets: in some of them each node puts forward the node whose bitmap is
+   nearest, and these pairs are confirmed as well. The links give components.
+4. Buckets that still hold several components are searched whole: up to CROWD nodes by their pairs of different
+   components, each once however many buckets it is in; larger ones in pairs of blocks of bounded size. Of the pairs that bitmaps allow
+   there, those of a block with few are confirmed as pairs; of a block with many the nodes go out with their full sets, and
+   only links that join components leave the task. So no link between components is lost, and no group gives out all its
+   pairs."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,21 @@ from glyphlake.llm import partenum
 from glyphlake.llm import setsketch as sk
 from glyphlake.llm.common import BROADCAST_BYTES, drop_saved, freeing, id_and_text, save, sliced, split_join
 from glyphlake.llm.components import components
-from glyphlake.llm.near_dedup import BLOCK, BLOCK_BYTES, SLICE_BYTES, _buckets, _set, by_component, cross_blocks, dealt, digest, full_sets, linked
+from glyphlake.llm.near_dedup import BLOCK, BLOCK_BYTES, SLICE_BYTES, _buckets, _set, by_component, cross_blocks, dealt, digest, first_blocks, full_sets, linked
 
 PERCENT = 80
 #: Bits of a bitmap, at least and at most; between them two to four a feature.
 FEWEST_BITS, MOST_BITS = 256, 1 << 16
 #: Signatures that a task packs at once; bits of a signature beside those that say where it goes.
-BATCH, SHORT = 1 << 21, 40
+BATCH, SHORT = 1 << 21, 32
+#: Nodes that may share a signature so that it gives pairs, at most (SMALL - 1) / 2 for each node.
+SMALL = 8
+#: Nodes of a bucket that is searched by its pairs, at most; pairs that a task holds to tell which it has put out already.
+CROWD, HELD = 64, 1 << 20
+#: The first look at buckets takes one of so many.
+FIRST = 8
+#: Pairs that a block may put forward for each of its nodes.
+PAIRS = 2
 #: Bytes of bitmaps compared at once.
 COMPARED = 16 << 20
 
@@ -43,7 +54,7 @@ def bitmap(features: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(bitmaps: list[bytes]) -> np.ndarray:
+def folded(bitmaps: Sequence[bytes]) -> np.ndarray:
     """Bitmaps as rows of 64-bit words, all as short as the shortest: halves of a longer one are laid over each other."""
     width = min(map(len, bitmaps), default=0)
     out = np.empty((len(bitmaps), width), np.uint8)
@@ -56,9 +67,9 @@ def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
-def may_link(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m features that differ in at least `apart` can be similar enough."""
-    return apart * (100 + percent) <= (n + m) * (100 - percent)
+def may_link(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with so many features together that differ in at least `apart` can be similar enough."""
+    return apart * (100 + percent) <= sizes * (100 - percent)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,7 +98,7 @@ PACKED = "place long, whole boolean, signatures binary, nodes binary, counts bin
 
 
 def _short(signatures: np.ndarray) -> np.ndarray:
-    """The last SHORT bits, in five bytes each."""
+    """The last SHORT bits, in as few bytes as they take."""
     return np.ascontiguousarray(signatures.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SHORT // 8])
 
 
@@ -105,10 +116,9 @@ def _packed(found: list[tuple[int, np.ndarray]], places: int) -> Iterator[tuple]
     kept[order[new]] = True
     is_several = np.zeros(len(order), bool)
     is_several[order] = several[group]
-    rest = order[~new]  # known to share theirs: these go out whole, with the node that stands for them
+    rest = order[~new]  # known to share theirs: these go out as they are
     if len(rest):
-        heads = order[new][group[~new]]
-        yield int(signatures[rest[0]] >> np.uint64(SHORT)), True, signatures[rest].tobytes(), keys[owner[rest]].tobytes(), keys[owner[heads]].tobytes(), b""
+        yield int(signatures[rest[0]] >> np.uint64(SHORT)), True, signatures[rest].tobytes(), keys[owner[rest]].tobytes(), b"", b""
     at = (signatures[kept] >> np.uint64(SHORT)).astype(np.int64)
     by_place = np.argsort(at, kind="stable")
     at, own, short, flags = at[by_place], owner[kept][by_place], _short(signatures[kept])[by_place], is_several[kept][by_place]
@@ -147,32 +157,38 @@ def packed_signatures(docs: DataFrame, id_col: str, text_col: str, percent: int,
     return rows.mapInArrow(freeing(made), PACKED)
 
 
-def _shared(low: np.ndarray, key: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, key, the least key with it) of all that share a signature with another."""
+def _shared(low: np.ndarray, key: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, keys) of those that many nodes share, and (keys, keys) of pairs for the others."""
     order = np.lexsort((key, low))
     low, key, several = low[order], key[order], several[order]
-    fresh = np.append(True, (low[1:] != low[:-1]) | (key[1:] != key[:-1]))
-    starts = np.flatnonzero(fresh)
+    starts = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (key[1:] != key[:-1])))
     several = np.logical_or.reduceat(several, starts)
     low, key = low[starts], key[starts]
-    new = np.append(True, low[1:] != low[:-1])
-    group = np.cumsum(new) - 1
-    shared = (np.bincount(group) > 1)[group] | several
-    return low[shared], key[shared], key[new][group][shared]
-
-
-def meetings(packed: DataFrame, places: int) -> DataFrame:
-    """(bucket, key, head): the nodes of every signature that several share, each with the least of those it meets first."""
+    first = np.append(True, low[1:] != low[:-1])
+    group = np.cumsum(first) - 1
+    members = np.bincount(group)
+    crowd = (members > SMALL) | (np.bincount(group, weights=several) > 0)
+    in_crowd = crowd[group]
+    low, crowded, key, group = low[in_crowd], key[in_crowd], key[~in_crowd], group[~in_crowd]
+    pairs = [np.flatnonzero(group[d:] == group[:-d]) for d in range(1, min(SMALL, len(group)))]
+    one, other = (np.concatenate([key[p + k * d] for d, p in enumerate(pairs, 1)]) if pairs else key[:0] for k in (0, 1))
+    return low, crowded, one, other
+
+
+def meetings(packed: DataFrame) -> DataFrame:
+    """(bucket, key, other): the nodes of every signature that many share; and, without a bucket, pairs of nodes that share a
+    signature with few others, once for each."""
     tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def rows(bucket: np.ndarray, key: np.ndarray, head: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(bucket), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)].astype(np.int64)) for x in (bucket, key, head)], names=["bucket", "key", "head"])
+    def rows(*columns: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        n = next(len(x) for x in columns if x is not None)
+        for a in range(0, n, 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.nulls(min(n - a, 1 << 16), pa.int64()) if x is None else pa.array(x[a : a + (1 << 16)].astype(np.int64)) for x in columns], names=["bucket", "key", "other"])
 
     def merged(place: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        low, key, several = (np.concatenate(x) for x in zip(*held, strict=True))
-        low, key, head = _shared(low, key, several)
-        yield from rows((np.uint64(place) << np.uint64(SHORT)) | low, key, head)
+        low, key, one, other = _shared(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield from rows((np.uint64(place) << np.uint64(SHORT)) | low, key, None)
+        yield from rows(None, one, other)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -182,7 +198,7 @@ def meetings(packed: DataFrame, places: int) -> DataFrame:
                 signatures, nodes, counts = (memoryview(x.as_buffer()) for x in (signatures, nodes, counts))
                 nodes = np.frombuffer(nodes, np.int64)
                 if whole.as_py():
-                    yield from rows(np.frombuffer(signatures, np.uint64), nodes, np.frombuffer(counts, np.int64))
+                    yield from rows(np.frombuffer(signatures, np.uint64), nodes, None)
                     continue
                 if held and place.as_py() != at:
                     yield from merged(at, held)
@@ -196,29 +212,48 @@ def meetings(packed: DataFrame, places: int) -> DataFrame:
         if held:
             yield from merged(at, held)
 
-    return packed.repartition(tasks, "place").sortWithinPartitions("place").mapInArrow(freeing(made), "bucket long, key long, head long")
+    return packed.repartition(tasks, "place").sortWithinPartitions("place").mapInArrow(freeing(made), "bucket long, key long, other long")
 
 
-def likeliest(members: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b): each node and the head that it shares most signatures with, if their bitmaps allow a link; and a saved table."""
-    counts = members.where("key <> head").groupBy("key", "head").agg(F.count("*").alias("common"))
-    best = counts.groupBy("key").agg(F.max_by("head", F.struct("common", "head")).alias("head"))
+def allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs of keys whose bitmaps allow a link."""
     known = nodes.select("key", "rep", "n", "bits")
-    own = best.join(known, "key").select("head", F.col("rep").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
-    own = save(own, "join-best")
-    heads = own.groupBy("head").agg(F.count("*").alias("weight"))
-    table = save(heads.join(known.withColumnRenamed("key", "head"), "head").select("head", "weight", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "join-heads")
+    own = pairs.join(known.toDF("key", "a", "n", "x"), "key").join(known.toDF("other", "b", "m", "y"), "other").where("a <> b").select("a", "b", "n", "m", "x", "y")
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            apart = np.array([int(differ(*folded([p, q]))) for p, q in zip(x, y, strict=True)], np.int64)
-            keep = may_link(apart, batch.column("n").to_numpy(), batch.column("m").to_numpy(), percent)
+            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            apart = np.array([int(differ(*folded(p))) for p in pairs], np.int64)
+            keep = may_link(apart, batch.column("n").to_numpy() + batch.column("m").to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = save(split_join(own, table, "head", "weight").where("a <> b").select("a", "b", "n", "m", "x", "y").mapInArrow(freeing(tested), "a long, b long"), "join-pairs")
-    drop_saved(own, table)
-    return found
+    return own.mapInArrow(freeing(tested), "a long, b long")
+
+
+def _blocks(words: np.ndarray) -> Iterator[slice]:
+    """Rows of a matrix of bitmaps that are compared with all rows at once."""
+    step = max(1, COMPARED // max(1, words.nbytes))
+    for start in range(0, len(words), step):
+        yield slice(start, start + step)
+
+
+def nearest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from dealt-out buckets: each node and the one nearest to it by bitmaps, if they allow a link."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _buckets(batches):
+            rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+            if len(rep) < 2:
+                continue
+            words = folded(table.column("bits").to_pylist())
+            for some in _blocks(words):
+                apart, sizes = differ(words[some, None], words[None]), n[some, None] + n[None]
+                far = np.where(may_link(apart, sizes, percent) & (rep[some, None] != rep[None]), apart / sizes, np.inf)
+                best = far.argmin(1)
+                ok = np.isfinite(far[np.arange(len(far)), best])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[some][ok]), pa.array(rep[best[ok]])], names=["a", "b"])
+
+    return rows.mapInArrow(freeing(made), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -243,33 +278,72 @@ def _cross_pairs(table: pa.Table, crosswise: bool, percent: int) -> Iterator[tup
     if len(label) < 2 or (label == label[0]).all():
         return
     words = folded(table.column("bits").to_pylist())
-    step = max(1, COMPARED // max(1, words.nbytes))
-    for start in range(0, len(words), step):
-        some, rest = slice(start, start + step), slice(start, None)
+    for some in _blocks(words):
+        rest = slice(some.start, None)
         ok = label[some, None] != label[None, rest]
         if crosswise:
             ok &= own[some, None] != own[None, rest]
-        ok &= may_link(differ(words[some, None], words[None, rest]), n[some, None], n[None, rest], percent)
+        ok &= may_link(differ(words[some, None], words[None, rest]), n[some, None] + n[None, rest], percent)
         i, j = np.nonzero(ok)
         keep = j > i
-        yield i[keep] + start, j[keep] + start
+        yield i[keep] + some.start, j[keep] + some.start
+
+
+def apart_pairs(groups: DataFrame) -> DataFrame:
+    """(key, other) for nodes of different labels in groups (keys, labels) of at most CROWD, mostly once for each task."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = np.unique(np.concatenate(held), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["key", "other"])
+
+        for batch in batches:
+            key, label = (batch.column(k).flatten().to_numpy() for k in (0, 1))
+            group = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy())
+            for d in range(1, min(CROWD, len(key))):
+                at = np.flatnonzero((group[d:] == group[:-d]) & (label[d:] != label[:-d]))
+                held.append(np.sort(np.stack([key[at], key[at + d]], 1), 1))
+            if sum(map(len, held)) >= HELD:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) >= HELD // 2:
+                    yield from out()
+                    held = []
+        if held:
+            yield from out()
+
+    return groups.mapInArrow(freeing(made), "key long, other long")
 
 
-CROSS = "bucket long, low int, high int, own int, rep long, label long, n long, bits binary"
+CROSS = "bucket long, low int, high int, own int, rep long, label long, n long, bits binary, other long"
 
 
 def in_cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """The dealt-out rows that are in a pair which bitmaps allow: what has to be looked at with full sets. At most as many
-    rows come out as go in, however many pairs there are."""
+    """What has to be looked at with full sets: pairs (rep, other) that bitmaps allow, where a block has few of them, and the
+    dealt-out rows of those that are in one, where it has many; there `other` is null. At most PAIRS times as many rows come
+    out as go in, however many pairs there are."""
     names = [x.split()[0] for x in CROSS.split(", ")]
+    schema = pa.schema([(n, pa.binary() if n == "bits" else pa.int32() if n in ("low", "high", "own") else pa.int64()) for n in names])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, low, high), table in _buckets(batches):
-            taken = np.zeros(table.num_rows, bool)
+            taken, pairs, few = np.zeros(table.num_rows, bool), [], PAIRS * table.num_rows
             for i, j in _cross_pairs(table, low != high, percent):
                 taken[i] = taken[j] = True
-            if taken.any():
-                yield from table.select(names).filter(pa.array(taken)).combine_chunks().to_batches()
+                few -= len(i)
+                if few >= 0:
+                    pairs.append((i, j))
+            if few >= 0 and pairs:
+                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                many = np.bincount(np.concatenate([i, j]), minlength=table.num_rows)
+                i, j = np.where(many[i] > many[j], j, i), np.where(many[i] > many[j], i, j)
+                rep = table.column("rep").to_numpy()
+                given = {"rep": pa.array(rep[i]), "other": pa.array(rep[j])}
+                yield pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(len(i), f.type)) for f in schema], schema=schema)
+            elif taken.any():
+                out = table.select(names[:-1]).filter(pa.array(taken)).append_column("other", pa.nulls(int(taken.sum()), pa.int64())).combine_chunks()
+                yield from out.cast(schema).to_batches()
 
     return rows.mapInArrow(freeing(made), CROSS)
 
@@ -313,27 +387,38 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = seen.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("key").alias("key"), F.first("bits").alias("bits"), F.count("*").alias("rows"))
     nodes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "join-nodes")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = min(24, 2 + math.ceil(math.log2(max(tasks, 1))))
-    members = save(meetings(packed_signatures(docs, id_col, text_col, percent, places), places), "join-members")
-    pairs = likeliest(members, nodes, percent)
-    met = nodes.join(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "rep", "left_semi")
-    rows, ids = full_sets(docs, met.select("rep", "id", "digest"), id_col, text_col, broadcast_bytes)
+    places = min(24, 1 + math.ceil(math.log2(max(tasks, 1))))
+    met = save(meetings(packed_signatures(docs, id_col, text_col, percent, places)), "join-members")
+    members = met.where("bucket is not null").select("bucket", "key")
+    few = met.where("bucket is null").select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other")).distinct()
+    sketches, band = nodes.select("rep", "n", "bits"), F.lit(0).cast("short").alias("band")
+    some = save(members.where(F.pmod(F.xxhash64("bucket"), F.lit(FIRST)) == 0).join(nodes.select("key", "rep"), "key").select("bucket", band, "rep"), "join-some")
+    shared = save(some.groupBy("bucket").agg(F.count("*").alias("members")), "join-shared")
+    near = nearest_pairs(dealt(first_blocks(some, shared, block), sketches), percent)
+    pairs = save(allowed(few, nodes, percent).union(near).distinct(), "join-pairs")
+    reps = nodes.join(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "rep", "left_semi")
+    rows, ids = full_sets(docs, reps.select("rep", "id", "digest"), id_col, text_col, broadcast_bytes)
     sets = save(rows, "join-full")
     rows, left = confirmed(pairs, sets, percent)
     links = save(rows, "join-links")
     label = components(links)
     labelled = save(nodes.select("rep", "key", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "key", "n", F.coalesce("component", "rep").alias("label")), "join-labels")
-    named = members.select("bucket", "key").join(labelled.select("key", "rep", "label"), "key")
+    named = members.join(labelled.select("key", "rep", "label"), "key")
     still = save(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high").select("bucket", "members"), "join-still")
-    apart = save(split_join(named, still, "bucket", "members").select("bucket", F.lit(0).cast("short").alias("band"), "rep").distinct(), "join-apart")
+    groups = named.join(still.where(F.col("members") <= CROWD), "bucket", "left_semi").groupBy("bucket").agg(F.collect_list("key").alias("keys"), F.collect_list("label").alias("labels"))
+    across = allowed(apart_pairs(groups.select("keys", "labels")).distinct(), nodes, percent)
+    apart = save(split_join(named, still.where(F.col("members") > CROWD), "bucket", "members").select("bucket", band, "rep").distinct(), "join-apart")
     rows, open_ = cross_blocks(apart, labelled, block, block_bytes)
-    crossing = save(in_cross_pairs(dealt(rows, nodes.select("rep", "n", "bits")), percent), "join-crossing")
-    more_nodes = nodes.join(crossing.select("rep").distinct(), "rep", "left_semi")
-    rows, more_ids = full_sets(docs, more_nodes.select("rep", "id", "digest"), id_col, text_col, broadcast_bytes)
+    crossing = save(in_cross_pairs(dealt(rows, sketches), percent), "join-crossing")
+    crowds = crossing.where("other is null").drop("other")
+    chosen = save(crossing.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")).union(across).distinct(), "join-chosen")
+    wanted = crowds.select("rep").union(chosen.select("a")).union(chosen.select("b")).distinct()
+    rows, more_ids = full_sets(docs, nodes.join(wanted, "rep", "left_semi").select("rep", "id", "digest"), id_col, text_col, broadcast_bytes)
     more_sets = save(rows, "join-full")
-    more = save(cross_links(dealt(crossing, more_sets), percent).distinct(), "join-more")
+    rows, more_left = confirmed(chosen, more_sets, percent)
+    more = save(rows.union(cross_links(dealt(crowds, more_sets), percent)).distinct(), "join-more")
     edges = label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
     out, last = by_component(seen, nodes, edges)
     result = save(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "join-result")
-    drop_saved(seen, nodes, members, pairs, ids, sets, links, label, labelled, still, apart, open_, crossing, more_ids, more_sets, more, *left, *last)
+    drop_saved(seen, nodes, met, some, shared, pairs, ids, sets, links, label, labelled, still, apart, open_, crossing, chosen, more_ids, more_sets, more, *left, *more_left, *last)
     return result
