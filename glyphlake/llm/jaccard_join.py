@@ -29,7 +29,7 @@ from glyphlake.llm import partenum
 from glyphlake.llm import setsketch as sk
 from glyphlake.llm.common import BROADCAST_BYTES, drop_saved, freeing, id_and_text, save, sliced, split_join
 from glyphlake.llm.components import components
-from glyphlake.llm.near_dedup import BLOCK, BLOCK_BYTES, SLICE_BYTES, _buckets, _set, by_component, cross_blocks, dealt, digest, first_blocks, full_sets, linked
+from glyphlake.llm.near_dedup import BLOCK_BYTES, SLICE_BYTES, _buckets, _set, by_component, cross_blocks, dealt, digest, first_blocks, full_sets, linked
 
 PERCENT = 80
 #: Bits of a bitmap, at least and at most; between them two to four a feature.
@@ -44,6 +44,8 @@ CROWD, HELD = 64, 1 << 20
 FIRST = 8
 #: Pairs that a block may put forward for each of its nodes.
 PAIRS = 2
+#: Nodes of a block of a large bucket: bitmaps are light, and large blocks send each node out less often.
+BLOCK = 4096
 #: Bytes of bitmaps compared at once.
 COMPARED = 16 << 20
 

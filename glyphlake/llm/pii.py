@@ -16,6 +16,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Known instances that a pattern must have, its least share, rounds of scoring at most, patterns held by a worker at once.
-MIN_SEEDS, CONFIDENCE, ROUNDS, BLOCK = 3, 0.6, 5, 200_000
+#: Known instances that a pattern must have, its least share, patterns held by a worker at once.
+MIN_SEEDS, CONFIDENCE, BLOCK = 3, 0.6, 200_000
+#: Rounds end when no score grows by more than this, all scores together.
+STILL = 1e-6
 #: An instance found by a pattern is worth this much of the pattern's share.
 DECAY = 0.9
 TOKEN = re.compile(WORD)
@@ -281,23 +284,25 @@ def word_pairs(rows: DataFrame, marks: np.ndarray, flush: int = 50_000) -> DataF
     return rows.mapInArrow(freeing(count), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("total"))
 
 
-def bootstrap(edges: DataFrame, patterns: DataFrame, instances: DataFrame, min_seeds: int, confidence: float, rounds: int) -> DataFrame:
+def bootstrap(edges: DataFrame, patterns: DataFrame, instances: DataFrame, min_seeds: int, confidence: float, rounds: int | None) -> DataFrame:
     """(pattern, score) of the patterns that are accepted in the last round.
 
     edges: (pattern, instance, n); patterns: (pattern, total, weight); instances: (instance, seed, weight), where weights
-    count edges. Rounds end when the accepted patterns and known instances stay the same."""
+    count edges. Rounds end when accepted patterns, known instances and scores stay the same: what is known only grows from
+    round to round, so scores only rise, and what one pattern hands on to the next is less by DECAY each time."""
     known, before_ = instances.where("seed").select("instance", F.lit(1.0).alias("worth"), "weight"), None
     accepted, held = None, []
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         support = split_join(edges, known, "instance", "weight").groupBy("pattern").agg(F.sum(F.col("n") * F.col("worth")).alias("hits"), F.count("*").alias("known"))
         scored = support.where(F.col("known") >= min_seeds).join(patterns, "pattern").withColumn("score", F.least(F.lit(1.0), F.col("hits") / F.col("total")))
         accepted = save(scored.where(F.col("score") >= confidence).select("pattern", "score", "weight"), "pii-accepted")
         found = split_join(edges, accepted, "pattern", "weight").groupBy("instance").agg((F.max("score") * DECAY).alias("found"))
         known = instances.join(found, "instance", "left").where("seed or found is not null").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("worth"), "weight")
         known = save(known, "pii-known")
-        held += [accepted, known]
-        now = (accepted.count(), known.count())
-        if not now[0] or now == before_:
+        drop_saved(*held)
+        held = [accepted, known]
+        now = (*accepted.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first(), known.count())
+        if not now[0] or before_ and now[0] == before_[0] and now[2] == before_[2] and now[1] - before_[1] <= STILL:
             break
         before_ = now
     result = save(accepted.select("pattern", "score"), "pii-patterns")
@@ -321,17 +326,18 @@ def _firsts(patterns: Iterable[str]) -> frozenset[bytes]:
     return frozenset(p.strip("\t").split(" ")[0].encode() for p in patterns)
 
 
-def learn_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def learn_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
     """(pattern, score) of the accepted patterns over all texts; a pattern is two words with a tab where the instance
-    stands. Empty tables and tables without entities give no pattern."""
+    stands. Rounds go on until nothing changes, unless `rounds` says how many. Empty tables and tables without entities give
+    no pattern."""
     rows = id_and_text(docs, id_col, text_col)
     whole = save(graph(rows), "pii-graph")
     stats = save(whole.groupBy("pattern").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_seeds), "pii-candidates")
-    count = stats.count() if not whole.where("seed").isEmpty() else 0
-    if not count:
+    candidates = stats.count() if not whole.where("seed").isEmpty() else 0
+    if not candidates:
         drop_saved(whole, stats)
         return docs.sparkSession.createDataFrame([], "pattern string, score double")
-    totals = word_pairs(rows, pattern_filter(stats, count))
+    totals = word_pairs(rows, pattern_filter(stats, candidates))
     patterns = save(stats.withColumn("pair", F.translate("pattern", "\t", "")).join(totals, "pair").select("pattern", "total", "weight"), "pii-totals")
     edges = save(split_join(whole, stats, "pattern", "weight"), "pii-edges")
     instances = save(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.count("*").alias("weight")), "pii-instances")

@@ -11,7 +11,9 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,11 +35,9 @@ BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
 #: How base64 of DER sequences and of OpenSSH keys, hex of DER sequences and base64 of JSON objects begin.
 KEY_START, HEX_START, TOKEN_START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA"), re.compile(r"30[0-9A-Fa-f]{2}"), re.compile(r"e[wy]")
-#: Lines of base64 without armour; beginnings that are tried in one run after it failed as a whole, and a token's segments.
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M[A-I]|b3BlbnNz)(?:[A-Za-z0-9+/]{48,100}\r?\n[ \t]*+){1,400}[A-Za-z0-9+/]{1,100}={0,2}")
-TRIES = 32
-#: Characters that are decoded to learn a key's length.
-PEEK = 4096
+#: Lines of base64 without armour, of any width and number; and what parts them.
+LINE_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/]++)++={0,2}")
+LINE_END = re.compile(r"\r?\n[ \t]*")
 DEK_INFO = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),((?:[0-9A-F]{16}){1,2})\b")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:(?!-----)[^\x00])*+)-----END \1PRIVATE KEY-----")
 OPENSSH = b"openssh-key-v1\0"
@@ -132,40 +132,93 @@ def is_encrypted_pem(head: str, body: bytes | None) -> bool:
     return bool(m) and "ENCRYPTED" in head and body is not None and len(body) >= 48 and len(body) % (len(m[2]) // 2) == 0
 
 
-def key_length(data: bytes) -> int | None:
-    """How many bytes a key takes that begins here, by its own lengths; None if nothing says so."""
-    if data.startswith(OPENSSH):
-        at, parts = len(OPENSSH), 0
-        while parts < 6:
-            if at + 4 > len(data):
-                return None
-            at += 4 + (0 if parts == 3 else int.from_bytes(data[at : at + 4], "big"))
-            parts += 1
-        return at
-    if len(data) < 4 or data[0] != 0x30:
+def der_length(data: bytes) -> int | None:
+    """How many bytes a DER sequence takes that begins here, from its first six; None if nothing says so."""
+    if len(data) < 6 or data[0] != 0x30:
         return None
     count = data[1] & 0x7F
-    return 2 + data[1] if data[1] < 0x80 else 2 + count + int.from_bytes(data[2 : 2 + count], "big") if 1 <= count <= 4 else None
+    if data[1] < 0x80:
+        return 2 + data[1]
+    return 2 + count + int.from_bytes(data[2 : 2 + count], "big") if 1 <= count <= 4 and data[2] else None
+
+
+def adds_up(read: Callable[[int, int], bytes], size: int) -> bool:
+    """Whether the lengths of a sequence's fields, read where they stand, come to its own, as a key's do: from a version or an
+    algorithm on, and of few fields."""
+    first = read(1, 1)[0]
+    at, fields = 2 if first < 0x80 else 2 + (first & 0x7F), 0
+    while at < size and fields < 10:
+        head = read(at, 6)
+        if len(head) < 2 or not fields and not (head[0] == 0x02 and head[1] == 1 or head[0] == 0x30):
+            return False
+        count = head[1] & 0x7F
+        if head[1] >= 0x80 and not (1 <= count <= 4 and len(head) >= 2 + count):
+            return False
+        at += 2 + (head[1] if head[1] < 0x80 else count + int.from_bytes(head[2 : 2 + count], "big"))
+        fields += 1
+    return at == size
 
 
-def key_ranges(text: str, start: int, end: int, hexed: bool) -> Iterator[tuple[int, int]]:
-    """Places of keys in a run that is none as a whole: from each of its first TRIES beginnings as far as the key says."""
-    at, tries = start, 0
-    while tries < TRIES and (m := (HEX_START if hexed else KEY_START).search(text, at, end)) is not None:
-        at, tries = m.start() + 1, tries + 1
-        size = key_length((bytes.fromhex if hexed else from_base64_start)(text[m.start() : _whole(m.start(), min(end, m.start() + PEEK), 2 if hexed else 4)]))
-        if size is None:
-            continue
-        stop = m.start() + (2 * size if hexed else -(-4 * size // 3))
-        if stop <= end and is_key(bytes.fromhex(text[m.start() : stop]) if hexed else from_base64(text[m.start() : stop])):
-            while not hexed and stop < min(len(text), m.start() + 4 * -(-size // 3)) and text[stop] == "=":
-                stop += 1
-            yield m.start(), stop
-            at = stop
+def openssh_length(read: Callable[[int, int], bytes]) -> int | None:
+    """The same for an OpenSSH key, each part's length read where it stands."""
+    at = len(OPENSSH)
+    for part in range(6):
+        size = read(at, 4)
+        if len(size) < 4:
+            return None
+        at += 4 + (0 if part == 3 else int.from_bytes(size, "big"))
+    return at
 
 
-def _whole(start: int, end: int, step: int) -> int:
-    return end - (end - start) % step
+def key_ranges(text: str, start: int, end: int, hexed: bool) -> Iterator[tuple[int, int]]:
+    """Places of keys in a run that is none as a whole: from any beginning as far as the key's own lengths say. A beginning
+    is looked at in a few characters; all of it is decoded only where its length fits into the run and those of its fields
+    add up to it."""
+    m = (HEX_START if hexed else KEY_START).search(text, start, end)
+    while m is not None:
+        at, stop, size = m.start(), m.start() + 1, None
+        read = lambda a, n, at=at: bytes.fromhex(text[at + 2 * a : min(at + 2 * (a + n), end - (end - at) % 2)]) if hexed else _decoded(text, at, end, a, n)
+        if hexed or m[0].startswith("M"):
+            size = der_length(read(0, 6))
+            fits = size is not None and at + (2 * size if hexed else -(-4 * size // 3)) <= end and adds_up(read, size)
+        else:
+            size = openssh_length(read)
+            fits = size is not None and at - (-4 * size // 3) <= end
+        if fits:
+            high = at + (2 * size if hexed else -(-4 * size // 3))
+            if is_key(bytes.fromhex(text[at:high]) if hexed else from_base64(text[at:high])):
+                stop = high
+                while not hexed and stop < min(len(text), at + 4 * -(-size // 3)) and text[stop] == "=":
+                    stop += 1
+                yield at, stop
+        m = m.re.search(text, stop, end)
+
+
+def _decoded(text: str, start: int, end: int, at: int, n: int) -> bytes:
+    """Bytes at:at + n of base64 that begins at start, decoded by themselves."""
+    a, b = start + at // 3 * 4, min(end, start + -(-(at + n) // 3) * 4)
+    return from_base64_start(text[a : b - (b - a) % 4])[at % 3 : at % 3 + n]
+
+
+def wrapped_ranges(text: str) -> Iterator[tuple[int, int]]:
+    """Places of keys over several lines: the lines of a run are joined, keys are looked for in what that gives, and their
+    ends are counted back. The last line may be of the text behind."""
+    for m in LINE_RUN.finditer(text) if "\n" in text else ():
+        joined, kept, at = [], [], m.start()
+        for gap in [*LINE_END.finditer(text, m.start(), m.end()), None]:
+            line = text[at : gap.start() if gap else m.end()].rstrip("=")
+            kept.append((sum(map(len, joined[-1:])) + (kept[-1][0] if kept else 0), at))
+            joined.append(line)
+            at = gap.end() if gap else at
+        whole = "".join(joined)
+        starts = [k for k, _ in kept]
+        place = lambda k: (lambda i: kept[i][1] + k - kept[i][0])(bisect_right(starts, k) - 1)  # noqa: B023, E731
+        for a, b in key_ranges(whole, 0, len(whole), False):
+            low, high = place(a), place(b - 1) + 1
+            if "\n" in text[low:high]:
+                while high < len(text) and text[high] == "=" and (len("".join(text[low:high].split())) % 4):
+                    high += 1
+                yield low, high
 
 
 def from_base64_start(text: str) -> bytes:
@@ -188,7 +241,7 @@ def is_signed_token(text: str) -> bool:
 
 def token_ranges(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Places of signed tokens in a dotted run: each three segments in order, the first from its beginning or, if that
-    fails, from one of its first TRIES places where a JSON object may begin."""
+    fails, from a later place where a JSON object begins that its end closes."""
     segments, at = [], start
     for part in text[start:end].split("."):
         segments.append((at, at + len(part)))
@@ -197,10 +250,8 @@ def token_ranges(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     while k + 2 < len(segments):
         (low, high), (_, stop) = segments[k], segments[k + 2]
         found = None
-        if high - low >= 10 and segments[k + 1][1] - segments[k + 1][0] >= 2:
-            starts = [low] if text[low] == "e" else []
-            starts += [m.start() for m, _ in zip(TOKEN_START.finditer(text, low + 1, high), range(TRIES), strict=False)]
-            found = next((s for s in starts if high - s >= 10 and is_signed_token(text[s:stop])), None)
+        if high - low >= 10 and segments[k + 1][1] - segments[k + 1][0] >= 2 and is_json_object(text[segments[k + 1][0] : segments[k + 1][1]]):
+            found = next((s for s in header_starts(text, low, high) if is_signed_token(text[s:stop])), None)
         if found is None:
             k += 1
         else:
@@ -208,6 +259,55 @@ def token_ranges(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             k += 3
 
 
+def is_json_object(segment: str) -> bool:
+    try:
+        return isinstance(json.loads(from_base64(segment) or b""), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
+def header_starts(text: str, low: int, high: int) -> Iterator[int]:
+    """Where a token's header may begin in a segment, first to last. It ends with the segment, so its length tells how its
+    characters fall into groups of four, and for each of four ways the whole segment is decoded once: a header begins
+    where braces opened from there on are closed at the end, and no earlier."""
+    found = [low] if text[low] == "e" else []
+    for turn in range(4):
+        first = low + turn
+        if (high - first) % 4 == 1 or high - first < 10:
+            continue
+        data = from_base64(text[first:high])
+        if data:
+            found += [s for at in object_starts(data) if at % 3 == 0 and (s := first + at // 3 * 4) > low and high - s >= 10 and text[s] == "e"]
+    yield from sorted(set(found))
+
+
+def object_starts(data: bytes) -> list[int]:
+    """Places of braces whose objects close with the last byte that isn't white space: each has its own depth, counted from
+    the end over what isn't in a string, so there are as many as objects lie in each other there."""
+    end = len(data.rstrip())
+    if not end or data[end - 1 : end] != b"}":
+        return []
+    depth, quoted, at, out = 0, False, end - 1, []
+    while at >= 0:
+        c = data[at]
+        if c == 34:
+            k = at
+            while k and data[k - 1] == 92:
+                k -= 1
+            if (at - k) % 2 == 0:
+                quoted = not quoted
+            at = k if k < at else at
+        elif not quoted and c == 125:
+            depth += 1
+        elif not quoted and c == 123:
+            depth -= 1
+            if depth == 0:
+                out.append(at)
+                break
+        at -= 1
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each base kind; too short ones are dropped after matching."""
     out: list[Span] = []
@@ -230,16 +330,14 @@ def confirmed_spans(text: str) -> list[Span]:
             body = from_base64("".join("".join(lines).split()))
             if is_key(body) or is_encrypted_pem(m[2], body):
                 out.append(("pem", *m.span()))
+    inside = Taken(out)
+    out += [("key", *x) for x in wrapped_ranges(text) if not inside(*x)]
     if not LONG_RUN.search(text):
         return out
-    inside = lambda a, b: any(s < b and a < e for _, s, e in out)
-    for m in WRAPPED.finditer(text):
-        ends = (m.end(), m.start() + len(m[0][: m[0].rindex("\n")].rstrip()))  # the last line may be of the text behind
-        if not inside(*m.span()) and (end := next((e for e in ends if is_key(from_base64("".join(text[m.start() : e].split())))), None)):
-            out.append(("key", m.start(), end))
+    inside = Taken(out)
     for m in BASE64_KEY.finditer(text):
-        if not inside(*m.span()):
-            out += [("key", *x) for x in ([m.span()] if is_key(from_base64(m[0])) else key_ranges(text, *m.span(), False))]
+        found = [m.span()] if is_key(from_base64(m[0])) else key_ranges(text, *m.span(), False)
+        out += [("key", *x) for x in found if not inside(*x)]
     for m in HEX_KEY.finditer(text):
         even = (m.end() - m.start()) % 2 == 0
         out += [("key", *x) for x in ([m.span()] if even and is_key(bytes.fromhex(m[0])) else key_ranges(text, *m.span(), True))]
@@ -248,6 +346,19 @@ def confirmed_spans(text: str) -> list[Span]:
     return out
 
 
+class Taken:
+    """Whether a stretch touches any of the spans, by their order: spans of one kind don't overlap, so the last that begins
+    before the stretch's end tells, with the furthest end up to it."""
+
+    def __init__(self, spans: list[Span]):
+        ordered = sorted((s, e) for _, s, e in spans)
+        self.starts, self.ends = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+
 def find_spans(text: str) -> list[Span]:
     """All spans by start, then kind as in KINDS."""
     return sorted(base_spans(text) + confirmed_spans(text), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

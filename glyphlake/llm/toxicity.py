@@ -189,16 +189,19 @@ def _featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> Da
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """A model from at most `rows` labelled rows outside the held-out part, the same however the rows are dealt.
 
-    Null ids and labels, ids without a label and ids with several (of which the highest counts once) are no obstacle; of
-    repeated rows each counts in the trees, copies once in the lexicon; null texts count as empty, very long ones are read
-    whole. Without rows of both classes, as from empty tables, the share of toxic ones is every score. Other columns are
+    Rows of one id and equal text count once; of the others those of the least hashes of id and text are taken, so an id that
+    many rows share brings no more than `rows` either. Null ids and labels, ids without a label and ids with several (of
+    which the highest counts once) are no obstacle; copies under several ids each count in the trees, once in the lexicon;
+    null texts count as empty, very long ones are read whole. Without rows of both classes, as from empty tables, the share of toxic ones is every score. Other columns are
     ignored."""
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(labelled.orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = id_and_text(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = save(texts.join(chosen, "id"), "toxic-sample")
+    labelled_rows = texts.join(chosen, "id").withColumn("place", F.xxhash64("text"))
+    keys = F.broadcast(labelled_rows.select("id", "place").distinct().orderBy(F.xxhash64("id", "place"), "id", "place").limit(rows))
+    sample = save(labelled_rows.join(keys, ["id", "place"]).dropDuplicates(["id", "place"]), "toxic-sample")
     lexicon = induce(sample)
-    parted = sample.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)).cast("int")).withColumn("place", F.xxhash64("text"))
+    parted = sample.select("id", "text", "toxic", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)).cast("int").alias("part"), "place")
     found = _featured(parted, lexicon, ["id", "toxic", "part", "place"]).orderBy("id", "place").collect()
     drop_saved(sample)
     y = np.array([r.toxic for r in found], float)

@@ -49,6 +49,19 @@ def test_leaks_are_those_of_brute_force(spark, size):
     assert {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_common"]) for r in got} == want and len(want) > 20
 
 
+def test_a_shared_phrase_makes_no_candidates(spark, monkeypatch):
+    """200 items share a phrase that 500 documents hold; three documents hold an item as well."""
+    phrase = " ".join(f"p{i}" for i in range(12))
+    items = [(i, f"{phrase} " + " ".join(f"i{i}x{k}" for k in range(20))) for i in range(200)]
+    docs = [(i, f"d{i} {phrase} e{i}") for i in range(500)] + [(1000 + i, f"before {items[i][1]} behind") for i in range(3)]
+    saved = {}
+    monkeypatch.setattr(decontaminate, "save", lambda df, name, save=decontaminate.save: saved.setdefault(name, save(df, name)))
+    monkeypatch.setattr(decontaminate, "drop_saved", lambda *tables: None)
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1000, 0), (1001, 1), (1002, 2)]
+    assert saved["leak-candidates"].count() == 3
+
+
 def test_leak_edges(spark):
     items = edges.rows(spark, [(1, "two three four five six"), (2, None), (3, "")], "item_id")
     leaks = decontaminate.find_leaks(edges.rows(spark), items)
@@ -465,6 +478,17 @@ def test_labels_of_the_held_out_part_change_nothing(spark):
     assert a.lexicon == b.lexicon and (a.trees.value == b.trees.value).all() and (a.calibration.value == b.calibration.value).all()
 
 
+def test_a_hot_labelled_id_brings_no_more_rows(spark, monkeypatch):
+    """Of ids that 500 rows share no more than the bound is fitted, whether their texts differ or not."""
+    monkeypatch.setattr(toxicity, "drop_saved", lambda *tables: None)
+    for text in ("'you fool'", "concat('you fool ', id)"):
+        saved = {}
+        monkeypatch.setattr(toxicity, "save", lambda df, name, save=toxicity.save, saved=saved: saved.setdefault(name, save(df, name)))
+        docs = spark.range(2000).selectExpr("id % 4 as doc_id", f"{text} as text")
+        toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), rows=4)
+        assert 0 < saved["toxic-sample"].count() <= 4
+
+
 def test_toxic_edges(spark, sf_dir):
     df = edges.rows(spark)
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")

@@ -97,6 +97,52 @@ def test_keys_glued_to_other_characters(data):
         assert secret_scan.confirmed_spans(f"key:\n{wrapped}\nend of it") == [("key", 5, 5 + len(wrapped))]
 
 
+@pytest.mark.parametrize("times", [1, 31, 32, 33, 1000])
+def test_any_number_of_false_beginnings(times):
+    key = base64.b64encode(RSA).decode().rstrip("=")
+    assert ("key", 2 * times, 2 * times + len(key)) in secret_scan.confirmed_spans("MA" * times + key)
+    assert ("key", 4 * times, 4 * times + 2 * len(RSA)) in secret_scan.confirmed_spans("3012" * times + RSA.hex())
+    assert secret_scan.confirmed_spans("ey" * times + JWT) == [("jwt", 2 * times, 2 * times + len(JWT))]
+
+
+@pytest.mark.parametrize("width", [16, 20, 40, 44, 64, 76, 101, 112, 300])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  \t"])
+def test_keys_wrapped_at_any_width(width, end):
+    for data in (RSA, PKCS8, SSH):
+        text = base64.b64encode(data).decode()
+        lines = end.join(text[i : i + width] for i in range(0, len(text), width))
+        want = [("key", 5, 5 + len(lines))] if end in lines else [("key", 5, 5 + len(text))]
+        assert secret_scan.confirmed_spans(f"key:\n{lines}\nend of it") == want
+        assert secret_scan.confirmed_spans(f"key:\n{lines}") == want
+    many = base64.b64encode(element(0x30, b"".join(number(x) for x in (0, R.getrandbits(60_000) | 1, 65537, *(R.getrandbits(20_000) | 1 for _ in range(6)))))).decode()
+    lines = "\n".join(many[i : i + 16] for i in range(0, len(many), 16))
+    assert lines.count("\n") > 1000 and secret_scan.confirmed_spans(lines) == [("key", 0, len(lines))]
+
+
+def every_start(text):
+    """Keys on one line by trying every place and every end."""
+    out, at = [], 0
+    while at < len(text):
+        end = next((e for e in range(min(len(text), at + 400), at + 39, -1) if text[at] == "M" and re.fullmatch("[A-Za-z0-9+/_-]+", text[at:e]) and secret_scan.is_key(secret_scan.from_base64(text[at:e])) and len(secret_scan.from_base64(text[at:e])) * 4 // 3 >= e - at - 1), None)
+        out += [(at, end)] if end else []
+        at = end or at + 1
+    return out
+
+
+def test_spans_are_those_of_trying_every_place():
+    rng, key = random.Random(8), base64.b64encode(EC).decode().rstrip("=")
+    for _ in range(40):
+        text = "".join(rng.choice([key, "MA", "MIIB", "M", "e", "/", "_", " ", key[:20], key[7:], "MEgC"]) for _ in range(6))
+        assert [(s, e) for k, s, e in secret_scan.confirmed_spans(text) if k == "key"] == every_start(text), text
+
+
+def test_many_keys_take_linear_time():
+    text = " ".join([base64.b64encode(EC).decode()] * 20_000)
+    start = time.process_time()
+    assert len(secret_scan.find_spans(text)) == 20_000
+    assert time.process_time() - start < 5
+
+
 def test_tokens_behind_other_segments():
     n = len(JWT)
     for before in ("authorization.", "a.b.c.d.", "eyJhbGciOiJI.", "token-", "x_ey-"):
@@ -168,7 +214,19 @@ def test_rounds_reach_what_the_first_cannot(spark):
     assert found == {"robLowe", *(f"jane_doe{c}" for c in "abcdefgh")}
 
 
-def plain_learning(texts, min_seeds=3, confidence=0.6, rounds=5):
+def test_a_long_chain_of_patterns_is_followed_to_its_end(spark):
+    """Each pattern stands by two entities and by one instance of the pattern before: it is accepted only once that one is."""
+    texts = [f"level{0} code is a{i}@x.org ok" for i in range(4)] + ["level0 code is link_0 ok"]
+    for k in range(1, 12):
+        texts += [f"stage{chr(96 + k)} value z{k}{i}@y.org" for i in range(2)] + [f"stage{chr(96 + k)} value link_{k - 1}", f"stage{chr(96 + k)} value link_{k}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["pattern"] for r in pii.learn_patterns(docs).collect()}
+    assert found >= {f"stage{chr(96 + k)} value\t" for k in range(1, 12)} and "code is\t" in found
+    few = {r["pattern"] for r in pii.learn_patterns(docs, rounds=5).collect()}
+    assert len(few) < len(found)
+
+
+def plain_learning(texts, min_seeds=3, confidence=0.6, rounds=None):
     """The same patterns by whole lists of words and dictionaries."""
     flat = lambda w: re.sub("[0-9]", "0", w.lower())
     edges, totals, seeds = {}, {}, set()
@@ -195,7 +253,7 @@ def plain_learning(texts, min_seeds=3, confidence=0.6, rounds=5):
         spread[p] = spread.get(p, 0) + 1
     edges = {k: n for k, n in edges.items() if spread[k[0]] >= min_seeds}
     known, accepted, was = dict.fromkeys({i for _, i in edges if i in seeds}, 1.0), {}, None
-    for _ in range(rounds):
+    for _ in range(rounds or 10**6):
         hits, many = {}, {}
         for (p, i), n in edges.items():
             if i in known:
@@ -207,9 +265,10 @@ def plain_learning(texts, min_seeds=3, confidence=0.6, rounds=5):
             if p in accepted:
                 worth[i] = max(worth.get(i, 0), accepted[p] * pii.DECAY)
         known = worth | {i: 1.0 for _, i in edges if i in seeds}
-        if not accepted or (len(accepted), len(known)) == was:
+        now = len(accepted), len(known), sum(accepted.values())
+        if not accepted or was and now[:2] == was[:2] and now[2] - was[2] <= pii.STILL:
             break
-        was = len(accepted), len(known)
+        was = now
     return accepted
 
 
