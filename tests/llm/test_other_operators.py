@@ -485,7 +485,7 @@ def test_a_hot_labelled_id_brings_no_more_rows(spark, monkeypatch):
         saved = {}
         monkeypatch.setattr(toxicity, "save", lambda df, name, save=toxicity.save, saved=saved: saved.setdefault(name, save(df, name)))
         docs = spark.range(2000).selectExpr("id % 4 as doc_id", f"{text} as text")
-        toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), rows=4)
+        toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int"), rows=4)
         assert 0 < saved["toxic-sample"].count() <= 4
 
 
