@@ -91,12 +91,23 @@ def tag_key(c: Column) -> Column:
     return F.coalesce(F.nullif(key, F.lit("")), F.lower(strip(c)))
 
 
+def _bound(c: Column, use) -> Column:
+    """use(c) with c worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def normalize_tags(tags: Column) -> Column:
-    """One spelling a key, the shortest, of equals the earliest, in the order in which the keys come first."""
+    """One spelling a key, the shortest, of equals the earliest, in the order in which the keys come first. Keys are worked
+    out once and sorted, twice: the heads of equal keys are their first places and their best spellings."""
     kept = F.filter(F.transform(F.filter(tags, lambda t: t.isNotNull()), strip), lambda t: t != "")
     keyed = F.transform(kept, lambda t, i: F.struct(tag_key(t).alias("key"), F.length(t).alias("n"), i.alias("i"), t.alias("t")))
-    firsts = F.filter(keyed, lambda x: F.array_position(F.transform(keyed, lambda y: y["key"]), x["key"]) == x["i"] + 1)
-    return F.transform(firsts, lambda x: F.array_min(F.transform(F.filter(keyed, lambda y: y["key"] == x["key"]), lambda y: F.struct(y["n"], y["i"], y["t"].alias("t"))))["t"])
+    heads = lambda rows: _bound(F.array_sort(rows), lambda s: F.filter(s, lambda x, j: (j == 0) | (x["key"] != F.get(s, j - 1)["key"])))
+
+    def chosen(rows: Column) -> Column:
+        firsts = heads(F.transform(rows, lambda x: F.struct(x["key"].alias("key"), x["i"].alias("i"))))
+        return F.array_sort(F.zip_with(firsts, heads(rows), lambda f, x: F.struct(f["i"].alias("i"), x["t"].alias("t"))))
+
+    return F.transform(_bound(keyed, chosen), lambda x: x["t"])
 
 
 def distinct_values(values: Column) -> Column:

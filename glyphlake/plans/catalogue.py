@@ -6,11 +6,13 @@ are given as joined texts, scores rounded to six places."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text, values, vectors
-from glyphlake.operators import attributes, packing, pages, registry, search
+from glyphlake.operators import attributes, cells, packing, pages, registry, search
 from glyphlake.settings import MIN_EXTRACTED_CHARS, max_chunk_chars, text_budget_chars
 
 QUERIES: dict = {}
@@ -79,6 +81,17 @@ def search_many(spark, sf_dir):
     return rounded(search.search_many(chunk_vectors(spark, sf_dir), rows, 5))
 
 
+@query(ORACLES["search_many"])
+def search_many_cells(spark, sf_dir):
+    """The same rows from an index of cells and codes, built for it in the folder that all machines share."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    chunks = chunk_vectors(spark, sf_dir)
+    index = cells.CellIndex(spark, f"{home.rstrip('/')}/cells-{uuid.uuid4().hex}")
+    index.build(chunks)
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(index.search_many(chunks, rows, 5))
+
+
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
 SELECT label AS book_id, vec_id AS chunk_no, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(q, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, q""")
 def cosine_scores(spark, sf_dir):
@@ -393,8 +406,8 @@ def pending_attributes(spark, sf_dir):
 SELECT book_id, forced, row_number() OVER (ORDER BY forced DESC, priority DESC NULLS LAST, book_id DESC) AS place FROM (SELECT book_id, bool_or(f) AS forced, max(priority) AS priority FROM (SELECT book_id, false AS f, NULL AS priority FROM p UNION ALL SELECT book_id, true, priority FROM queue_attrs) GROUP BY book_id)""")
 def attribute_phase(spark, sf_dir):
     t = library(spark, sf_dir)
-    ordered = registry.attribute_order(registry.pending_attributes(t["books"], t["attrs"], ["a", "b"]), t["queue_attrs"]).select("book_id", "forced")
-    return ordered.sparkSession.createDataFrame([(r["book_id"], r["forced"], n) for n, r in enumerate(ordered.toLocalIterator(), 1)], "book_id long, forced boolean, place long")
+    ordered = registry.attribute_order(registry.pending_attributes(t["books"], t["attrs"], ["a", "b"]), t["queue_attrs"])
+    return registry.numbered(ordered, F.desc("forced"), F.desc_nulls_last("priority"), F.desc("book_id")).select("book_id", "forced", "place")
 
 
 @query(LIBRARY + """SELECT book_id FROM library WHERE fmt IS NOT NULL AND NOT (book_id IN (SELECT book_id FROM books WHERE n_chunks > 0) AND book_id NOT IN (SELECT book_id FROM failed WHERE kind = 'index'))""")

@@ -88,3 +88,21 @@ def test_vectors(spark):
     for dim in (8, 384, 4096, 8192):
         t = vectors.partition_target(dim)
         assert t * dim <= (2**32 - 1) // 2 and 10**8 // vectors.partition_count(10**8, dim) <= t and not vectors.needs_repair(t, dim)
+
+
+def test_many_tags_take_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from glyphlake.functions import values
+
+    took = []
+    for n in (50, 200):
+        tags = spark.range(100).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Tag "), (i % (n // 2)).cast("string"), F.when(i % 3 == 0, " (x)").otherwise(""))).alias("t"))
+        for _ in range(2):
+            start = time.time()
+            assert tags.select(F.size(values.normalize_tags(F.col("t"))).alias("k")).agg(F.min("k"), F.max("k")).first() == (n // 2, n // 2)
+            last = time.time() - start
+        took.append(last)
+    assert took[1] < 8 * took[0] + 1, took
