@@ -10,7 +10,7 @@
    full sets confirm. Those that more nodes share are buckets: in some of them each node puts forward the node whose bitmap is
    nearest, and these pairs are confirmed as well. The links give components.
 4. Buckets that still hold several components are searched whole: up to CROWD nodes by their pairs of different
-   components, each once however many buckets it is in; larger ones in pairs of blocks of bounded size. Of the pairs that bitmaps allow
+   components that short bitmaps allow, each once however many buckets it is in; larger ones in pairs of blocks of bounded size. Of the pairs that bitmaps allow
    there, those of a block with few are confirmed as pairs; of a block with many the nodes go out with their full sets, and
    only links that join components leave the task. So no link between components is lost, and no group gives out all its
    pairs."""
@@ -56,6 +56,11 @@ def bitmap(features: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def shortened(bits: bytes) -> bytes:
+    """A bitmap folded to FEWEST_BITS bits, which rule out only what the whole bitmap does."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, FEWEST_BITS // 8), axis=0).tobytes()
+
+
 def folded(bitmaps: Sequence[bytes]) -> np.ndarray:
     """Bitmaps as rows of 64-bit words, all as short as the shortest: halves of a longer one are laid over each other."""
     width = min(map(len, bitmaps), default=0)
@@ -75,7 +80,8 @@ def may_link(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, key, bits) of every row; what follows n is null for empty sets. key is the digest's first half."""
+    """(id, n, digest, key, bits, short) of every row; what follows n is null for empty sets. key is the digest's first half,
+    short the shortened bitmap."""
     import xxhash  # noqa: F401  needed by the workers
 
     rows = id_and_text(docs, id_col, text_col)
@@ -83,13 +89,13 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, limit=SLICE_BYTES):
             sets = list(sk.shingle_sets([t.encode() for t in batch.column(1).to_pylist()]))
-            digests = [digest(s) for s in sets]
+            digests, bitmaps = [digest(s) for s in sets], [bitmap(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([key_of(d) for d in digests], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
-                names=["id", "n", "digest", "key", "bits"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([key_of(d) for d in digests], pa.int64()), pa.array(bitmaps, pa.binary()), pa.array([b and shortened(b) for b in bitmaps], pa.binary())],
+                names=["id", "n", "digest", "key", "bits", "short"],
             )
 
-    return rows.mapInArrow(freeing(made), f"id {rows.schema[0].dataType.simpleString()}, n long, digest binary, key long, bits binary")
+    return rows.mapInArrow(freeing(made), f"id {rows.schema[0].dataType.simpleString()}, n long, digest binary, key long, bits binary, short binary")
 
 
 def key_of(found: bytes | None) -> int | None:
@@ -291,8 +297,9 @@ def _cross_pairs(table: pa.Table, crosswise: bool, percent: int) -> Iterator[tup
         yield i[keep] + some.start, j[keep] + some.start
 
 
-def apart_pairs(groups: DataFrame) -> DataFrame:
-    """(key, other) for nodes of different labels in groups (keys, labels) of at most CROWD, mostly once for each task."""
+def apart_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """(key, other) for nodes of different labels in groups (members: array of key, label, n, short) of at most CROWD, where
+    short bitmaps allow a link; mostly once for each task."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -302,10 +309,13 @@ def apart_pairs(groups: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["key", "other"])
 
         for batch in batches:
-            key, label = (batch.column(k).flatten().to_numpy() for k in (0, 1))
+            key, label, n, short = batch.column(0).flatten().flatten()
+            key, label, n = key.to_numpy(), label.to_numpy(), n.to_numpy()
+            words = np.frombuffer(b"".join(short.to_pylist()), np.uint64).reshape(-1, FEWEST_BITS // 64)
             group = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy())
             for d in range(1, min(CROWD, len(key))):
                 at = np.flatnonzero((group[d:] == group[:-d]) & (label[d:] != label[:-d]))
+                at = at[may_link(differ(words[at], words[at + d]), n[at] + n[at + d], percent)]
                 held.append(np.sort(np.stack([key[at], key[at + d]], 1), 1))
             if sum(map(len, held)) >= HELD:
                 held = [np.unique(np.concatenate(held), axis=0)]
@@ -386,7 +396,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their rows and are in one component, as are several texts under one id, each with all its links. Empty tables give an
     empty result; other columns are ignored."""
     seen = save(described(docs, id_col, text_col), "join-sets")
-    classes = seen.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("key").alias("key"), F.first("bits").alias("bits"), F.count("*").alias("rows"))
+    classes = seen.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("key").alias("key"), F.first("bits").alias("bits"), F.first("short").alias("short"), F.count("*").alias("rows"))
     nodes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "join-nodes")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = min(24, 1 + math.ceil(math.log2(max(tasks, 1))))
@@ -404,11 +414,11 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, left = confirmed(pairs, sets, percent)
     links = save(rows, "join-links")
     label = components(links)
-    labelled = save(nodes.select("rep", "key", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "key", "n", F.coalesce("component", "rep").alias("label")), "join-labels")
-    named = members.join(labelled.select("key", "rep", "label"), "key")
+    labelled = save(nodes.select("rep", "key", "n", "short").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "key", "n", "short", F.coalesce("component", "rep").alias("label")), "join-labels")
+    named = members.join(labelled.select("key", "rep", "label", "n", "short"), "key")
     still = save(named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high").select("bucket", "members"), "join-still")
-    groups = named.join(still.where(F.col("members") <= CROWD), "bucket", "left_semi").groupBy("bucket").agg(F.collect_list("key").alias("keys"), F.collect_list("label").alias("labels"))
-    across = allowed(apart_pairs(groups.select("keys", "labels")).distinct(), nodes, percent)
+    groups = named.join(still.where(F.col("members") <= CROWD), "bucket", "left_semi").groupBy("bucket").agg(F.collect_list(F.struct("key", "label", "n", "short")).alias("members"))
+    across = allowed(apart_pairs(groups.select("members"), percent).distinct(), nodes, percent)
     apart = save(split_join(named, still.where(F.col("members") > CROWD), "bucket", "members").select("bucket", band, "rep").distinct(), "join-apart")
     rows, open_ = cross_blocks(apart, labelled, block, block_bytes)
     crossing = save(in_cross_pairs(dealt(rows, sketches), percent), "join-crossing")

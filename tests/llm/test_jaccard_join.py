@@ -166,3 +166,20 @@ def test_unlike_sets_rarely_share_one():
     found = [partenum.signatures(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)), bands) for n in range(60, 400)]
     every = np.concatenate(found)
     assert len(np.unique(every)) == len(every)
+
+
+def test_short_bitmaps_rule_out_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    near, far = np.concatenate([base[:370], rng.integers(0, 1 << 63, 30).astype(np.uint64)]), rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [base, near, far, base[:300], far[:3]]
+    whole = [jaccard_join.bitmap(s) for s in sets]
+    short = [jaccard_join.shortened(b) for b in whole]
+    for i in range(len(sets)):
+        for j in range(i):
+            lower = int(jaccard_join.differ(*(np.frombuffer(short[k], np.uint64) for k in (i, j))))
+            assert lower <= int(jaccard_join.differ(*jaccard_join.folded([whole[i], whole[j]]))) <= len(np.setxor1d(sets[i], sets[j]))
+    members = [(k, k, len(s), short[k]) for k, s in enumerate(sets)]
+    groups = spark.createDataFrame([([members[k] for k in (0, 1, 2)],), ([members[k] for k in (4, 1, 0)],), ([(0, 7, 400, short[0]), (1, 7, 400, short[1])],)], "members array<struct<key:long,label:long,n:long,short:binary>>")
+    assert {tuple(r) for r in jaccard_join.apart_pairs(groups, 80).distinct().collect()} == {(0, 1)}
+    assert jaccard_join.apart_pairs(groups.where("false"), 80).isEmpty()
