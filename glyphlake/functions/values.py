@@ -111,9 +111,10 @@ def normalize_tags(tags: Column) -> Column:
 
 
 def distinct_values(values: Column) -> Column:
-    """The first spelling of each value, case aside, in order."""
-    keys = F.transform(values, F.lower)
-    return F.filter(values, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+    """The first spelling of each value, case aside, in order; nulls are left out. Keys are worked out once and sorted."""
+    keyed = F.filter(F.transform(values, lambda v, i: F.struct(F.lower(v).alias("key"), i.alias("i"), v.alias("v"))), lambda x: x["v"].isNotNull())
+    heads = _bound(F.array_sort(keyed), lambda s: F.filter(s, lambda x, j: (j == 0) | (x["key"] != F.get(s, j - 1)["key"])))
+    return F.transform(F.array_sort(F.transform(heads, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
 
 
 def column_value(values: Column, kind: str) -> Column:

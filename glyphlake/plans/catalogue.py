@@ -163,6 +163,27 @@ def token_estimate_scripts(spark, sf_dir):
     return rows.select("doc_id", text.estimate_tokens(mixed).cast("long").alias("tokens"))
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS v, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents WHERE text IS NOT NULL),
+f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, lower(v) ORDER BY i) = 1)
+SELECT doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY i) AS found FROM f GROUP BY doc_id""")
+def distinct_words(spark, sf_dir):
+    """The first spelling of each word of a text, in order."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", values.distinct_values(F.split("text", " ")).alias("v"))
+    return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.array_join("v", " ").alias("found"))
+
+
+FILE_ROWS = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'none' ELSE cast(o_custkey AS VARCHAR{}) END AS size, CASE WHEN o_orderkey % 7 = 0 THEN 'never' ELSE concat(cast(o_orderkey - 1000 AS VARCHAR{}), '.75') END AS mtime FROM {}"
+
+
+@query(f"""WITH f AS ({FILE_ROWS.format("", "", "orders")})
+SELECT o_orderkey, CASE WHEN ok THEN try_cast(size AS BIGINT) END AS size, CASE WHEN ok THEN trunc(try_cast(mtime AS DOUBLE))::BIGINT END AS mtime_s
+FROM (SELECT *, try_cast(size AS BIGINT) IS NOT NULL AND try_cast(mtime AS DOUBLE) IS NOT NULL AS ok FROM f)""")
+def file_infos(spark, sf_dir):
+    """Sizes and times as whole numbers, none where either is missing."""
+    given = spark.sql(FILE_ROWS.format("(20)", "(20)", "{orders}"), orders=table(spark, sf_dir, "orders"))
+    return given.select("o_orderkey", values.file_info(F.col("size"), F.col("mtime")).alias("i")).select("o_orderkey", "i.size", "i.mtime_s")
+
+
 @query("SELECT doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS chars, CASE WHEN chars < 1000 THEN 'fail' ELSE 'index' END AS action FROM documents")
 def extraction_guard(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("p"))
