@@ -106,3 +106,8 @@ def test_many_tags_take_time_in_proportion(spark):
             last = time.time() - start
         took.append(last)
     assert took[1] < 8 * took[0] + 1, took
+
+
+def test_distinct_values_keep_the_first_spelling(spark):
+    rows = spark.createDataFrame([(["b", None, "B", "a", "A", "b", ""],), ([],), (None,), ([None],)], "v array<string>")
+    assert [r[0] for r in rows.select(values.distinct_values(F.col("v"))).collect()] == [["b", "a", ""], [], None, []]
