@@ -12,6 +12,7 @@ share and discover nothing."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -45,9 +46,11 @@ MIN_SEEDS, CONFIDENCE, BLOCK = 3, 0.6, 200_000
 STILL = 1e-6
 #: An instance found by a pattern is worth this much of the pattern's share.
 DECAY = 0.9
-TOKEN = re.compile(WORD)
-#: Words of patterns, and identifiers, are no longer than this; a context reaches so many characters to either side.
-WORD_CHARS, IDENTIFIER_CHARS, REACH = 64, 128, 256
+TOKEN, BLANK = re.compile(WORD), frozenset(" \t\n\v\f\r")
+#: What is called an identifier is no longer than this. Words of more bytes stand in patterns by their hash. Words around an
+#: instance are first looked for so many characters to either side, then twice as far, until they are found.
+IDENTIFIER_CHARS, WORD_BYTES, REACH = 128, 64, 256
+LONG_WORD = re.compile(rb"(?<!\S)\S{%d,}" % (WORD_BYTES + 1))
 #: What may be inside an identifier, where one shows, and how many digits make one by themselves.
 INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._/@-")
 MARK = re.compile(r"[0-9]|[A-Za-z0-9][_@.][A-Za-z0-9]|[a-z][A-Z]")
@@ -101,8 +104,13 @@ DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 
 
 def plain(text: str) -> bytes:
-    """Lower case, every digit as 0."""
-    return text.lower().encode().translate(DIGITS)
+    """Lower case, every digit as 0, long words as a hash of that."""
+    flat = text.lower().encode().translate(DIGITS)
+    return LONG_WORD.sub(_hashed, flat) if len(flat) > WORD_BYTES else flat
+
+
+def _hashed(word: re.Match) -> bytes:
+    return b"#" + hashlib.blake2b(word[0], digest_size=16).hexdigest().encode()
 
 
 def identifiers(text: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int]]:
@@ -137,28 +145,40 @@ def found_instances(text: str) -> list[tuple[int, int, bool]]:
 
 def before(text: str, at: int) -> str | None:
     """The two words before the word that this place is in, as a pattern."""
-    low = max(0, at - REACH)
-    words = TOKEN.findall(text, low, at)
-    if words and TOKEN.match(text, at - 1):
-        words.pop()
-    if low and words and TOKEN.match(text, low - 1) and TOKEN.match(text, low):
-        words = words[1:]
-    return f"{w}\t" if len(words) > 1 and (w := pair(*words[-2:])) else None
+    reach = REACH
+    while True:
+        low = max(0, at - reach)
+        words = TOKEN.findall(text, low, at)
+        cut = low and text[low - 1] not in BLANK and text[low] not in BLANK
+        if words and text[at - 1] not in BLANK:
+            words.pop()
+        words = words[1:] if cut else words
+        if len(words) > 1:
+            return f"{pair(*words[-2:])}\t"
+        if not low:
+            return None
+        reach *= 2
 
 
 def behind(text: str, at: int) -> str | None:
     """The two words behind the word that ends, or goes on, at this place, as a pattern."""
-    high = min(len(text), at + REACH)
-    words = TOKEN.findall(text, at, high)
-    if words and TOKEN.match(text, at):
-        words = words[1:]
-    if high < len(text) and words and TOKEN.match(text, high) and TOKEN.match(text, high - 1):
-        words.pop()
-    return f"\t{w}" if len(words) > 1 and (w := pair(*words[:2])) else None
+    reach = REACH
+    while True:
+        high = min(len(text), at + reach)
+        words = TOKEN.findall(text, at, high)
+        cut = high < len(text) and text[high] not in BLANK and text[high - 1] not in BLANK
+        if words and text[at] not in BLANK:
+            words = words[1:]
+        words = words[:-1] if cut else words
+        if len(words) > 1:
+            return f"\t{pair(*words[:2])}"
+        if high == len(text):
+            return None
+        reach *= 2
 
 
-def pair(a: str, b: str) -> str | None:
-    return f"{plain(a).decode()} {plain(b).decode()}" if len(a) <= WORD_CHARS and len(b) <= WORD_CHARS else None
+def pair(a: str, b: str) -> str:
+    return f"{plain(a).decode()} {plain(b).decode()}"
 
 
 def edges_of(text: str) -> Iterator[tuple[str, str, bool]]:
@@ -173,7 +193,7 @@ def edges_of(text: str) -> Iterator[tuple[str, str, bool]]:
 
 
 def _same_word(text: str, end: int, start: int) -> bool:
-    return start <= end or start - end < REACH and not SPACE.search(text, end, start)
+    return start <= end or not SPACE.search(text, end, start)
 
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -183,7 +203,7 @@ def matches(text: str, patterns: frozenset[str], words: frozenset[bytes]) -> Ite
     """(start, end, whether the words stand before it) of the words that these patterns stand by. `words` are the first
     words of patterns; places are worked out only where there is a hit."""
     flat = plain(text).split()
-    hits = [(i, w) for i in range(len(flat) - 1) if flat[i] in words and len(flat[i + 1]) <= 4 * WORD_CHARS for w in (f"{flat[i].decode()} {flat[i + 1].decode()}",) if f"{w}\t" in patterns or f"\t{w}" in patterns]
+    hits = [(i, w) for i in range(len(flat) - 1) if flat[i] in words for w in (f"{flat[i].decode()} {flat[i + 1].decode()}",) if f"{w}\t" in patterns or f"\t{w}" in patterns]
     if hits:
         at = [m.span() for m in TOKEN.finditer(text)]
         for i, w in hits:
@@ -276,7 +296,7 @@ def word_pairs(rows: DataFrame, marks: np.ndarray, flush: int = 50_000) -> DataF
                     words += t.split()
                     last.append(len(words) - 1)
                 ends = set(last)
-                seen.update((words[i], words[i + 1]) for i in hits.tolist() if i not in ends and len(words[i]) <= 4 * WORD_CHARS and len(words[i + 1]) <= 4 * WORD_CHARS)
+                seen.update((words[i], words[i + 1]) for i in hits.tolist() if i not in ends)
             if len(seen) >= flush:
                 yield out()
         yield out()

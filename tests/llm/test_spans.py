@@ -289,6 +289,26 @@ def test_patterns_are_those_of_plain_counting(spark, seed):
     assert got == pytest.approx(want) and len(want) > 2
 
 
+def test_long_words_and_gaps_give_patterns(spark):
+    """Words of any length and words behind any gap are contexts: by plain counting, and for a planted identifier."""
+    long, gap = "é" * 3000 + "Nr7", " " * 5000
+    texts = [f"{long} is:{gap}u{i}@mail{i}.example.com{gap}so {long}" for i in range(6)] + [f"{long} is:{gap}QX-77120-3{gap}so {long}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["pattern"] for r in pii.learn_patterns(docs).collect()]
+    assert sorted(got) == sorted([f"{pii.pair(long, 'is:')}\t", f"\t{pii.pair('so', long)}"]) and max(map(len, got)) < 60
+    found = {(r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]]) for r in pii.find_pii(docs).collect() for s in r["spans"] if s["kind"] == "context"}
+    assert found == {(6, "QX-77120-3")}
+    wide = "x" * 70 + "_1" + "+" * 400 + "yy_22"
+    assert [p for p, _, _ in pii.edges_of(f"a b {wide} c d")] == ["a b\t", "\tc d"]
+
+
+@pytest.mark.parametrize("text", [("a_1" + " " * 3000) * 3000, ("b" * 3000 + " a_1 ") * 3000, "a_1" + "-" * 3_000_000 + "a_1"])
+def test_contexts_of_any_reach_take_linear_time(text):
+    start = time.time()
+    list(pii.edges_of(text))
+    assert time.time() - start < 20
+
+
 def test_identifiers():
     find = lambda t: [t[s:e] for s, e in pii.identifiers(t)]
     assert find("see QX-77120-3, jane_doe. (robLowe) j.smith@host 12.5 well-known 1a2b3c4d abc 007 http://a.b/c_d ... x_1") == ["QX-77120-3", "jane_doe", "robLowe", "j.smith@host", "1a2b3c4d", "a.b/c_d"]
