@@ -1,10 +1,10 @@
 """A store of books, chunks, queues and attributes over Parquet, with the calls an application makes.
 
-Every registry is a folder of its current version, chunks are a list of segments (rows added, rows dropped), partitioned by
-model. A manifest names them and is replaced in one rename, so a reader sees either all of a change or nothing, and an
+Every registry is a base with changes on top (`operators.keyed`), chunks are a list of segments (rows added, rows dropped),
+partitioned by model. A manifest names them and is replaced in one rename, so a reader sees either all of a change or nothing, and an
 interrupted one leaves the old state. What a change replaces is kept for a while (GRACE), so that tables and results
-handed out before it can still be read. A change to chunks writes what it adds and which are dropped; the rest of
-the table isn't touched until `compact`. A store of an older version shows empty tables until `finalize_schema` has
+handed out before it can still be read. A change to a registry writes the rows it changes, one to chunks what it adds and which are
+dropped; the rest of the table isn't touched until changes are merged or `compact` runs. A store of an older version shows empty tables until `finalize_schema` has
 brought it up. The store has one writer; operators on DataFrames (`operators`) do the work, and bulk work should use them
 directly."""
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from glyphlake import schemas
 from glyphlake.functions import values, vectors
-from glyphlake.operators import migrate, packing, registry, search
+from glyphlake.operators import keyed, migrate, packing, registry, search
 from glyphlake.operators.migrate import FinalizeCancelled
 from glyphlake.settings import MAX_RESULTS, MIN_EXTRACTED_CHARS, PRIORITY_DEFAULT, PRIORITY_PER_BOOK, SCHEMA_VERSION, Settings
 from glyphlake.sources.codec import Codec, resolve
@@ -82,8 +82,48 @@ class VectorStore:
         entry = manifest["tables"].get(name) if manifest["version"] == SCHEMA_VERSION else None
         if name == "chunks":
             return self._chunks(entry or [])
+        return self._state(name, entry)
+
+    def _state(self, name: str, entry: dict | str | None) -> DataFrame:
+        """A registry as its entry says: {base: [folder, bytes] or null, changes: [[folder, bytes, level], ...]}, or one folder."""
         kind = schemas.empty(self.spark, name)
-        return kind if entry is None else self.spark.read.schema(kind.schema).parquet(f"{self.path}/{entry}").select(kind.columns)
+        entry = entry if isinstance(entry, dict) else {"base": [entry, 0] if entry else None, "changes": []}
+        base = self.spark.read.schema(kind.schema).parquet(f"{self.path}/{entry['base'][0]}").select(kind.columns) if entry["base"] else kind
+        return keyed.merged(base, self._changes(name, entry["changes"]), schemas.KEYS[name], name in schemas.HIGHEST) if entry["changes"] else base
+
+    def _changes(self, name: str, changes: Sequence[Sequence]) -> DataFrame:
+        kind = keyed.change_schema(schemas.empty(self.spark, name).schema)
+        return self.spark.read.schema(kind).parquet(*(f"{self.path}/{c[0]}" for c in changes))
+
+    @staticmethod
+    def _folders(entry: dict | list | str | None) -> list[str]:
+        """All folders that a table's entry in the manifest names."""
+        if isinstance(entry, dict):
+            return [x[0] for x in ([entry["base"]] if entry["base"] else []) + entry["changes"]]
+        return [f for _, f in entry] if isinstance(entry, list) else [entry] if entry else []
+
+    def _sized(self, folder: str) -> list:
+        return [folder, self._fs.getContentSummary(self._at(folder)).getLength()]
+
+    def _changed(self, name: str, entry: dict | str | None, seq: int, rows: DataFrame | None, gone: DataFrame | None) -> tuple[dict, list[str]]:
+        """The entry of a registry from which these keys are taken and in which these rows are then put, and folders that it
+        no longer names. Runs of changes are merged as they come due, the base is written again once changes are large beside it."""
+        kind, keys, highest = schemas.empty(self.spark, name), schemas.KEYS[name], name in schemas.HIGHEST
+        old = entry if isinstance(entry, dict) else {"base": self._sized(entry) if entry else None, "changes": []}
+        made = [] if gone is None else [keyed.drops(gone, kind.schema, keys, seq)]
+        if rows is not None:
+            made.append((keyed.raises if highest else keyed.puts)(rows.select(kind.columns), seq + 1))
+        both = made[0] if len(made) == 1 else made[0].unionByName(made[1])
+        changes = [*old["changes"], [*self._sized(self._write(name, keyed.folded(both, keys, highest))), 0]]
+        seen = {*self._folders(old), changes[-1][0]}
+        while run := keyed.run_due([c[2] for c in changes], keyed.FAN):
+            one = self._write(name, keyed.folded(self._changes(name, changes[-run:]), keys, highest))
+            changes = [*changes[:-run], [*self._sized(one), changes[-1][2] + 1]]
+            seen.add(one)
+        new = {"base": old["base"], "changes": changes}
+        if keyed.base_due(old["base"][1] if old["base"] else 0, sum(c[1] for c in changes), keyed.LEAST):
+            new = {"base": self._sized(self._write(name, keyed.clustered(self._state(name, new), keys))), "changes": []}
+        return new, sorted(seen - set(self._folders(new)))
 
     def _chunks(self, segments: list) -> DataFrame:
         """Chunks are segments in order: rows that were added, and what was dropped from those before."""
@@ -122,9 +162,10 @@ class VectorStore:
             if now - at >= self.grace:
                 self._fs.delete(self._at(folder), True)
 
-    def publish(self, added: DataFrame | None = None, dropped: DataFrame | None = None, **tables: DataFrame) -> None:
-        """New versions of these tables, chunks dropped (book_id, chunk_no; a null number means the whole book) and then
-        added, published together. Chunks are never rewritten for a change: it costs what it adds."""
+    def publish(self, added: DataFrame | None = None, dropped: DataFrame | None = None, changes: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, **tables: DataFrame) -> None:
+        """New versions of these tables, changes to others (by name: rows put, or added to a queue, and before that keys
+        taken away), chunks dropped (book_id, chunk_no; a null number means the whole book) and then added, published
+        together. Neither chunks nor registries are rewritten for a change: it costs what it adds."""
         manifest = self._read("manifest.json")
         if manifest["version"] != SCHEMA_VERSION:
             raise IndexerError("this store is of an older version: run finalize_schema first")
@@ -135,9 +176,14 @@ class VectorStore:
         if added is not None:
             segments.append(["rows", self._write("chunks", added.select(schemas.empty(self.spark, "chunks").columns))])
         manifest["tables"]["chunks"] = segments
+        for name, (rows, gone) in (changes or {}).items():
+            entry, seq = manifest["tables"].get(name), manifest.get("seq", 0)
+            manifest["tables"][name], spent = self._changed(name, entry, seq, rows, gone)
+            manifest["seq"] = seq + 2
+            old += spent
         for name, df in tables.items():
-            old.append(manifest["tables"].get(name))
-            manifest["tables"][name] = self._write(name, df.select(schemas.empty(self.spark, name).columns))
+            old += self._folders(manifest["tables"].get(name))
+            manifest["tables"][name] = {"base": self._sized(self._write(name, df.select(schemas.empty(self.spark, name).columns))), "changes": []}
         self._replace(manifest, old)
         if len(segments) > SEGMENTS:
             self.compact()
@@ -153,8 +199,10 @@ class VectorStore:
             return
         gone = [folder for _, folder in old]
         if codec:
-            gone.append(manifest["tables"].get("meta"))
-            manifest["tables"]["meta"] = self._write("meta", registry.upsert(self.table("meta"), self._rows("meta", [("codec", codec.spec())]), schemas.KEYS["meta"]))
+            entry, seq = manifest["tables"].get("meta"), manifest.get("seq", 0)
+            manifest["tables"]["meta"], spent = self._changed("meta", entry, seq, self._rows("meta", [("codec", codec.spec())]), None)
+            manifest["seq"] = seq + 2
+            gone += spent
         self._replace(manifest, gone)
 
     def _rows(self, name: str, rows: Iterable[tuple]) -> DataFrame:
@@ -164,13 +212,21 @@ class VectorStore:
         return self.spark.createDataFrame(list(rows), kind)
 
     def _upsert(self, name: str, rows: Iterable[tuple]) -> None:
-        self.publish(**{name: registry.upsert(self.table(name), self._rows(name, rows), schemas.KEYS[name])})
+        self.publish(changes={name: (self._rows(name, rows).coalesce(1), None)})
 
     def _drop(self, name: str, **keys) -> None:
-        held = F.lit(True)
-        for k, v in keys.items():
-            held = held & (F.col(k) == v)
-        self.publish(**{name: self.table(name).where(~F.coalesce(held, F.lit(False)))})
+        """Takes away the row under these keys, or, if they aren't all of the table's, those rows that have them."""
+        if list(keys) == schemas.KEYS[name]:
+            gone = self.spark.range(1).select(*(F.lit(v).alias(k) for k, v in keys.items()))
+        else:
+            gone = self.table(name)
+            for k, v in keys.items():
+                gone = gone.where(F.col(k) == v)
+        self.publish(changes={name: (None, gone)})
+
+    def _keys_of(self, name: str, books: DataFrame) -> DataFrame:
+        """The keys of what a registry holds of these books."""
+        return books.select("book_id") if schemas.KEYS[name] == ["book_id"] else self.table(name).join(books.select("book_id"), "book_id", "left_semi").select(schemas.KEYS[name])
 
     def close(self) -> None:
         self.commit()
@@ -204,7 +260,7 @@ class VectorStore:
     # queues
 
     def _enqueue(self, queue: str, ids: Iterable[int], priority: int) -> None:
-        self.publish(**{queue: registry.enqueue(self.table(queue), self._rows(queue, [(i, priority) for i in ids]))})
+        self.publish(changes={queue: (self._rows(queue, [(i, priority) for i in ids]).coalesce(1), None)})
 
     def enqueue_indexing(self, book_id: int, priority: int = PRIORITY_DEFAULT) -> None:
         self._enqueue("queue_index", [book_id], priority)
@@ -223,7 +279,7 @@ class VectorStore:
 
     def dequeue_many(self, queue: str, ids: Iterable[int]) -> None:
         """These books leave 'queue_index' or 'queue_attrs' in one change."""
-        self.publish(**{queue: registry.remove(self.table(queue), self._rows(queue, [(i, 0) for i in ids]))})
+        self.publish(changes={queue: (None, self._rows(queue, [(i, 0) for i in ids]).coalesce(1))})
 
     def dequeue_indexing(self, book_id: int) -> None:
         self._drop("queue_index", book_id=book_id)
@@ -233,7 +289,7 @@ class VectorStore:
 
     def enqueue_attrs_all(self, priority: int = PRIORITY_DEFAULT) -> None:
         books = self.table("books").where("n_chunks > 0").select("book_id", F.lit(priority).alias("priority"))
-        self.publish(queue_attrs=registry.enqueue(self.table("queue_attrs"), books))
+        self.publish(changes={"queue_attrs": (books, None)})
 
     def queued_attrs_book_ids(self) -> list[int]:
         return [r["book_id"] for r in registry.queue_order(self.table("queue_attrs")).collect()]
@@ -254,7 +310,7 @@ class VectorStore:
 
     def clear_book(self, book_id: int) -> None:
         one = self._rows("queue_index", [(book_id, 0)])
-        self.publish(dropped=self._rows_of("book_id long, chunk_no int", [(book_id, None)]), books=registry.remove(self.table("books"), one))
+        self.publish(dropped=self._rows_of("book_id long, chunk_no int", [(book_id, None)]), changes={"books": (None, one)})
 
     def get_file_info(self, book_id: int) -> dict | None:
         row = self.table("file_info").where(F.col("book_id") == book_id).first()
@@ -329,7 +385,7 @@ class VectorStore:
         """A book that loses its last chunk stays registered, with 0."""
         rest = search.delete_chunk(self.table("chunks").where(F.col("book_id") == book_id), book_id, chunk_no)
         one = registry.recount(self.table("books").where(F.col("book_id") == book_id), rest)
-        self.publish(dropped=self._rows_of(DROPS, [(book_id, chunk_no)]), books=registry.upsert(self.table("books"), one, ["book_id"]))
+        self.publish(dropped=self._rows_of(DROPS, [(book_id, chunk_no)]), changes={"books": (one, None)})
 
     def count_book_chunks(self, book_id: int) -> int:
         return self.table("chunks").where(F.col("book_id") == book_id).count()
@@ -394,8 +450,9 @@ class VectorStore:
         """The tables of one version from those of the version before: written, read again, checked by content, and
         published with the version in one manifest. A step that fails, or is broken off, leaves the old state."""
         manifest = self._read("manifest.json")
-        folders = {n: [f for _, f in x] if isinstance(x, list) else [x] for n, x in manifest["tables"].items() if x}
-        old = {n: self.spark.read.parquet(*(f"{self.path}/{f}" for f in fs)) for n, fs in folders.items()}
+        folders = {n: self._folders(x) for n, x in manifest["tables"].items() if x}
+        whole = lambda n: self._state(n, manifest["tables"][n]) if isinstance(manifest["tables"][n], dict) else self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders[n]))
+        old = {n: whole(n) for n in folders}
         new = migrate.STEPS[version](old)
         written, tables = {}, {}
         for name, df in new.items():
@@ -408,7 +465,7 @@ class VectorStore:
             tables[name] = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
         if not migrate.CHECKS[version](old, tables):
             raise IndexerError(f"the tables of version {version} don't hold what those before held")
-        kept = {f for x in written.values() for f in ([y for _, y in x] if isinstance(x, list) else [x])}
+        kept = {f for x in written.values() for f in self._folders(x)}
         self._replace(manifest | {"version": version, "tables": written}, [f for fs in folders.values() for f in fs if f not in kept])
 
     # whole jobs
@@ -443,10 +500,12 @@ class VectorStore:
         self.publish(
             added=staged,
             dropped=None if held.isEmpty() else held.withColumn("chunk_no", F.lit(None)),
-            books=registry.upsert(registry.remove(self.table("books"), cleared), books, ["book_id"]),
-            failed=registry.upsert(self.table("failed").join(done.select("book_id", F.lit("index").alias("kind")), ["book_id", "kind"], "left_anti"), failed, ["book_id", "kind"]),
-            file_info=registry.upsert(self.table("file_info"), extracted.select("book_id", "fmt", info.alias("i")).where("i is not null").select("book_id", "fmt", "i.*"), ["book_id"]),
-            queue_index=registry.remove(self.table("queue_index"), extracted),
+            changes={
+                "books": (books, cleared),
+                "failed": (failed, done.select("book_id", F.lit("index").alias("kind"))),
+                "file_info": (extracted.select("book_id", "fmt", info.alias("i")).where("i is not null").select("book_id", "fmt", "i.*"), None),
+                "queue_index": (None, extracted),
+            },
         )
         for name in (folder, source):
             self._fs.delete(self._at(name), True)
@@ -459,7 +518,12 @@ class VectorStore:
         found.write.parquet(f"{self.path}/{folder}")
         actions = self.spark.read.parquet(f"{self.path}/{folder}")
         gone = actions.where("action = 'remove'").select("book_id", F.lit(None).cast("int").alias("chunk_no"))
-        self.publish(dropped=None if gone.isEmpty() else gone, **registry.apply_reconcile(actions, tables))
+        todo = actions.where("action = 'index'").select("book_id", F.lit(0).alias("priority"))
+        none = gone.isEmpty()
+        changes = {} if none else {n: (None, self._keys_of(n, gone)) for n in tables}
+        if not todo.isEmpty():
+            changes["queue_index"] = (todo, changes.get("queue_index", (None, None))[1])
+        self.publish(dropped=None if none else gone, changes=changes)
         if current_model:
             self.cleanup_stale_models(current_model)
         return actions
@@ -480,12 +544,8 @@ class VectorStore:
         attributes.extract_attributes(chunks, model, settings).write.parquet(f"{self.path}/{folder}")
         found = self.spark.read.parquet(f"{self.path}/{folder}")
         failed = found.where("error is not null").select("book_id", F.lit("attr").alias("kind"), "error")
-        healed = self.table("failed").join(found.select("book_id", F.lit("attr").alias("kind")), ["book_id", "kind"], "left_anti")
-        self.publish(
-            attrs=registry.upsert(self.table("attrs"), found.where("error is null"), ["book_id"]),
-            failed=registry.upsert(healed, failed, ["book_id", "kind"]),
-            queue_attrs=registry.remove(self.table("queue_attrs"), todo),
-        )
+        tried = found.select("book_id", F.lit("attr").alias("kind"))
+        self.publish(changes={"attrs": (found.where("error is null"), None), "failed": (failed, tried), "queue_attrs": (None, todo)})
         return found
 
     # what users ask for
@@ -508,7 +568,7 @@ class VectorStore:
 
     def _queue_books(self, ids: DataFrame) -> None:
         rows = ids.select("book_id", F.lit(PRIORITY_DEFAULT).alias("priority"))
-        self.publish(queue_index=registry.enqueue(self.table("queue_index"), rows))
+        self.publish(changes={"queue_index": (rows, None)})
 
     def status(self, library: DataFrame, settings: Settings) -> list[str]:
         pending = registry.pending_attributes(self.table("books"), self.table("attrs"), [a.name for a in settings.enabled()])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text, values, vectors
-from glyphlake.operators import attributes, cells, packing, pages, registry, search
+from glyphlake.operators import attributes, cells, keyed, packing, pages, registry, search
 from glyphlake.settings import MIN_EXTRACTED_CHARS, max_chunk_chars, text_budget_chars
 
 QUERIES: dict = {}
@@ -523,3 +523,32 @@ def chunk_budgets(spark, sf_dir):
 def long_books(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.length("text") > text_budget_chars(8192))
     return docs.agg(F.lit(max_chunk_chars(8192, 1.25)).cast("long").alias("chunk_chars"), F.lit(text_budget_chars(8192)).cast("long").alias("text_chars"), F.count("*").alias("n"))
+
+
+def in_two_runs(changes: DataFrame, keys: list[str], highest: bool = False) -> DataFrame:
+    """Changes in order as two merged runs."""
+    return keyed.folded(changes.where("_seq < 5000"), keys, highest).unionByName(keyed.folded(changes.where("_seq >= 5000"), keys, highest))
+
+
+@query("""WITH last AS (SELECT user_id AS k, max_by({'v': value, 't': event_type}, event_id) AS e FROM events GROUP BY user_id)
+SELECT k, e.v AS v FROM last WHERE e.t <> 'error' UNION ALL SELECT c_custkey, c_acctbal::DOUBLE FROM customer WHERE c_custkey NOT IN (SELECT k FROM last)""")
+def replay_changes(spark, sf_dir):
+    """A table of customers after every event has put its value under its user, or, as an error, taken the row away."""
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").cast("double").alias("v"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("value").alias("v"), "event_id", "event_type")
+    put = keyed.puts(events.where("event_type <> 'error'").select("k", "v", "event_id"), F.col("event_id")).drop("event_id")
+    failed = events.where("event_type = 'error'")
+    gone = keyed.drops(failed.select("k", "event_id"), base.schema, ["k"], F.col("event_id"))
+    return keyed.merged(base, in_two_runs(put.unionByName(gone), ["k"]), ["k"])
+
+
+@query("""WITH last AS (SELECT user_id AS k, coalesce(max(event_id) FILTER (WHERE event_type = 'error'), -1) AS cut FROM events GROUP BY user_id),
+live AS (SELECT user_id AS k, floor(value)::BIGINT AS priority FROM events JOIN last ON k = user_id WHERE event_id > cut UNION ALL SELECT c_custkey, c_custkey % 50 FROM customer WHERE c_custkey NOT IN (SELECT k FROM last WHERE cut >= 0))
+SELECT k, max(priority) AS priority FROM live GROUP BY k""")
+def replay_queue(spark, sf_dir):
+    """A queue of customers after every event has raised its user to the event's priority, or, as an error, taken the user out."""
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 50).cast("long").alias("priority"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.floor("value").cast("long").alias("priority"), "event_id", "event_type")
+    up = keyed.raises(events.where("event_type <> 'error'").select("k", "priority", "event_id"), F.col("event_id")).drop("event_id")
+    out = keyed.drops(events.where("event_type = 'error'").select("k", "event_id"), base.schema, ["k"], F.col("event_id"))
+    return keyed.merged(base, in_two_runs(up.unionByName(out), ["k"], True), ["k"], True)

@@ -16,6 +16,9 @@ TABLES = {
 }
 KEYS = {"books": ["book_id"], "queue_index": ["book_id"], "queue_attrs": ["book_id"], "attrs": ["book_id"], "failed": ["book_id", "kind"], "file_info": ["book_id"], "meta": ["key"], "chunks": ["model", "book_id", "chunk_no"]}
 
+#: Tables whose values are maxima of what was put there since a row was last taken away.
+HIGHEST = ("queue_index", "queue_attrs")
+
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
