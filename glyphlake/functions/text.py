@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphlake.settings import CONTEXT_OVERHEAD_TOKENS, MIN_CHUNK_CHARS, MIN_TEXT_CHARS, PROMPT_OVERHEAD_TOKENS, TOKENS_PER_CHAR
+from glyphlake.settings import CONTEXT_OVERHEAD_TOKENS, MIN_CHUNK_CHARS, MIN_TEXT_CHARS, PROMPT_OVERHEAD_TOKENS, TOKEN_HUNDREDTHS, TOKENS_PER_CHAR
 
 #: Ranges of code points by script tier; everything else counts as latin.
 SCRIPTS = {
@@ -41,16 +41,16 @@ def script_counts(c: Column) -> Column:
 
 
 def weighed(counts: Column) -> Column:
-    """Tokens before rounding; summed in the order dense, arabic, nonlatin, latin."""
-    total = counts["dense"] * F.lit(TOKENS_PER_CHAR["dense"])
+    """Hundredths of tokens, a whole number."""
+    total = counts["dense"].cast("long") * TOKEN_HUNDREDTHS["dense"]
     for tier in ("arabic", "nonlatin", "latin"):
-        total = total + counts[tier] * F.lit(TOKENS_PER_CHAR[tier])
+        total = total + counts[tier].cast("long") * TOKEN_HUNDREDTHS[tier]
     return total
 
 
 def estimate_tokens(c: Column) -> Column:
-    """At least 1, rounded half up."""
-    return F.greatest(F.lit(1), F.floor(weighed(script_counts(c)) + F.lit(0.5)).cast("int"))
+    """At least 1, rounded half up; a half is met exactly."""
+    return F.greatest(F.lit(1), F.floor(weighed(script_counts(c)) / F.lit(100) + F.lit(0.5)).cast("int"))
 
 
 def chunk_chars(context_tokens: Column, scale: float = 1.0) -> Column:

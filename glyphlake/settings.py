@@ -11,6 +11,8 @@ from typing import Any
 FORMAT_PRIORITY = ("EPUB", "AZW3", "MOBI", "FB2", "DOCX", "HTML", "TXT", "PDF")
 UNREADABLE_FORMATS = ("LSF", "LRF")
 TOKENS_PER_CHAR = {"dense": 0.70, "arabic": 0.60, "nonlatin": 0.40, "latin": 0.20}
+#: The same as whole hundredths, so that sums and halves are exact.
+TOKEN_HUNDREDTHS = {tier: round(100 * n) for tier, n in TOKENS_PER_CHAR.items()}
 CONTEXT_OVERHEAD_TOKENS = 64
 MIN_CHUNK_CHARS = 200
 MIN_EXTRACTED_CHARS = 1000
