@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import functools
-import gc
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphlake.functions.batches import freeing as freeing
+
 #: Whitespace that separates words in every operator on word shingles (ASCII only, stated in hex).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -125,25 +124,6 @@ def unused(name: str, *tables: DataFrame) -> str:
     return name
 
 
-def freeing(work):
-    """A function over Arrow batches that hands what it no longer uses back to the system when its task ends.
-
-    Workers live on for later tasks and other operators; without this each keeps the largest amount it ever used."""
-
-    @functools.wraps(work)
-    def done(batches):
-        try:
-            yield from work(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                gc.collect()
-                trim(0)
-
-    return done
-
-
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, so that other columns never clash; a null text counts as empty."""
     return docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
