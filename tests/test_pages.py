@@ -1,4 +1,7 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphlake.operators import packing, pages
 
@@ -50,3 +53,22 @@ def test_units_and_books(spark):
     books = pages.book_paragraphs(found, "book", "page")
     chunks = packing.chunk_rows(packing.pack_units(books, "book", "paragraphs", 1000, 0), "book").collect()
     assert [(c["book"], c["text"], c["chapter_path"]) for c in chunks] == [(1, "alpha\n\nbeta", ["C1"])]
+
+
+def test_batches_are_worked_on_in_bounded_pieces(monkeypatch):
+    """Whatever the batch Spark hands over, only about a megabyte of it becomes Python objects and results at once."""
+    made = []
+
+    class Rows:
+        schema = [T.StructField("id", T.LongType())]
+        select = alias = lambda self, *a: self
+        mapInArrow = lambda self, f, schema: made.append(f)
+
+    monkeypatch.setattr(F, "col", lambda name: Rows())
+    pages.page_paragraphs(Rows(), "id", "html")
+    pages.page_units(Rows(), "id", "html")
+    html = pa.array(["<p>" + "word " * 2000 + "</p>"] * 600 + [None, "", "<p>" + "x" * 3_000_000])
+    for f in made:
+        out = list(f(iter([pa.RecordBatch.from_arrays([pa.array(range(603)), html], names=["id", "v"])])))
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(603))
+        assert max(b.nbytes for b in out if b.num_rows > 1) <= 2 << 20 and len(out) > 5
