@@ -4,7 +4,7 @@ Vectors belong to the nearest of some centres, which are k-means centres of a bo
 partition, so cells that aren't needed aren't read. Within its cell a vector is kept as a code of four bits a number, a
 scale and the length of what the code leaves out. From these follow a lowest and a highest score for any query: the true one
 lies between them. So a search reads codes first, best cells before others; cells whose farthest vector can't reach the
-lowest score of the books found so far are left out; and full vectors are scored only where the highest score can.
+lowest score of the books found so far are left out; and chunks whose highest score can, for any query, are scored in full.
 
 The index is a list of parts that are never rewritten: rows are added as further parts, taken out by marks that hold for
 earlier parts, and merged into one part, with new centres, once enough rows came after the last merge. A version is
@@ -25,12 +25,15 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from glyphlake.functions import vectors
+from glyphlake.functions.batches import freeing
 from glyphlake.operators.search import QUERY_BYTES, best_per_book, unit
 
 #: Centres, and vectors at most that they are learnt from (those of the least hashes of their keys).
 CELLS, SAMPLE = 64, 20_000
 #: Rows added since the last merge, as a share of those merged, from which on a merge is due.
 MERGE_SHARE = 0.2
+#: Bytes of a matrix that a task works on at once.
+WORK_BYTES = 4 << 20
 #: Share of all rows whose codes are read before cells are ruled out.
 FIRST_SHARE = 0.1
 
@@ -59,9 +62,7 @@ def code_rows(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = (centres**2).sum(1) / 2
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches, width):
             x = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
             cell = (x @ centres.T - half).argmax(1)
             left = x - centres[cell]
@@ -71,7 +72,7 @@ def code_rows(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
             packed = _packed(code)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(0), batch.column(1), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(scale), pa.array(rest)], names=["cell", "book_id", "chunk_no", "code", "scale", "rest"])
 
-    return rows.mapInArrow(made, CODES.format(*kinds))
+    return rows.mapInArrow(freeing(made), CODES.format(*kinds))
 
 
 def _packed(code: np.ndarray) -> np.ndarray:
@@ -86,51 +87,123 @@ def _unpacked(codes: list[bytes], width: int) -> np.ndarray:
     return np.stack([packed >> 4, packed & 15], 2).reshape(len(codes), -1)[:, :width].astype(np.float64) - 8
 
 
-def bounds(batch: pa.RecordBatch, centres: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest and highest scores of a batch of codes for unit queries, rows by queries."""
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches of as many rows as have WORK_BYTES as vectors in double precision."""
+    rows = max(1, WORK_BYTES // (8 * width))
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def _blocks(rows: int, queries: np.ndarray) -> Iterator[slice]:
+    """Queries in blocks whose scores against so many rows have WORK_BYTES."""
+    step = max(1, WORK_BYTES // (8 * rows))
+    for start in range(0, len(queries), step):
+        yield slice(start, min(start + step, len(queries)))
+
+
+def bounds(batch: pa.RecordBatch, centres: np.ndarray, queries: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The lowest and highest scores of a batch of codes for unit queries, rows by queries, a block of queries at a time."""
     cell, scale, rest = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("cell", "scale", "rest"))
     codes = _unpacked(batch.column(batch.schema.get_field_index("code")).to_pylist(), centres.shape[1])
-    middle = (centres @ queries.T)[cell] + (codes @ queries.T) * scale[:, None]
-    slack = rest[:, None] * np.linalg.norm(queries, axis=1)[None] + 1e-9
-    return middle - slack, middle + slack
+    for at in _blocks(batch.num_rows, queries):
+        q = queries[at]
+        middle = (centres @ q.T)[cell] + (codes @ q.T) * scale[:, None]
+        slack = rest[:, None] * np.linalg.norm(q, axis=1)[None] + 1e-9
+        yield at, middle - slack, middle + slack
+
+
+def _raised(floor: np.ndarray, best: np.ndarray, limit: int) -> np.ndarray:
+    """The floor of a block of queries, given what books (rows) reach at least: `limit` of them reach the `limit`-th best."""
+    return floor if len(best) < limit else np.fmax(floor, -np.partition(-best, limit - 1, axis=0)[limit - 1])
+
 
+def lowest_scores(codes: DataFrame, centres: np.ndarray, queries: np.ndarray, limit: int, floor: np.ndarray | None = None) -> np.ndarray:
+    """For each query the score that its best `limit` books reach at least, by these codes; -inf where there are fewer.
 
-def lowest_scores(codes: DataFrame, centres: np.ndarray, queries: np.ndarray, limit: int) -> np.ndarray:
-    """For each query the score that its best `limit` books reach at least, by these codes; -inf where there are fewer."""
+    `floor` is what is known of it already. A task hands on only what reaches the floor it has found itself."""
+    known = np.full(len(queries), -np.inf) if floor is None else floor
+    limit = max(1, limit)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            low, _ = bounds(batch, centres, queries)
+        least = known.copy()
+        for batch in _pieces(batches, centres.shape[1]):
             books, run = np.unique(batch.column(batch.schema.get_field_index("book_id")).to_numpy(zero_copy_only=False), return_inverse=True)
             order = np.argsort(run, kind="stable")
-            best = np.maximum.reduceat(low[order], np.flatnonzero(np.append(True, np.diff(run[order]) > 0)), axis=0)
-            top = np.argsort(-best, axis=0, kind="stable")[:limit]
-            q = np.broadcast_to(np.arange(len(queries), dtype=np.int32), top.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(books[top.ravel()]), pa.array(np.take_along_axis(best, top, 0).ravel())], names=["q", "book_id", "low"])
+            first = np.flatnonzero(np.append(True, np.diff(run[order]) > 0))
+            for at, low, _ in bounds(batch, centres, queries):
+                best = np.fmax.reduceat(low[order], first, axis=0)
+                least[at] = _raised(least[at], np.where(np.isnan(best), -np.inf, best), limit)
+                b, q = np.nonzero(best >= least[at][None])
+                yield pa.RecordBatch.from_arrays([pa.array((q + at.start).astype(np.int32)), pa.array(books[b]), pa.array(best[b, q])], names=["q", "book_id", "low"])
 
     kind = codes.schema["book_id"].dataType.simpleString()
-    found = codes.mapInArrow(made, f"q int, book_id {kind}, low double").groupBy("q", "book_id").agg(F.max("low").alias("low"))
+    found = codes.mapInArrow(freeing(made), f"q int, book_id {kind}, low double").groupBy("q", "book_id").agg(F.max("low").alias("low"))
     ranked = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("low"), "book_id"))).where(F.col("r") == limit)
-    out = np.full(len(queries), -np.inf)
-    for r in ranked.select("q", "low").collect():  # one row a query
-        out[r["q"]] = r["low"]
+    out = known.copy()
+    for r in ranked.select("q", "low").toLocalIterator():  # one row a query
+        out[r["q"]] = max(out[r["q"]], r["low"])
     return out
 
 
 def candidates(codes: DataFrame, centres: np.ndarray, queries: np.ndarray, least: np.ndarray) -> DataFrame:
-    """(q, book_id, chunk_no) of the chunks whose highest score reaches `least`."""
+    """(book_id, chunk_no) of the chunks whose highest score reaches `least` for any query."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                i, q = np.nonzero(bounds(batch, centres, queries)[1] >= least[None])
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), *(batch.column(batch.schema.get_field_index(c)).take(at) for c in ("book_id", "chunk_no"))], names=["q", "book_id", "chunk_no"])
+        for batch in _pieces(batches, centres.shape[1]):
+            left, kept = batch, []
+            for own in list(_blocks(batch.num_rows, queries)):  # what one block of queries wants, others need not look at
+                if left.num_rows:
+                    hit = np.zeros(left.num_rows, bool)
+                    for at, _, high in bounds(left, centres, queries[own]):
+                        hit |= (high >= least[own][at][None]).any(1)
+                    kept.append(left.filter(pa.array(hit)))
+                    left = left.filter(pa.array(~hit))
+            for part in kept:
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("book_id", "chunk_no")], names=["book_id", "chunk_no"])
 
     kinds = [codes.schema[c].dataType.simpleString() for c in ("book_id", "chunk_no")]
-    return codes.mapInArrow(made, f"q int, book_id {kinds[0]}, chunk_no {kinds[1]}")
+    return codes.mapInArrow(freeing(made), f"book_id {kinds[0]}, chunk_no {kinds[1]}")
+
+
+def best_chunks(chunks: DataFrame, queries: np.ndarray, least: np.ndarray, limit: int) -> DataFrame:
+    """(q, book_id, chunk_no): of each query's best `limit` books the best chunk and those that rounding could put before it.
+
+    Vectors are scored in the tasks, all queries against a piece of the rows; of equal vectors of a book only the first chunk
+    counts. A task hands on only the best chunks of books that reach `least` and the floor it has found itself."""
+    width, limit = queries.shape[1], max(1, limit)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = least.copy()
+        for batch in _pieces(batches, width):
+            v = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width) + 0.0
+            fine = np.isfinite(v).all(1)
+            if not fine.any():
+                continue
+            v, batch = v[fine], batch.filter(pa.array(fine))
+            run, number = (np.unique(batch.column(i).to_numpy(zero_copy_only=False), return_inverse=True)[1] for i in (0, 1))
+            same = np.unique(np.ascontiguousarray(v).view(f"V{8 * width}").ravel(), return_inverse=True)[1]
+            order = np.lexsort((number, same, run))
+            order = order[np.append(True, (np.diff(run[order]) > 0) | (np.diff(same[order]) != 0))]
+            v, run = v[order], run[order]
+            first = np.flatnonzero(np.append(True, np.diff(run) > 0))
+            tol = 1e-9 * (1 + np.linalg.norm(v, axis=1))[:, None]
+            for at in _blocks(len(v), queries):
+                scores = v @ queries[at].T
+                best = np.maximum.reduceat(scores - tol, first, axis=0)
+                floor[at] = _raised(floor[at], best, limit)
+                i, q = np.nonzero(scores + tol >= np.maximum(best, floor[at][None])[run])
+                taken = pa.array(order[i])
+                yield pa.RecordBatch.from_arrays([pa.array((q + at.start).astype(np.int32)), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(scores[i, q] - tol[i, 0]), pa.array(scores[i, q] + tol[i, 0])], names=["q", "book_id", "chunk_no", "low", "high"])
+
+    kinds = [chunks.schema[c].dataType.simpleString() for c in ("book_id", "chunk_no")]
+    spark = chunks.sparkSession
+    dealt = chunks.select("book_id", "chunk_no", "vector").repartition(max(spark.sparkContext.defaultParallelism * 4, 1))  # few bytes, much work
+    found = dealt.mapInArrow(freeing(made), f"q int, book_id {kinds[0]}, chunk_no {kinds[1]}, low double, high double").repartition("q")
+    own = found.withColumn("n", F.row_number().over(W.partitionBy("q", "book_id").orderBy(F.desc("low"), "chunk_no"))).withColumn("top", F.max("low").over(W.partitionBy("q", "book_id")))
+    books = own.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.col("n") == 1), F.desc("low"), "book_id")))
+    cut = books.withColumn("cut", F.max(F.when((F.col("n") == 1) & (F.col("r") == limit), F.col("low"))).over(W.partitionBy("q")))
+    return cut.where(F.col("high") >= F.greatest("top", "cut")).select("q", "book_id", "chunk_no")  # greatest leaves nulls out
 
 
 class CellIndex:
@@ -244,10 +317,10 @@ class CellIndex:
         for r in queries.select("query_id", "vector").where(vectors.same_width(F.col("vector"), centres.shape[1])).toLocalIterator():
             held.append((r["query_id"], unit(r["vector"])))
             if len(held) >= most:
-                part = self._found(held, centres, sizes, limit, probes)
+                part = self._found(chunks, held, centres, sizes, limit, probes)
                 found, held = part if found is None else found.unionByName(part), []
         if held or found is None:
-            part = self._found(held, centres, sizes, limit, probes)
+            part = self._found(chunks, held, centres, sizes, limit, probes)
             found = part if found is None else found.unionByName(part)
         own = queries.select("query_id", F.col("vector").alias("q"))
         pairs = chunks.select("book_id", "chunk_no", "vector").join(found, ["book_id", "chunk_no"]).join(own, "query_id")
@@ -258,8 +331,8 @@ class CellIndex:
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("book_id")))
         return best.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
-    def _found(self, held: list, centres: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], limit: int, probes: int | None) -> DataFrame:
-        """(query_id, book_id, chunk_no) of what has to be scored for a block of queries."""
+    def _found(self, chunks: DataFrame, held: list, centres: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], limit: int, probes: int | None) -> DataFrame:
+        """(query_id, book_id, chunk_no) of what comes first for a block of queries, by matrix products, and what could."""
         matrix = np.array([q for _, q in held]).reshape(len(held), centres.shape[1])
         n, radius = sizes
         near = matrix @ centres.T + radius[None] * np.linalg.norm(matrix, axis=1)[:, None] + 1e-9
@@ -274,8 +347,9 @@ class CellIndex:
             least = lowest_scores(self.rows(first), centres, matrix, limit)
             cells = [c for c in order.tolist() if (near[:, c] >= least).any()]
             if set(cells) - set(first):
-                least = lowest_scores(self.rows(cells), centres, matrix, limit)
-        wanted = candidates(self.rows(cells), centres, matrix, least)
+                least = lowest_scores(self.rows(cells), centres, matrix, limit, least)
+        near = chunks.where(vectors.same_width(F.col("vector"), centres.shape[1])).join(candidates(self.rows(cells), centres, matrix, least), ["book_id", "chunk_no"], "left_semi")
+        wanted = best_chunks(near, matrix, least, limit)
         kind = "long" if not held or isinstance(held[0][0], int) else "string"
         names = self.spark.createDataFrame([(i, k) for i, (k, _) in enumerate(held)], f"q int, query_id {kind}")
         return wanted.join(F.broadcast(names), "q").drop("q")

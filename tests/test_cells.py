@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,37 @@ def test_probes_find_most(spark, tmp_path):
     exact = {tuple(r)[:3] for r in search.search_many(chunks.where("size(vector) > 2"), queries, 10).collect()}
     got = {tuple(r)[:3] for r in index.search_many(chunks, queries, 10, probes=3).collect()}
     assert len(got & exact) >= 0.9 * len(exact)
+
+
+def test_scores_are_worked_out_in_bounded_blocks(monkeypatch):
+    """However many queries there are, no matrix of rows by queries is larger than WORK_BYTES."""
+    rng, n, width = np.random.default_rng(5), 3000, 24
+    monkeypatch.setattr(cells, "WORK_BYTES", 1 << 16)
+    centres, queries = rng.standard_normal((4, width)), rng.standard_normal((900, width))
+    x = rng.standard_normal((n, width))
+    cell = (np.arange(n) % 4).astype(np.int32)
+    left = x - centres[cell]
+    scale = np.abs(left).max(1) / 7
+    code = np.rint(left / scale[:, None]).astype(np.int8)
+    rest = np.linalg.norm(left - code * scale[:, None], axis=1)
+    batch = pa.RecordBatch.from_arrays([pa.array(cell), pa.array([p.tobytes() for p in cells._packed(code)], pa.binary()), pa.array(scale), pa.array(rest)], names=["cell", "code", "scale", "rest"])
+    seen = 0
+    for piece in cells._pieces([batch], width):
+        at_row = seen
+        for at, low, high in cells.bounds(piece, centres, queries):
+            assert max(low.nbytes, high.nbytes) <= cells.WORK_BYTES
+            exact = x[at_row : at_row + piece.num_rows] @ queries[at].T
+            assert (low <= exact).all() and (exact <= high).all()
+        seen += piece.num_rows
+    assert seen == n
+
+
+def test_copies_and_ties_hand_on_few_rows(spark):
+    """Of equal vectors of a book one is scored for each query; two books that tie beyond the limit both stay."""
+    v = [0.6, 0.8]
+    rows = [(1, c, v) for c in range(200)] + [(2, c, v) for c in range(50)] + [(3, 0, [1.0, 0.0]), (4, 0, [float("nan"), 1.0])]
+    chunks = spark.createDataFrame(rows, "book_id long, chunk_no int, vector array<float>").coalesce(1)
+    queries = np.array([v, [1.0, 0.0], [-0.6, -0.8]])
+    got = cells.best_chunks(chunks, queries, np.full(3, -np.inf), 1).collect()
+    assert {(r["q"], r["book_id"]) for r in got} == {(0, 1), (0, 2), (1, 3), (2, 3)}
+    assert len(got) < 150 and all((q, b, 0) in {tuple(r) for r in got} for q, b in ((0, 1), (0, 2), (1, 3)))
