@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import freeing, id_and_text, sliced
+from glyphlake.llm.common import freeing, id_and_text, sliced, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries of each of the two generations of the cache of encoded pieces in a worker; a bound on memory only.
-CACHE = 120_000
+#: Entries of each of the two generations of the cache of encoded pieces, and of the cache of neighbours, in a worker; bounds
+#: on memory only.
+CACHE, NEIGHBOURS = 40_000, 250_000
 #: Bytes of text, or of ids, that are worked on at once.
 SLICE_BYTES = 1 << 20
 
@@ -67,13 +68,17 @@ class PieceEncoder:
         self.old: dict[str, bytes] = {}
         self.cache = cache
 
+    def forget(self) -> None:
+        """Drops the pieces it has met: workers live on for other operators, which have no use for them."""
+        self.young, self.old = {}, {}
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes gives these two tokens again; left is -1 at the start of a piece."""
         key = (left << 32) + right
         known = self.neighbours.get(key)
         if known is None:
             pair = [right] if left < 0 else [left, right]
-            if len(self.neighbours) > 400_000:
+            if len(self.neighbours) >= NEIGHBOURS:
                 self.neighbours.clear()
             known = self.neighbours[key] = merge_by_rank("".join(self.names[t] for t in pair).encode("latin-1"), self.ranks) == pair
         return known
@@ -193,11 +198,15 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated rows keep their rows; an empty table gives an empty result; other columns are ignored."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, limit=SLICE_BYTES):
-            ids = _ids(batch, ranks_path, pattern)
-            more = [pa.array(_bytes(ids, ranks_path), pa.binary())] if decode else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *more], names=[id_col, "n_tokens", "ids", *["decoded"] * decode])
-
+        try:
+            for batch in sliced(batches, limit=SLICE_BYTES):
+                ids = _ids(batch, ranks_path, pattern)
+                more = [pa.array(_bytes(ids, ranks_path), pa.binary())] if decode else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *more], names=[id_col, "n_tokens", "ids", *["decoded"] * decode])
+        finally:
+            _encoder(ranks_file(ranks_path)).forget()
+
+    small_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     return rows.mapInArrow(freeing(encoded), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary{', decoded binary' * decode}")
 
@@ -210,6 +219,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ranks_path: str
             texts = _bytes(batch.column(2).to_pylist(), ranks_path)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
 
+    small_batches(encoded.sparkSession)
     rows = encoded.select(F.col(id_col), "n_tokens", "ids")
     return rows.mapInArrow(freeing(decoded), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
 

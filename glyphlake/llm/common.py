@@ -55,6 +55,17 @@ def drop_saved(*tables: DataFrame) -> None:
         files.cancelDeleteOnExit(at)
 
 
+#: Bytes of rows that Spark gathers in an Arrow batch for Python, and the setting that says so.
+ARROW_BYTES, ARROW_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets Spark's Arrow batches to ARROW_BYTES where the session has no size of its own. A batch is held several times over,
+    in the executor and in its worker, in each of its tasks; Spark's own size would take in a whole split."""
+    if spark.conf.get(ARROW_SETTING, None) is None:
+        spark.conf.set(ARROW_SETTING, str(ARROW_BYTES))
+
+
 #: Bytes of text that an operator's Python code works on at once, whatever Arrow batches Spark hands over.
 SLICE_BYTES = 4 << 20
 

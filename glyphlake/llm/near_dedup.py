@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm import setsketch as sk
-from glyphlake.llm.common import BROADCAST_BYTES, drop_saved, freeing, id_and_text, save, sliced, small, split_join, unused
+from glyphlake.llm.common import BROADCAST_BYTES, drop_saved, freeing, id_and_text, save, sliced, small, small_batches, split_join, unused
 from glyphlake.llm.components import components
 
 PERCENT = 75
@@ -315,6 +315,7 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their component is their own id. Very long texts are taken whole. Repeated rows keep their rows and are in one
     component, as are several texts under one id, each with all its links. Empty tables give an empty result; other
     columns are ignored."""
+    small_batches(docs.sparkSession)
     bands = sk.bands_for(percent)
     seen = save(sketched(docs, id_col, text_col), "dup-sketches")
     classes = seen.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.count("*").alias("rows"))

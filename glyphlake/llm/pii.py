@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm import setsketch as sk
-from glyphlake.llm.common import WORD, drop_saved, freeing, id_and_text, save, sliced, split_join
+from glyphlake.llm.common import WORD, drop_saved, freeing, id_and_text, save, sliced, small_batches, split_join
 from glyphlake.llm.secret_scan import SPANS
 
 KINDS = ("email", "ip", "card", "phone")
@@ -350,6 +350,7 @@ def learn_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(pattern, score) of the accepted patterns over all texts; a pattern is two words with a tab where the instance
     stands. Rounds go on until nothing changes, unless `rounds` says how many. Empty tables and tables without entities give
     no pattern."""
+    small_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     whole = save(graph(rows), "pii-graph")
     stats = save(whole.groupBy("pattern").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_seeds), "pii-candidates")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm.boosting import Boosted, Isotonic, fit, isotonic
-from glyphlake.llm.common import drop_saved, freeing, id_and_text, save, sliced
+from glyphlake.llm.common import drop_saved, freeing, id_and_text, save, sliced, small_batches
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their ids.
 TRAIN_ROWS = 20_000
@@ -194,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     which the highest counts once) are no obstacle; copies under several ids each count in the trees, once in the lexicon;
     null texts count as empty, very long ones are read whole. Without rows of both classes, as from empty tables, the share of toxic ones is every score. Other columns are
     ignored."""
+    small_batches(docs.sparkSession)
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(labelled.orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = id_and_text(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -219,6 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, score) of every row, from its text alone. Null and empty texts get the score of a text without words; very long
     texts are read whole; null ids, ties and repeated rows keep their rows; empty tables give an empty result; other
     columns are ignored."""
+    small_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col).withColumnRenamed(text_col, "text")
     schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double"
 
@@ -234,6 +236,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is below the threshold, with all their columns, whatever their names. Null texts are scored as
     empty ones; a row's id plays no part; empty tables give an empty result."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

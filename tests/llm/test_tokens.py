@@ -1,6 +1,7 @@
 import hashlib
 import struct
 
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 
 import edges
 from glyphlake.llm import bpe, queries, token_counts
-from glyphlake.llm.common import by_bytes
+from glyphlake.llm.common import ARROW_BYTES, ARROW_SETTING, by_bytes, small_batches
 
 sentencepiece = pytest.importorskip("sentencepiece")
 tiktoken = pytest.importorskip("tiktoken")
@@ -89,3 +90,26 @@ def test_token_count_edges(spark):
     got = token_counts.count_tokens(edges.rows(spark), batch_bytes=1000, segment_chars=500).collect()
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in got) == sorted((i or 0, len((t or "").encode()), len(MODEL.encode(t or ""))) for i, t in edges.ROWS)
     assert token_counts.count_tokens(edges.empty(spark)).count() == 0
+
+
+def test_what_workers_keep(spark):
+    """A task leaves no pieces in its worker; Spark hands over small batches, or those that the session asks for."""
+    docs = spark.range(4000, numPartitions=1).selectExpr("id as doc_id", "concat(id, repeat(' one two', 500)) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    def left(batches):
+        for _ in batches:
+            encoder = bpe._encoder(bpe.ranks_file(None))
+            yield pa.RecordBatch.from_arrays([pa.array([len(encoder.young) + len(encoder.old)])], names=["n"])
+
+    spark.conf.unset(ARROW_SETTING)
+    assert bpe.encode_documents(docs.repartition(8)).where("n_tokens > 0").count() == 4000
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) <= 1.1 * ARROW_BYTES
+    assert max(r["n"] for r in spark.range(64, numPartitions=32).mapInArrow(left, "n long").collect()) == 0
+    spark.conf.set(ARROW_SETTING, "1m")
+    small_batches(spark)
+    assert spark.conf.get(ARROW_SETTING) == "1m"
+    spark.conf.unset(ARROW_SETTING)
